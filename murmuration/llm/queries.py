@@ -57,9 +57,32 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_turns(turns_from_rows(rows.union(more))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op6_source_mixing, op7_chat_formatting)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fresh_path
+    from .warc import read_warc, write_warc
+
+    path = fresh_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    records = read_warc(spark, path, payload="digest").where("rec_type IN ('response', 'revisit')")
+    return records.select("page_id", "payload_bytes", "payload_digest", records.rec_type.alias("record_type"), "refers_to")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, predict
+
+    documents = _table(spark, sf_dir, "documents")
+    return predict(documents, fit(documents))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op6_source_mixing, op7_chat_formatting, op8_warc, op10_language_id)}
 
 ORACLE: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+          CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS f FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN f <> page_id THEN f END AS refers_to FROM d""",
     "op7_chat_formatting": r"""
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
