@@ -41,6 +41,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -80,7 +86,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(documents, fit(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op6_source_mixing, op7_chat_formatting, op8_warc, op9_pii, op10_language_id)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op5_html_extraction, op6_source_mixing, op7_chat_formatting, op8_warc, op9_pii, op10_language_id, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op8_warc": """
