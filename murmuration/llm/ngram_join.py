@@ -6,10 +6,11 @@ Which are frequent is counted over all documents but matters for speed only: any
 
 1. Each document gives its set size, a digest of its set, its prefix, and a digest of size and prefix. Documents with
    equal sets are one (exact copies); those with equal size and prefix form a group, and groups are joined.
-2. Star round: of the groups that share a prefix shingle, all meet two leaders only; members meet the leader of their
-   group. Pairs that fit by size are verified on the whole sets; links join up to components.
+2. Star round: of the groups that share a prefix shingle, each meets the first and its neighbour only (in
+   order of the shingle's position, so the least changed copy comes first); members meet the leader of their group. Pairs that fit by size and by the positions of their shared shingle are verified on the whole
+   sets; links join up to components.
 3. Closing round: where the groups of one prefix shingle are still in several components, they are expanded to members
-   and every pair of members from different components that fits by size is verified too. A pair within one component
+   and every pair of members from different components that fits likewise is verified too. A pair within one component
    would change nothing. So the components are exact, and thousands of near copies cost thousands of pairs.
 """
 
@@ -20,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
 FREQUENT = 50_000
+SALTS = 16
+FILTER_BITS = 1 << 24
 CACHE_ENTRIES = 400_000
 
 
@@ -113,7 +116,7 @@ def _needed(size, num: int, den: int):
 
 
 def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray, id_type: str) -> DataFrame:
-    """id, n_shingles, digest of the set, digest of size and prefix, prefix."""
+    """id, size of the set, digest of the set, digest of size and prefix, prefix, how many of its last shingles are frequent."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
 
@@ -123,12 +126,13 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
         words = _WordHash()
         for batch in batches:
             for ids, texts in _pieces(batch):
-                sizes, whole, group, prefixes = [], [], [], []
+                sizes, whole, group, prefixes, late_ones = [], [], [], [], []
                 for s in shingle_sets(texts, n, words):
                     sizes.append(len(s))
                     if not len(s):
-                        whole.append(None), group.append(None), prefixes.append(None)
+                        whole.append(None), group.append(None), prefixes.append(None), late_ones.append(0)
                         continue
+                    late = []
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         common = known[at] == s
@@ -140,32 +144,52 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
                     whole.append(xxhash.xxh3_128_digest(s.tobytes()))
                     group.append(xxhash.xxh3_128_digest(b"%d:" % len(s) + prefix.tobytes()))
                     prefixes.append(prefix.view(np.int64))
+                    late_ones.append(max(0, len(prefix) - (len(s) - len(late))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["id", "n", "whole", "grp", "prefix"],
+                    [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(late_ones, pa.int32())],
+                    names=["id", "n", "whole", "grp", "prefix", "late"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, n bigint, whole binary, grp binary, prefix array<bigint>")
+    return docs.mapInArrow(run, f"id {id_type}, n bigint, whole binary, grp binary, prefix array<bigint>, late int")
 
 
-def _sets(docs: DataFrame, n: int, id_type: str) -> DataFrame:
+def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose ids are among ids, and a few others: a bitmap keeps most texts out of the shuffle that follows.
+
+    The bitmap has FILTER_BITS bits at most, whatever the input; when it is full it only lets more rows through.
+    """
+    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    words = ids.select((bit / 64).cast("bigint").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("_bits"))
+    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    has = F.call_function("shiftrightunsigned", F.col("_bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return docs.withColumn("_word", (bit / 64).cast("bigint")).join(F.broadcast(words), "_word").where(has).select(*docs.columns)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (a, b) whose whole sets reach the similarity. Texts travel, which are smaller than their sets."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    some = _only(docs, pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))), id_col)
+    left = some.select(F.col(id_col).alias("a"), F.col(text_col).alias("ta"))
+    right = some.select(F.col(id_col).alias("b"), F.col(text_col).alias("tb"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHash()
+        last, known = None, None  # rows come in order of a
         for batch in batches:
-            for ids, texts in _pieces(batch):
-                sets = [s.view(np.int64) for s in shingle_sets(texts, n, words)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                heads, keep = part.column(0).to_pylist(), []
+                others = shingle_sets(part.column(3).to_pylist(), n, words)
+                for head, text, other in zip(heads, part.column(2), others):
+                    if known is None or head != last:
+                        last, known = head, shingle_sets([text.as_py()], n, words)[0]
+                    shared = len(known) + len(other) - len(np.union1d(known, other))
+                    keep.append(den * shared >= num * (len(known) + len(other) - shared))
+                part = part.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
 
-    return docs.mapInArrow(run, f"id {id_type}, set array<bigint>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets reach the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
-    return both.where((den + num) * F.col("i") >= num * F.col("s")).select("a", "b")
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicate_documents(
@@ -187,46 +211,60 @@ def near_duplicate_documents(
     groups = distinct.groupBy("grp").agg(F.min("rep").alias("g"), F.count("*").alias("members"))
     reps = materialize(distinct.join(groups, "grp").select("whole", "rep", "n", "g", "members"), "reps")
     leaders = reps.where("rep = g").select(F.col("g").alias("id"), "members")
-    postings = some.select("id", "n", "prefix").join(leaders, "id").select(F.explode("prefix").alias("token"), F.col("id").alias("g"), "n")
-
-    mixed = F.struct(F.xxhash64("g").alias("h"), "g", "n")
-    lead = postings.groupBy("token").agg(F.min(mixed).alias("l1"), F.max(mixed).alias("l2"), F.count("*").alias("k")).where("k > 1")
-    shared = materialize(postings.join(lead.drop("k"), "token"), "postings")
-    fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
-    star = shared.select("g", "n", F.explode(F.array("l1", "l2")).alias("l")).where(F.col("l.g") != F.col("g")).where(fits(F.col("l.n"), F.col("n")))
-    inside = reps.where("rep <> g").select(F.col("rep").alias("a"), F.col("g").alias("b"))
-    canonical = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pairs = materialize(star.select(*canonical(F.col("g"), F.col("l.g"))).union(inside.select(*canonical("a", "b"))).distinct(), "pairs")
+    postings = some.select("id", "n", "prefix", "late").join(leaders, "id")
+    postings = postings.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("g"), "n", (F.size("prefix") - F.col("late")).alias("from"), F.xxhash64("id").alias("h"))
+    # Lists of frequent shingles are dealt over SALTS tasks; the leaders of those meet in a second step.
+    frequent_one = F.col("pos") >= F.col("from")
+    postings = postings.select("token", "g", "n", "pos", "h", frequent_one.alias("often"), F.when(frequent_one, F.pmod("h", F.lit(SALTS))).otherwise(0).alias("salt"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct()
-        return materialize(_sets(docs.join(wanted, id_col, "left_semi"), n, id_type), "sets")
 
-    known = sets_of(pairs)
-    links = materialize(_verified(pairs, known, num, den), "links")
+    def fits(n1, p1, n2, p2):
+        """Whether sets of sizes n1, n2 can reach the similarity if their first common shingle is at these positions."""
+        return (den + num) * F.least(n1 - p1, n2 - p2) >= num * (n1 + n2)
+
+    canonical = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    one = F.struct("g", "n", "pos")
+
+    def led(rows: DataFrame, *key: str) -> DataFrame:
+        """Rows with the first of their list, the one before and the one after; windows that run row by row.
+
+        The first has the fewest rarer shingles before this one: of near copies that is the least changed.
+        """
+        w = Window.partitionBy(*key).orderBy("pos", "h", "g")
+        return rows.withColumns({"l1": F.first(one).over(w.rowsBetween(Window.unboundedPreceding, 0)), "l2": F.lag(one).over(w), "next": F.lead("g").over(w)})
+
+    def stars(rows: DataFrame) -> DataFrame:
+        star = rows.where("l2 is not null").select("g", "n", "pos", F.explode(F.array("l1", "l2")).alias("l")).where(fits(F.col("l.n"), F.col("l.pos"), F.col("n"), F.col("pos")))
+        return star.select(*canonical(F.col("g"), F.col("l.g"))).distinct()
+
+    shared = materialize(led(postings, "token", "salt").where("often or l2 is not null or next is not null").drop("next"), "postings")
+    heads = led(shared.where("often and l2 is null").select("token", "g", "n", "pos", "h"), "token")
+    inside = reps.where("rep <> g").select(*canonical("rep", "g"))
+    pairs = materialize(stars(shared).union(stars(heads)).union(inside).distinct(), "pairs")
+    check = lambda pairs: _verified(pairs, docs, n, num, den, id_col, text_col)
+    links = materialize(check(pairs), "links")
     components = connected_components(links)
 
     # Closing round: member level, only where a shingle still has several components.
     member = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", "n", "g", "members", F.coalesce("component", "rep").alias("c")
     )
-    own = member.where("members > 1").select(F.xxhash64(F.lit("group"), "g").alias("token"), "g").distinct()
-    lists = shared.select("token", "g").union(own).join(member.select("g", "rep", "n", "c"), "g")
+    own = member.where("members > 1").select(F.xxhash64(F.lit("group"), "g").alias("token"), "g", F.lit(0).alias("pos")).distinct()
+    lists = shared.select("token", "g", "pos").union(own).join(member.select("g", "rep", "n", "c"), "g")
     open_ = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    rows = materialize(lists.join(open_, "token").select("token", "rep", "n", "c"), "open")
+    rows = materialize(lists.join(open_, "token").select("token", "rep", "n", "pos", "c"), "open")
     major = rows.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"))
-    minor = rows.join(major, "token").where("c <> m.c").select("token", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("m.c").alias("big"))
+    minor = rows.join(major, "token").where("c <> m.c").select("token", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"), F.col("m.c").alias("big"))
     rest = (
         minor.join(rows, "token")
-        .where((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("big")) | (F.col("r1") < F.col("rep"))) & fits(F.col("n1"), F.col("n")))
+        .where((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("big")) | (F.col("r1") < F.col("rep"))) & fits(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos")))
         .select(*canonical("r1", "rep"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
     rest = materialize(rest, "rest")
     if rest.take(1):
-        more = _verified(rest, sets_of(rest), num, den)
-        components = connected_components(links.union(more))
+        components = connected_components(links.union(check(rest)))
     found = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("whole", F.coalesce("component", "rep").alias("component_id"))
     # Documents without words have no digest and match nothing.
     empty = profiles.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
