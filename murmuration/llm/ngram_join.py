@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
-FREQUENT = 50_000
+FREQUENT = 1 << 18
+COUNT_RUN = 2_000_000
+EARLIER = 8
 SALTS = 16
 FILTER_BITS = 1 << 24
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 class _WordHash(dict):
@@ -74,7 +76,7 @@ def shingle_sets(texts: list[str | None], n: int, words: _WordHash) -> list[np.n
     return out
 
 
-def _pieces(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def _pieces(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """A batch in runs of rows with a bounded total of text (or one longer row)."""
     ids, texts, start, held = batch.column(0), batch.column(1).to_pylist(), 0, 0
     for i, t in enumerate(texts):
@@ -89,25 +91,37 @@ def _pieces(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[pa.
 def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Hashes of the FREQUENT most frequent shingles, rarest first.
 
-    Counts run over all documents; a task reports the shingles that it meets twice in one run of rows.
+    Counts run over all documents; a task reports the shingles that it meets twice in a run of
+    about COUNT_RUN.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _WordHash(), Counter()
+        words, seen, held, n_held = _WordHash(), Counter(), [], 0
+
+        def fold() -> None:
+            nonlocal seen, n_held
+            h, k = np.unique(np.concatenate(held) if held else np.array([], np.uint64), return_counts=True)
+            more = k > 1
+            seen.update(dict(zip(h[more].view(np.int64).tolist(), k[more].tolist())))
+            if len(seen) > 2 * FREQUENT:
+                seen = Counter(dict(seen.most_common(FREQUENT)))
+            held.clear()
+            n_held = 0
+
         for batch in batches:
             for _, texts in _pieces(batch):
-                sets = shingle_sets(texts, n, words)
-                h, k = np.unique(np.concatenate(sets) if sets else np.array([], np.uint64), return_counts=True)
-                more = k > 1
-                seen.update(dict(zip(h[more].view(np.int64).tolist(), k[more].tolist())))
-                if len(seen) > 4 * FREQUENT:
-                    seen = Counter(dict(seen.most_common(2 * FREQUENT)))
+                for s in shingle_sets(texts, n, words):
+                    held.append(s)
+                    n_held += len(s)
+                if n_held > COUNT_RUN:
+                    fold()
+        fold()
         top = seen.most_common(FREQUENT)
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in top], pa.int64()), pa.array([k for _, k in top], pa.int64())], names=["h", "k"])
 
     counted = docs.mapInArrow(count, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
-    rows = counted.orderBy(F.desc("k"), "h").limit(FREQUENT).collect()  # bounded
-    return np.array([r.h for r in rows[::-1]], np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("k"), "h").limit(FREQUENT).select("h").toArrow()  # bounded
+    return top.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def _needed(size, num: int, den: int):
@@ -252,12 +266,14 @@ def near_duplicate_documents(
     own = member.where("members > 1").select(F.xxhash64(F.lit("group"), "g").alias("token"), "g", F.lit(0).alias("pos")).distinct()
     lists = shared.select("token", "g", "pos").union(own).join(member.select("g", "rep", "n", "c"), "g")
     open_ = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    rows = materialize(lists.join(open_, "token").select("token", "rep", "n", "pos", "c"), "open")
+    # A pair need come up only at its first common shingle: rows know the ones before them, up to EARLIER.
+    earlier = F.collect_list("token").over(Window.partitionBy("rep").orderBy("pos", "token").rowsBetween(-EARLIER, -1))
+    rows = materialize(lists.join(open_, "token").select("token", "rep", "n", "pos", "c", earlier.alias("earlier")), "open")
     major = rows.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"))
-    minor = rows.join(major, "token").where("c <> m.c").select("token", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"), F.col("m.c").alias("big"))
+    minor = rows.join(major, "token").where("c <> m.c").select("token", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("c").alias("c1"), F.col("earlier").alias("e1"), F.col("m.c").alias("big"))
     rest = (
         minor.join(rows, "token")
-        .where((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("big")) | (F.col("r1") < F.col("rep"))) & fits(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos")))
+        .where((F.col("c1") != F.col("c")) & ((F.col("c") == F.col("big")) | (F.col("r1") < F.col("rep"))) & fits(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos")) & ~F.arrays_overlap("e1", "earlier"))
         .select(*canonical("r1", "rep"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
