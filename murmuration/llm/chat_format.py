@@ -68,9 +68,11 @@ def json_fingerprint(raw: Column | str) -> Column:
     """Fingerprint of the layout of a JSON object in a string column, from the keys it has."""
     raw = F.col(raw) if isinstance(raw, str) else raw
     nested = [x["each"][0] for x in LAYOUTS.values() if "each" in x]
-    keys = [F.json_object_keys(raw)] + [
-        F.transform(F.json_object_keys(F.get_json_object(raw, f"$.{a}[0]")), lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)) for a in nested
-    ]
+
+    def below(a: str) -> Column:
+        return F.transform(F.json_object_keys(F.get_json_object(raw, f"$.{a}[0]")), lambda k: F.concat(F.lit(f"{a}[]."), k))
+
+    keys = [F.json_object_keys(raw), *map(below, nested)]
     none = F.array().cast("array<string>")
     paths = F.array_intersect(F.concat(*[F.coalesce(k, none) for k in keys]), F.array(*map(F.lit, KNOWN_PATHS)))
     return F.substring(F.sha2(F.array_join(F.array_sort(paths), "\n"), 256), 1, 16)
