@@ -141,7 +141,7 @@ def mix_sources(
     lo = F.greatest(at, F.col("block") * block)
     hi = F.least(at + size, F.col("block") * block + F.col("take"))
     used = (
-        pieces.join(slots, ["sid", "block"])
+        pieces.hint("merge").join(slots, ["sid", "block"])  # slots grow with the words: never broadcast
         .select("_id", "sid", "at", "epoch", (lo - at).alias("from"), (hi - lo).alias("n"))
         .where("n > 0")
         .groupBy("sid", "at", "_id")
