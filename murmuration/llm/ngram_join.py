@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
+TASK_FREQUENT = 1 << 18
 COUNT_RUN = 2_000_000
 EARLIER = 8
 SALTS = 16
@@ -89,7 +90,7 @@ def _pieces(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[pa.
 
 
 def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of the FREQUENT most frequent shingles, rarest first.
+    """Hashes of the most frequent shingles, FREQUENT at most, rarest first.
 
     Counts run over all documents; a task reports the shingles that it meets twice in a run of
     about COUNT_RUN.
@@ -103,8 +104,8 @@ def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
             h, k = np.unique(np.concatenate(held) if held else np.array([], np.uint64), return_counts=True)
             more = k > 1
             seen.update(dict(zip(h[more].view(np.int64).tolist(), k[more].tolist())))
-            if len(seen) > 2 * FREQUENT:
-                seen = Counter(dict(seen.most_common(FREQUENT)))
+            if len(seen) > 2 * TASK_FREQUENT:
+                seen = Counter(dict(seen.most_common(TASK_FREQUENT)))
             held.clear()
             n_held = 0
 
@@ -116,12 +117,20 @@ def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
                 if n_held > COUNT_RUN:
                     fold()
         fold()
-        top = seen.most_common(FREQUENT)
+        top = seen.most_common(TASK_FREQUENT)
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in top], pa.int64()), pa.array([k for _, k in top], pa.int64())], names=["h", "k"])
 
     counted = docs.mapInArrow(count, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
-    top = counted.orderBy(F.desc("k"), "h").limit(FREQUENT).select("h").toArrow()  # bounded
-    return top.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+    counted = materialize(counted.withColumn("size", F.floor(F.log2("k") * 64)), "counts")
+    least, room = None, FREQUENT
+    for r in counted.groupBy("size").count().orderBy(F.desc("size")).collect():  # at most 4096 sizes
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    top = counted.where(F.lit(False) if least is None else F.col("size") >= least).select("k", "h").toArrow()  # at most FREQUENT rows
+    k, h = top.column(0).to_numpy(), top.column(1).to_numpy()
+    return h[np.lexsort((h, k))].astype(np.int64).view(np.uint64)
 
 
 def _needed(size, num: int, den: int):
