@@ -232,7 +232,7 @@ def test_warc(spark, tmp_path):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
         assert (got[i].rec_type, got[i].refers_to, got[i].payload) == (("revisit", 1, None) if i == 3 else ("response", None, html or ""))
     revisits = read_warc(spark, path, "none").where("rec_type = 'revisit'")
-    assert [r.page_id for r in revisits.collect()] == [3] and "PushedFilters" not in "" and read_warc(spark, path).where("page_id in (2, 5)").count() == 2
+    assert [r.page_id for r in revisits.collect()] == [3] and read_warc(spark, path).where("page_id in (2, 5)").count() == 2
 
 
 def test_pii(spark, odd_docs):
@@ -254,7 +254,7 @@ def test_pii(spark, odd_docs):
     iban = re.search(r"DE[\d ]+", got[5].text)[0].replace(" ", "")[:22]
     assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
     luhn = [int(c) for c in re.sub(r"\D", "", got[6].text.split()[0])][::-1]
-    assert sum(luhn[::2]) + sum(sum(divmod(2 * d, 10)) for d in luhn[1::2]) == sum(luhn[::2]) + sum(sum(divmod(2 * d, 10)) for d in luhn[1::2]) // 1 and (sum(luhn[::2]) + sum(sum(divmod(2 * d, 10)) for d in luhn[1::2])) % 10 == 0
+    assert (sum(luhn[::2]) + sum(sum(divmod(2 * d, 10)) for d in luhn[1::2])) % 10 == 0
     back = {r.doc_id: r.text for r in pseudonymize(pseudonymize(df).drop("pii"), reverse=True).collect()}
     assert [back[i] for i in (0, 3, 4, 5, 6, 7, 8, 9)] == [texts[i] for i in (0, 3, 4, 5, 6, 7, 8, 9)]
     assert pseudonymize(odd_docs).count() == odd_docs.count()
