@@ -7,8 +7,9 @@ Which are frequent is counted over all documents but matters for speed only: any
 1. Each document gives its set size, a digest of its set, its prefix, and a digest of size and prefix. Documents with
    equal sets are one (exact copies); those with equal size and prefix form a group, and groups are joined.
 2. Star round: of the groups that share a prefix shingle, each meets the first and its neighbour only (in
-   order of the shingle's position, so the least changed copy comes first); members meet the leader of their group. Pairs that fit by size and by the positions of their shared shingle are verified on the whole
-   sets; links join up to components.
+   order of the shingle's position, so the least changed copy comes first); members meet the leader of their group. Of the
+   pairs that fit by size and by the positions of their shared shingle, those are verified on the whole sets whose bit
+   sketches differ little enough; links join up to components.
 3. Closing round: where the groups of one prefix shingle are still in several components, they are expanded to members
    and every pair of members from different components that fits likewise is verified too. A pair within one component
    would change nothing. So the components are exact, and thousands of near copies cost thousands of pairs.
@@ -138,8 +139,28 @@ def _needed(size, num: int, den: int):
     return -(-num * size // den)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """A bit for each shingle, by the low bits of its hash, in the next power of two bits."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    on = np.zeros(bits, np.uint8)
+    on[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def sketch_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of how many shingles only one of two sets has: bits that differ, the longer sketch folded to the shorter."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = 8 * len(a), 8 * len(b)
+    if n < m:
+        x, y, n, m = y, x, m, n
+    while n > m:
+        n //= 2
+        x = (x | x >> n) & ((1 << n) - 1)
+    return (x ^ y).bit_count()
+
+
 def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray, id_type: str) -> DataFrame:
-    """id, size of the set, digest of the set, digest of size and prefix, prefix, how many of its last shingles are frequent."""
+    """id, size of the set, digest of the set, digest of size and prefix, prefix, how many of its last shingles are frequent, sketch."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
 
@@ -149,11 +170,11 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
         words = _WordHash()
         for batch in batches:
             for ids, texts in _pieces(batch):
-                sizes, whole, group, prefixes, late_ones = [], [], [], [], []
+                sizes, whole, group, prefixes, late_ones, sketches = [], [], [], [], [], []
                 for s in shingle_sets(texts, n, words):
                     sizes.append(len(s))
                     if not len(s):
-                        whole.append(None), group.append(None), prefixes.append(None), late_ones.append(0)
+                        whole.append(None), group.append(None), prefixes.append(None), late_ones.append(0), sketches.append(None)
                         continue
                     late = []
                     if len(known):
@@ -168,12 +189,13 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
                     group.append(xxhash.xxh3_128_digest(b"%d:" % len(s) + prefix.tobytes()))
                     prefixes.append(prefix.view(np.int64))
                     late_ones.append(max(0, len(prefix) - (len(s) - len(late))))
+                    sketches.append(_sketch(s))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(late_ones, pa.int32())],
-                    names=["id", "n", "whole", "grp", "prefix", "late"],
+                    [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(late_ones, pa.int32()), pa.array(sketches, pa.binary())],
+                    names=["id", "n", "whole", "grp", "prefix", "late", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, n bigint, whole binary, grp binary, prefix array<bigint>, late int")
+    return docs.mapInArrow(run, f"id {id_type}, n bigint, whole binary, grp binary, prefix array<bigint>, late int, sketch binary")
 
 
 def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -188,6 +210,23 @@ def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.withColumn("_word", (bit / 64).cast("bigint")).join(F.broadcast(words), "_word").where(has).select(*docs.columns)
 
 
+def _likely(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) without those whose sketches show that they can't reach the similarity; no link is lost."""
+    some = _only(profiles.select("id", "n", "sketch"), pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id")
+    side = lambda k: some.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb")
+    kind = profiles.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, sa, sb = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = [sketch_difference(x, y) * (den + num) <= t * (den - num) for t, x, y in zip(total, sa, sb)]
+            part = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (a, b) whose whole sets reach the similarity. Texts travel, which are smaller than their sets."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -264,7 +303,7 @@ def near_duplicate_documents(
     heads = led(shared.where("often and l2 is null").select("token", "g", "n", "pos", "h"), "token")
     inside = reps.where("rep <> g").select(*canonical("rep", "g"))
     pairs = materialize(stars(shared).union(stars(heads)).union(inside).distinct(), "pairs")
-    check = lambda pairs: _verified(pairs, docs, n, num, den, id_col, text_col)
+    check = lambda pairs: _verified(materialize(_likely(pairs, some, num, den), "likely"), docs, n, num, den, id_col, text_col)
     links = materialize(check(pairs), "links")
     components = connected_components(links)
 

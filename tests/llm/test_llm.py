@@ -135,6 +135,20 @@ def test_ngram_join(spark, odd_docs):
     assert near_duplicate_documents(odd_docs).count() == odd_docs.count()
 
 
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    from murmuration.llm.ngram_join import _sketch, sketch_difference
+
+    rnd = np.random.default_rng(7)
+    for _ in range(300):
+        pool = np.unique(rnd.integers(0, 2**63, rnd.integers(2, 400)).astype(np.uint64))
+        a, b = (np.sort(pool[rnd.random(len(pool)) < p]) for p in rnd.random(2))
+        if len(a) and len(b):
+            assert sketch_difference(_sketch(a), _sketch(b)) <= len(np.setxor1d(a, b))
+            assert sketch_difference(_sketch(a), _sketch(a)) == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>Menu</a></li></ul></nav>
 <div class="ad">Buy</div><article><h1>T &amp; U</h1><p><b>One
  two<br><p>Three &lt;3</p><div class="comments"><p>me too</p></div><aside>side</aside></article><footer>&copy; x</footer>"""
