@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = now
 
 
+def text_runs(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """A batch in runs of rows with a bounded total of text (or one longer row)."""
+    ids, texts, start, held = batch.column(0), batch.column(1).to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > chars:
+            yield ids.slice(start, i - start), texts[start:i]
+            start, held = i, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield ids.slice(start), texts[start:]
+
+
 def numpy_components(n: int, a, b):
     """Smallest index reachable from each of n nodes over the edges a[i] - b[i]; O(log n) vector rounds."""
     import numpy as np

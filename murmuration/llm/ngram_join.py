@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, text_runs
 
 FREQUENT = 1 << 20
 TASK_FREQUENT = 1 << 18
@@ -78,18 +78,6 @@ def shingle_sets(texts: list[str | None], n: int, words: _WordHash) -> list[np.n
     return out
 
 
-def _pieces(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """A batch in runs of rows with a bounded total of text (or one longer row)."""
-    ids, texts, start, held = batch.column(0), batch.column(1).to_pylist(), 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t or "") > chars:
-            yield ids.slice(start, i - start), texts[start:i]
-            start, held = i, 0
-        held += len(t or "")
-    if start < len(texts):
-        yield ids.slice(start), texts[start:]
-
-
 def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Hashes of the most frequent shingles, FREQUENT at most, rarest first.
 
@@ -111,7 +99,7 @@ def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
             n_held = 0
 
         for batch in batches:
-            for _, texts in _pieces(batch):
+            for _, texts in text_runs(batch):
                 for s in shingle_sets(texts, n, words):
                     held.append(s)
                     n_held += len(s)
@@ -169,7 +157,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
 
         words = _WordHash()
         for batch in batches:
-            for ids, texts in _pieces(batch):
+            for ids, texts in text_runs(batch):
                 sizes, whole, group, prefixes, late_ones, sketches = [], [], [], [], [], []
                 for s in shingle_sets(texts, n, words):
                     sizes.append(len(s))

@@ -18,11 +18,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import text_runs
+
 MARK = "▁"
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 
 
 class MergeTable:
@@ -235,7 +238,8 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """Encode every text and decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, if ids, the ids themselves (array of int) and the decoded
-    text. One pass, no shuffle; a row is the unit, so a very long text costs its own length only. A null or empty text
+    text. One pass, no shuffle; rows are held in runs of bounded text, so a very long text costs its own length only. A null
+    or empty text
     has no ids. Rows repeat as they come; other columns of df play no part. An empty table gives an empty result.
     """
     table = MergeTable(model_path)
@@ -246,20 +250,20 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(table)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            n, digest, back, every, texts = [], [], [], [], []
-            for text in batch.column(1):
-                joined, said = codec.encode(text.as_py() or "")
+        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+        for keys, texts in (piece for batch in batches for piece in text_runs(batch)):
+            n, digest, back, every, decoded = [], [], [], [], []
+            for text in texts:
+                joined, said = codec.encode(text or "")
                 n.append(joined.count(",") + 1 if joined else 0)
                 digest.append(sha(joined))
                 back.append(sha(said))
                 if ids:
-                    every.append([int(x) for x in joined.split(",")] if joined else [])
-                    texts.append(said)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+                    every.append(np.fromstring(joined, np.int32, sep=",") if joined else np.array([], np.int32))
+                    decoded.append(said)
+            cols = [keys, pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
             if ids:
-                cols += [pa.array(every, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols += [pa.array(every, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
