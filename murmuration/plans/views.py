@@ -27,6 +27,14 @@ VIEWS = {
           CASE WHEN event_id % 11 = 10 AND event_id > 200 THEN 'pending' WHEN event_id % 11 = 9 THEN 'failed' WHEN event_id % 11 = 8 THEN 'skipped' ELSE 'done' END AS state,
           concat('t', chat, '_', CAST(floor(ms / 10800000) AS BIGINT), '_', user_id % 3) AS topic
         FROM v_event""",
+    "v_relation": """
+        SELECT concat('q', e.event_id) AS rel_id, e.chat, e.user_id % 3 AS topic, 'question' AS kind, concat('m', e.event_id) AS source_id, e.event_type AS quote,
+          CAST(NULL AS STRING) AS target_id, e.ms AS source_ms, CAST(NULL AS BIGINT) AS target_ms, CAST(NULL AS STRING) AS completeness, e.event_id % 13 <> 0 AS valid
+        FROM v_event e
+        UNION ALL
+        SELECT concat('a', t.event_id), s.chat, s.user_id % 3, 'answers', concat('m', s.event_id), s.event_type, concat('m', t.event_id), s.ms, t.ms,
+          CASE WHEN t.event_id % 2 = 0 THEN 'full' ELSE 'partial' END, t.event_id % 17 <> 0
+        FROM v_event s JOIN v_event t ON s.chat = t.chat AND t.event_id % 3 = 0 AND s.pos = t.pos - (t.event_id % 7 + 1)""",
     "v_insight": """
         SELECT concat('i', o_orderkey) AS insight_id, o_custkey % 50 AS topic_id,
           CASE o_orderkey % 5 WHEN 0 THEN 'todo' WHEN 1 THEN 'announcement' WHEN 2 THEN 'decision' WHEN 3 THEN 'mention_me' ELSE 'topic_summary' END AS kind,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import evaluate, overview, rank, segment, topics, verify
+from .operators import evaluate, overview, rank, relations, segment, topics, verify
 from .params import Params
 from .plans.views import view, with_views
 
@@ -521,3 +521,39 @@ def match_greedy(spark, sf):
     ensure_checkpoint_dir(spark)
     li = view(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("run"), (F.col("l_partkey") % 200).alias("pred"), (F.col("l_suppkey") % 50).alias("gold")).agg(F.count("*").alias("overlap"))
     return greedy(li.withColumn("rank", F.col("pred")))
+
+
+def _middle(spark, sf) -> tuple[int, int]:
+    """From a quarter to three quarters of the time that the messages span."""
+    r = _msg(spark, sf).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi")).first()
+    return r.lo + (r.hi - r.lo) // 4, r.lo + (r.hi - r.lo) * 3 // 4
+
+
+_MIDDLE = "b AS (SELECT min(ms) + (max(ms) - min(ms)) // 4 AS lo, min(ms) + (max(ms) - min(ms)) * 3 // 4 AS hi FROM v_event)"
+_SEEN = f"{_MIDDLE}, seen AS (SELECT r.*, b.lo FROM v_relation r, b WHERE source_ms < hi AND (target_id IS NULL OR target_ms < hi))"
+
+
+@query(f"WITH {_SEEN} SELECT rel_id, kind, source_id, target_id FROM seen WHERE coalesce(target_ms, source_ms) >= lo")
+def relations_range(spark, sf):
+    return relations.relations_range(view(spark, sf, "v_relation"), *_middle(spark, sf)).select("rel_id", "kind", "source_id", "target_id")
+
+
+@query(f"""WITH {_SEEN}, a AS (SELECT source_id, quote, count(*) AS n, bool_or(completeness = 'full') AS f FROM seen WHERE valid AND kind = 'answers' GROUP BY ALL)
+    SELECT s.rel_id, s.source_id, s.quote, CASE WHEN f THEN 'answered' WHEN n > 0 THEN 'partially_answered' ELSE 'pending' END AS status, coalesce(n, 0) AS answers
+    FROM seen s LEFT JOIN a ON a.source_id = s.source_id AND a.quote = s.quote WHERE s.valid AND s.kind = 'question' AND s.source_ms >= s.lo""")
+def question_status(spark, sf):
+    return relations.question_status(view(spark, sf, "v_relation"), *_middle(spark, sf))
+
+
+@query("""SELECT topic, rel_id, source_id, quote FROM v_relation q WHERE valid AND kind = 'question' AND NOT EXISTS (
+    SELECT 1 FROM v_relation a WHERE a.valid AND a.kind = 'answers' AND a.completeness = 'full' AND a.topic = q.topic AND a.source_id = q.source_id AND a.quote = q.quote)""")
+def open_questions(spark, sf):
+    return relations.open_questions(view(spark, sf, "v_relation"))
+
+
+@query(f"""WITH {_MIDDLE}, d AS (SELECT DISTINCT target_id FROM v_relation WHERE kind = 'answers')
+    SELECT chat, count(*) AS messages, count(target_id) AS analysed, count(*) - count(target_id) AS uncovered
+    FROM v_msg m CROSS JOIN b LEFT JOIN d ON d.target_id = m.message_id WHERE ms >= lo AND ms < hi AND NOT recalled GROUP BY chat""")
+def relation_coverage(spark, sf):
+    analysed = view(spark, sf, "v_relation").where("kind = 'answers'").select(F.col("target_id").alias("message_id"))
+    return relations.relation_coverage(_msg(spark, sf), analysed, *_middle(spark, sf))
