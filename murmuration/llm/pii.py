@@ -17,6 +17,9 @@ but not reversible.
     email   name@domain                             domain                      name (digest)
     secret  access keys, key=value, hex digests     length and character kinds  all (digest)
 
+Names of keys count in any case, with blanks and quotes round the sign of equality, which are kept; hex digests are in
+small letters or in capitals.
+
 What fails validation (999.1.1.1, 2023-02-30, a wrong IBAN) is no such number and stays.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 #: Formats in Java's syntax; kinds in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)=[^\s\"']{6,}|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key)[\"']?[ \t]*=[ \t]*(?:\"[^\"\r\n]{6,}\"|'[^'\r\n]{6,}'|[\"']?[^\s\"']{6,})|(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9+])(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+-])(?:\+?1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|\+[0-9](?:[ ()-]{0,2}[0-9]){7,14}(?!-?[0-9])",
@@ -36,8 +39,8 @@ PATTERNS = {
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![0-9/])",
     "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9-])",
 }
-#: A text without a digit or @ has none of these but keys of letters only.
-HINT = r"[0-9@]|AKIA|=[^\s\"']{6}"
+#: A text without a digit or @ has none of these but keys and digests of letters only.
+HINT = r"[0-9@]|AKIA|=[ \t]*\S|[a-f]{32}|[A-F]{32}"
 ROUNDS = 8
 
 
@@ -89,14 +92,14 @@ def _mod97(code: str) -> str:
 
 
 def _digest_like(text: str, kind: str, key: str) -> str:
-    """Characters of the kinds in text, from a keyed digest of it: hex of hex, else digits, letters by case."""
+    """Characters of the kinds in text, from a keyed digest of it: hex of hex in its case, else digits, letters by case."""
     stream = f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, {text}), 512)"
     byte = "CAST(conv(substr(t.h, t.k % 120 + 1, 4), 16, 10) AS INT)"
-    pick = f"""CASE WHEN t.x AND (c >= '0' AND c <= '9' OR c >= 'a' AND c <= 'f') THEN substr(t.h, t.k % 128 + 1, 1)
+    pick = f"""CASE WHEN t.x THEN substr(t.h, t.k % 128 + 1, 1) WHEN t.u THEN upper(substr(t.h, t.k % 128 + 1, 1))
       WHEN c >= '0' AND c <= '9' THEN CAST({byte} % 10 AS STRING) WHEN c >= 'a' AND c <= 'z' THEN char(97 + {byte} % 26)
       WHEN c >= 'A' AND c <= 'Z' THEN char(65 + {byte} % 26) ELSE c END"""
-    start = f"named_struct('o', '', 'h', {stream}, 'k', 0, 'x', {text} rlike '^[0-9a-f]+$')"
-    step = f"named_struct('o', concat(t.o, {pick}), 'h', t.h, 'k', t.k + 1, 'x', t.x)"
+    start = f"named_struct('o', '', 'h', {stream}, 'k', 0, 'x', {text} rlike '^[0-9a-f]+$', 'u', {text} rlike '^[0-9A-F]+$')"
+    step = f"named_struct('o', concat(t.o, {pick}), 'h', t.h, 'k', t.k + 1, 'x', t.x, 'u', t.u)"
     return f"aggregate(split({text}, ''), {start}, (t, c) -> {step}, t -> t.o)"
 
 
@@ -131,7 +134,10 @@ def _pseudonym(key: str, back: bool) -> str:
     spaced = "aggregate(split(x, ''), named_struct('o', '', 'd', q, 'k', 1), (t, c) -> IF(c = ' ', named_struct('o', concat(t.o, c), 'd', t.d, 'k', t.k), named_struct('o', concat(t.o, substr(t.d, t.k, 1)), 'd', t.d, 'k', t.k + 1)), t -> t.o)"
     iban = _let("c", "replace(x, ' ', '')", f"IF({_mod97('c')} <> 1 OR length(regexp_replace(substr(c, 5), '[^0-9]', '')) < 2, x, {_let('q', fresh, spaced)})")
     email = f"concat({_digest_like('lower(substring_index(x, chr(64), 1))', 'email', key)}, '@', substring_index(x, chr(64), -1))"
-    secret = f"IF(x like '%=%', concat(substring_index(x, '=', 1), '=', {_digest_like("substr(x, instr(x, '=') + 1)", 'secret', key)}), IF(x rlike '^AKIA[0-9A-Z]{{16}}$', concat('AKIA', {_digest_like('substr(x, 5)', 'secret', key)}), {_digest_like('x', 'secret', key)}))"
+    # Of name = "value" all but the value stays.
+    named = _q("^([^=]*=[ \\t]*[\"']?)(.*?)([\"']?)$")
+    value = f"regexp_extract(x, {named}, 2)"
+    secret = f"IF(x like '%=%', concat(regexp_extract(x, {named}, 1), {_digest_like(value, 'secret', key)}, regexp_extract(x, {named}, 3)), IF(x rlike '^AKIA[0-9A-Z]{{16}}$', concat('AKIA', {_digest_like('substr(x, 5)', 'secret', key)}), {_digest_like('x', 'secret', key)}))"
     made = {"email": "x" if back else email, "secret": "x" if back else secret, "iban": iban, "ip": ip, "phone": phone, "ssn": ssn, "date": _date("date", key, back), "card": card}
     cases = " ".join(f"WHEN x rlike {_q('^(?:' + PATTERNS[k] + ')$')} THEN named_struct('kind', {_q(k)}, 'value', {v})" for k, v in made.items())
     return f"CASE {cases} ELSE named_struct('kind', '', 'value', x) END"

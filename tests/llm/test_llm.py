@@ -274,6 +274,25 @@ def test_pii(spark, odd_docs):
     assert pseudonymize(odd_docs).count() == odd_docs.count()
 
 
+def test_pii_secrets_in_capitals(spark):
+    from murmuration.llm.pii import pseudonymize
+
+    digest = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [
+        f'TOKEN = "{digest}"', digest, "PASSWORD=Hunter2Hunter2", "Api_Key = 'zyXWvu-987'", 'secret="three plain words"', "token = " + digest.lower(), f"token={digest}", f"{digest[:20]}{digest[20:].lower()}",
+        "the token = old", 'password = "" and more', "token =\n\nparagraph", "abcdef" * 6,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pseudonymize(df).collect()}
+    said = [got[i].text for i in range(len(texts))]
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', said[0]) and re.fullmatch(r"[0-9A-F]{40}", said[1]) and re.fullmatch(r"PASSWORD=[A-Z][a-z]{5}\d[A-Z][a-z]{5}\d", said[2])
+    assert re.fullmatch(r"Api_Key = '[a-z]{2}[A-Z]{2}[a-z]{2}-\d{3}'", said[3]) and re.fullmatch(r'secret="[a-z]{5} [a-z]{5} [a-z]{5}"', said[4]) and re.fullmatch(r"token = [0-9a-f]{40}", said[5])
+    assert said[0][9:-1] == said[6][6:]  # equal values are linked, however they are written
+    assert [got[i].pii for i in range(7)] == [["secret"]] * 7 and not [i for i in range(7) if said[i] == texts[i]]
+    assert said[7:11] == texts[7:11] and said[11] != texts[11]
+    assert [r.text for r in pseudonymize(df.where("doc_id < 7"), reverse=True).orderBy("doc_id").collect()] == texts[:7]
+
+
 def test_language_id(spark, odd_docs):
     from murmuration.llm.language_id import fit, predict
 
