@@ -174,6 +174,16 @@ def test_html(spark):
         assert all(a[i] in k for i in sorted(at))
 
 
+def test_shared_lines_of_long_pages():
+    from murmuration.llm.html_extract import shared_lines
+
+    # One more 'Reply' at the top; 1,701 times 3,400 was beyond the size at which lines were once matched k-th to k-th.
+    page = [x for i in range(1700) for x in (f"post {i}", "Reply")]
+    assert shared_lines(page, ["Reply", *page]) == set(range(3400))
+    assert len(shared_lines(["Reply", *page], page)) == 3400
+    assert shared_lines(page, [f"post {i}" for i in range(1700)]) == set(range(0, 3400, 2))
+
+
 def test_mixing(spark, odd_docs, sf):
     from murmuration.llm.mixing import apply_mix, mix_sources, permuted
 
