@@ -174,6 +174,25 @@ def test_html(spark):
         assert all(a[i] in k for i in sorted(at))
 
 
+@pytest.fixture
+def many_partitions(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_html_neighbours_in_other_partitions(spark, many_partitions):
+    from murmuration.llm.html_extract import extract_text
+
+    # A page per partition; the second host has one page and keeps its template.
+    rows = [(i, f"http://a.example/{i:02d}", f"<div>Menu A</div><div>Text {i} is told here</div><div>Foot</div>") for i in range(12)] + [(12, "http://b.example/", "<div>Menu A</div><div>Text</div>")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i} is told here" for i in range(12)} | {12: "Menu A\nText"}
+
+
 def test_shared_lines_of_long_pages():
     from murmuration.llm.html_extract import shared_lines
 
