@@ -193,6 +193,24 @@ def test_html_neighbours_in_other_partitions(spark, many_partitions):
     assert got == {i: f"Text {i} is told here" for i in range(12)} | {12: "Menu A\nText"}
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_html_copies(spark, request, spread):
+    from murmuration.llm.html_extract import extract_text
+
+    if spread:
+        request.getfixturevalue("many_partitions")
+    told = "Article {} tells more than the menu does, in a line of some length."
+    page = "<div>Menu A</div><div>" + told + "</div><div>Foot</div>{}"
+    rows = [(i, f"http://a.example/1?{i:03d}", page.format(1, "")) for i in range(60)]  # copies
+    rows += [(60 + i, f"http://a.example/2?{i:03d}", page.format(2, f"<div>Seen {i} times</div>")) for i in range(60)]  # near copies
+    rows += [(120, "http://a.example/3", page.format(3, "")), (121, "http://a.example/3", page.format(3, ""))]
+    rows += [(122 + i, "http://b.example/", page.format(4, "")) for i in range(3)]  # a host of copies only
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (*range(60), 120, 121)] == [told.format(1)] * 60 + [told.format(3)] * 2
+    assert [got[60 + i] for i in range(60)] == [f"{told.format(2)}\nSeen {i} times" for i in range(60)]
+    assert [got[122 + i] for i in range(3)] == ["\n".join(["Menu A", told.format(4), "Foot"])] * 3
+
+
 def test_shared_lines_of_long_pages():
     from murmuration.llm.html_extract import shared_lines
 
