@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +83,36 @@ def topic_digest(ranked: DataFrame) -> DataFrame:
 def preference_weights(votes: DataFrame) -> DataFrame:
     """feature, weight after all events in order: a vote makes w = clamp(0.95 w + 0.2 label, -0.5, 0.5), a decay 0.95 w.
 
-    votes: feature, at, tie, label (1, -1, or 0 for a decay). The fold needs a feature's events in one row; events per
-    feature are people's votes on it.
+    votes: feature, at, tie, label (1, -1, or 0 for a decay). Events of a feature may be a share of the whole table, so
+    they are cut into runs by range partitioning. A run of events is one map clamp(a w + b, lo, hi), as such maps
+    compose; a feature has one map a partition, and these are chained.
     """
-    each = votes.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("at", "tie", "label"))).alias("e"))
-    step = lambda w, e: F.when(e["label"] == 0, w * 0.95).otherwise(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), w * 0.95 + 0.2 * e["label"])))
-    return each.select("feature", F.round(F.aggregate("e", F.lit(0.0), step), 9).alias("weight"), F.size("e").cast("bigint").alias("events"))
+    name = votes.schema["feature"].dataType.simpleString()
+    ordered = votes.select("feature", "at", "tie", "label").repartitionByRange("feature", "at", "tie", "label").sortWithinPartitions("feature", "at", "tie", "label")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, feature, any_ = TaskContext.get().partitionId(), None, False
+        a, b, lo, hi, n = 1.0, 0.0, -math.inf, math.inf, 0
+        made = []
+        for pdf in batches:
+            for f, label in zip(pdf["feature"], pdf["label"]):
+                if not any_ or f != feature:
+                    if any_:
+                        made.append((feature, part, a, b, lo, hi, n))
+                    feature, any_, a, b, lo, hi, n = f, True, 1.0, 0.0, -math.inf, math.inf, 0
+                move = 0.2 * label
+                a, b, lo, hi, n = a * 0.95, b * 0.95 + move, lo * 0.95 + move, hi * 0.95 + move, n + 1
+                if label:
+                    lo, hi = max(-0.5, min(0.5, lo)), max(-0.5, min(0.5, hi))
+            yield pd.DataFrame(made, columns=["feature", "part", "a", "b", "lo", "hi", "n"])
+            made = []
+        if any_:
+            yield pd.DataFrame([(feature, part, a, b, lo, hi, n)], columns=["feature", "part", "a", "b", "lo", "hi", "n"])
+
+    maps = ordered.select("feature", "label").mapInPandas(fold, f"feature {name}, part int, a double, b double, lo double, hi double, n bigint")
+    each = maps.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("part", "a", "b", "lo", "hi"))).alias("m"), F.sum("n").alias("events"))
+    step = lambda w, m: F.greatest(m["lo"], F.least(m["hi"], m["a"] * w + m["b"]))
+    return each.select("feature", F.round(F.aggregate("m", F.lit(0.0), step), 9).alias("weight"), "events")
 
 
 def personal_score(features: DataFrame, weights: DataFrame) -> DataFrame:

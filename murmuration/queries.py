@@ -367,9 +367,9 @@ def _features(spark, sf):
     return view(spark, sf, "v_insight").select("insight_id", F.explode(made).alias("feature"), (F.col("o_totalprice") / 1000000).alias("prior"), "o_orderkey")
 
 
-def _votes(spark, sf):
-    """One insight in a hundred has a vote, one in a thousand marks a decay of its features."""
-    f = _features(spark, sf).where("o_orderkey % 100 = 0")
+def _votes(spark, sf, every: int = 100):
+    """One insight in every (a hundred) has a vote, one in a thousand marks a decay of its features."""
+    f = _features(spark, sf).where(F.col("o_orderkey") % every == 0)
     label = F.when(F.col("o_orderkey") % 1000 == 0, 0).when(F.col("o_orderkey") % 300 == 0, -1).otherwise(1)
     return f.select("feature", F.col("o_orderkey").alias("at"), F.col("insight_id").alias("tie"), label.alias("label"))
 
@@ -396,6 +396,17 @@ def personal_score(spark, sf):
     return rank.personal_score(_features(spark, sf), rank.preference_weights(_votes(spark, sf)).select("feature", "weight"))
 
 
+@query()
+def preference_weights_all(spark, sf):
+    """Every insight has a vote. No SQL: its recursion takes a step an event."""
+    return rank.preference_weights(_votes(spark, sf, every=1))
+
+
+@query()
+def personal_score_all(spark, sf):
+    return rank.personal_score(_features(spark, sf), rank.preference_weights(_votes(spark, sf, every=1)).select("feature", "weight"))
+
+
 @query("""SELECT l_returnflag AS stage, l_linestatus AS provider, n_name AS model, count(*) AS calls, sum(l_quantity) AS tokens, round(sum(l_extendedprice), 2) AS cost
     FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, n_name), (l_returnflag), ())""")
 def usage_rollup(spark, sf):
@@ -519,7 +530,7 @@ def match_greedy(spark, sf):
     from .operators.graph import match_greedy as greedy
 
     ensure_checkpoint_dir(spark)
-    li = view(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("run"), (F.col("l_partkey") % 200).alias("pred"), (F.col("l_suppkey") % 50).alias("gold")).agg(F.count("*").alias("overlap"))
+    li = view(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("pred"), F.col("l_suppkey").alias("gold")).agg(F.count("*").alias("overlap"))
     return greedy(li.withColumn("rank", F.col("pred")))
 
 
