@@ -1,7 +1,7 @@
 """Bursts, sessions, cursors and reply interleave of the ordered messages of a chat.
 
 Message tables have chat, ms, ordinal, pos (place in the chat from 1), sender, recalled, reply_pos (place of the
-message replied to), state and topic. Windows go by chat; bursts go by (chat, strong session), which bounds a group.
+message replied to), state and topic. Windows go by chat; bursts go by chunks of places in a chat.
 """
 
 from __future__ import annotations
@@ -24,27 +24,78 @@ def strong_sessions(msg: DataFrame, gap_ms: int) -> DataFrame:
     return msg.withColumn("_open", opens).withColumn("session", F.sum("_open").over(in_chat().rowsBetween(Window.unboundedPreceding, 0))).drop("_open")
 
 
-def bursts(msg: DataFrame, p: Params) -> DataFrame:
+def bursts(msg: DataFrame, p: Params, chunk: int = 10_000) -> DataFrame:
     """Add burst (place of its first message in the chat).
 
     A message joins the burst before it if that has room, the gap is under the strong gap and either under the weak gap,
     or the message replies into the burst, or it has the same sender within the same-sender gap.
+
+    A chat is cut into chunks of places. All that a chunk needs of those before it is the size of the burst at its start,
+    burst_max at most, and the messages of that burst. So each chunk gives a map from that size to the size at its end;
+    the maps of a chat are chained, and each chunk is replayed from its size.
     """
-    rows = strong_sessions(msg, p.strong_gap_ms).select("chat", "session", "pos", "ms", "sender", "message_id", F.coalesce("reply_pos", F.lit(0)).alias("reply_pos"))
+    most = p.burst_max
+    chunk = max(chunk, most)
+    rows = msg.select("chat", "pos", "ms", "sender", "message_id", F.coalesce("reply_pos", F.lit(0)).alias("reply_pos"))
+    own = F.floor((F.col("pos") - 1) / chunk)
+    last_ones = (F.col("pos") - 1) % chunk >= chunk - most
+    rows = rows.withColumn("own", own).withColumn("chunk", F.explode(F.when(last_ones, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    kind = rows.schema["chat"].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def reader(pdf: pd.DataFrame):
+        """Places, number of messages before the chunk, and whether message i joins a burst of messages from at to i - 1."""
         pdf = pdf.sort_values("pos", ignore_index=True)
-        starts, start, size, last = [], 0, 0, None
-        for pos, ms, sender, reply in zip(pdf["pos"], pdf["ms"], pdf["sender"], pdf["reply_pos"]):
-            gap = ms - last[0] if last else 0
-            joins = last and size < p.burst_max and (gap < p.weak_gap_ms or start <= reply < pos or sender == last[1] and gap <= p.same_sender_ms)
-            start, size = (start, size + 1) if joins else (pos, 1)
-            last = ms, sender
-            starts.append(start)
+        pos, ms, sender, reply = (pdf[c].tolist() for c in ("pos", "ms", "sender", "reply_pos"))
+
+        def joins(at: int, i: int) -> bool:
+            gap = ms[i] - ms[i - 1]
+            return i - at < most and gap < p.strong_gap_ms and (gap < p.weak_gap_ms or pos[at] <= reply[i] < pos[i] or sender[i] == sender[i - 1] and gap <= p.same_sender_ms)
+
+        return pdf, pos, int((pdf["own"] < pdf["chunk"]).sum()), joins
+
+    def sizes(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, pos, lead, joins = reader(pdf)
+        end = len(pos)
+        exits: dict[int, int] = {}  # by start of a burst: size of the last burst of the chunk
+        out = []
+        for size in range(most + 1):
+            at, seen, i = lead - size, [], lead
+            if size > lead or lead and not size or end == lead:
+                out.append(0)  # cannot be
+                continue
+            while i < end:
+                if i == lead and not size or not (i > lead - size and joins(at, i)):
+                    at = i
+                    if at in exits:
+                        break
+                    seen.append(at)
+                i += 1
+            size_out = exits[at] if i < end else end - at
+            exits.update(dict.fromkeys(seen, size_out))
+            out.append(size_out)
+        return pd.DataFrame({"chat": pdf["chat"][:1], "chunk": pdf["chunk"][:1], "exits": [out]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk", ignore_index=True)
+        size, at = 0, []
+        for exits in pdf["exits"]:
+            at.append(size)
+            size = int(exits[size])
+        return pd.DataFrame({"chat": pdf["chat"], "chunk": pdf["chunk"], "entry": at})
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, pos, lead, joins = reader(pdf)
+        at, starts = lead - int(pdf["entry"].iloc[0]), []
+        for i in range(lead, len(pos)):
+            if i == at or not joins(at, i):
+                at = i
+            starts.append(pos[at])
+        pdf = pdf.iloc[lead:]
         return pd.DataFrame({"chat": pdf["chat"], "message_id": pdf["message_id"], "pos": pdf["pos"], "burst": starts})
 
-    kind = rows.schema["chat"].dataType.simpleString()
-    return rows.groupBy("chat", "session").applyInPandas(fold, f"chat {kind}, message_id string, pos long, burst long")
+    maps = rows.groupBy("chat", "chunk").applyInPandas(sizes, f"chat {kind}, chunk long, exits array<long>")
+    entries = maps.groupBy("chat").applyInPandas(chain, f"chat {kind}, chunk long, entry long")
+    return rows.join(entries, ["chat", "chunk"]).groupBy("chat", "chunk").applyInPandas(replay, f"chat {kind}, message_id string, pos long, burst long")
 
 
 def prefix_cursor(msg: DataFrame, stops: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ The text of a view is the same for both engines but for the names in ENGINES.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ENGINES = {
     "spark": {"ms": "unix_millis(CAST(ts AS TIMESTAMP))", "odate": "CAST(o_orderdate AS DATE)"},
@@ -53,10 +54,28 @@ VIEWS = {
 }
 
 
+#: Places in a chat are counted by spans of time.
+SPAN_MS = 600_000
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_event as its SQL has it, but no task sorts a chat: places are counted within spans of time, plus the spans before."""
+    rows = spark.sql(f"SELECT event_id, user_id, event_type, value, {ENGINES['spark']['ms']} AS ms, user_id % 2 AS chat FROM {{events}}", events=view(spark, sf_dir, "events"))
+    rows = rows.withColumn("_span", F.floor(F.col("ms") / SPAN_MS))
+    spans = rows.groupBy("chat", "_span").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("chat").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("chat").alias("_c"), F.col("_span").alias("_s"), before.alias("_before"))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("chat", "_span").orderBy("ms", "event_id")))
+    both = rows.join(spans, F.col("chat").eqNullSafe(F.col("_c")) & F.col("_span").eqNullSafe(F.col("_s")))
+    return both.select("event_id", "user_id", "event_type", "value", "ms", "chat", (F.col("_before") + F.col("_k")).alias("pos"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a table of the driver, as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "v_event":
+        return _events(spark, sf_dir)
     text, used = VIEWS[name], {}
     for other in [*TABLES, *VIEWS]:
         if other != name and f" {other}" in f" {text} ".replace("\n", " ") and any(f"{w} {other}" in text for w in ("FROM", "JOIN")):

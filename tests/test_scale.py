@@ -50,3 +50,39 @@ def test_match_on_whole_keys(spark, sf):
         if (run, pred) not in preds and (run, gold) not in golds:
             preds.add((run, pred)), golds.add((run, gold)), want.add((run, pred, gold, n))
     assert {(r.run, r.pred, r.gold, r.overlap) for r in QUERIES["match_greedy"](spark, sf).collect()} == want
+
+
+def test_bursts_in_chunks(spark, sf):
+    from murmuration.operators.segment import bursts
+    from murmuration.params import Params
+
+    rnd = random.Random(4)
+    p = Params(weak_gap_ms=30, strong_gap_ms=200, same_sender_ms=60, burst_max=5)
+    rows, want = [], {}
+    for chat in range(3):
+        ms, start, size, last = 0, 0, 0, None
+        for pos in range(1, 400 if chat else 41):
+            ms += rnd.choice([1, 10, 10, 29, 31, 50, 90, 250]) if chat < 2 else 1
+            sender, reply = rnd.choice("ab"), rnd.choice([None, max(1, pos - rnd.randint(1, 6))])
+            gap = ms - last[0] if last else 0
+            joins = last and size < 5 and gap < 200 and (gap < 30 or start <= (reply or 0) < pos or sender == last[1] and gap <= 60)
+            start, size = (start, size + 1) if joins else (pos, 1)
+            last = ms, sender
+            rows.append((chat, pos, ms, sender, f"m{chat}_{pos}", reply))
+            want[f"m{chat}_{pos}"] = start
+    msg = spark.createDataFrame(rows, "chat long, pos long, ms long, sender string, message_id string, reply_pos long")
+    for chunk in (5, 7, 20, 1000):
+        assert {r.message_id: r.burst for r in bursts(msg, p, chunk).collect()} == want, chunk
+
+
+def test_places_without_a_sort_of_a_chat(spark, sf):
+    from murmuration.plans.views import view
+
+    got = view(spark, sf, "v_event")
+    places = collections.defaultdict(list)
+    for r in got.orderBy("ms", "event_id").collect():
+        places[r.chat].append(r.pos)
+    assert len(places) == 2 and all(p == list(range(1, len(p) + 1)) for p in places.values())
+    # Events are numbered within spans, not within a chat.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(chat" in plan and "_span" in plan.split("row_number() windowspecdefinition(chat")[1].split(",")[1]
