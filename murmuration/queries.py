@@ -336,6 +336,19 @@ def inbox(spark, sf):
     return rows.where(keep).select("topic_id", "insight_id", "priority", "status")
 
 
+@query(f"""WITH {_RANK}, {_VER}, nw AS (SELECT insight_id, CASE WHEN failures = '' THEN 'verified' WHEN kind = 'topic_summary' AND bound_date IS NULL AND ok > 0 THEN 'unverified' ELSE 'rejected' END AS now FROM ve)
+    SELECT topic_id, insight_id, priority, CASE WHEN status = 'rejected' OR now = 'rejected' THEN 'rejected' WHEN status = 'unverified' OR now = 'unverified' THEN 'unverified' ELSE 'verified' END AS status,
+      status <> 'rejected' AND now <> 'rejected' AS shown
+    FROM rk JOIN nw USING (insight_id) WHERE lifecycle <> 'resolved' AND (priority = 'P0' OR priority = 'P1' AND coalesce({_OPEN}, true))""")
+def inbox_recheck(spark, sf):
+    """The inbox with evidence checked again when read: status is the worse of the stored one and the one now."""
+    now = verify_evidence(spark, sf).select("insight_id", F.col("status").alias("now"))
+    rows = _scored(spark, sf).where("lifecycle <> 'resolved'").join(now, "insight_id")
+    keep = (F.col("priority") == "P0") | ((F.col("priority") == "P1") & F.coalesce(rank.deadline_open(NOW_S), F.lit(True)))
+    status = rank.status_merge(F.col("status"), F.col("now"))
+    return rows.where(keep).select("topic_id", "insight_id", "priority", status.alias("status"), (status != "rejected").alias("shown"))
+
+
 @query(f"WITH {_RANK} SELECT topic_id, count(*) FILTER (priority = 'P0' AND status <> 'rejected') AS p0, count(*) FILTER (priority = 'P1' AND status <> 'rejected') AS p1, count(*) FILTER (priority = 'P2' AND status <> 'rejected') AS p2, count(*) FILTER (priority = 'P3' AND status <> 'rejected') AS p3, count(*) FILTER (status = 'rejected') AS rejected FROM rk GROUP BY topic_id")
 def inbox_counts(spark, sf):
     ok = F.col("status") != "rejected"
