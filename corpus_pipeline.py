@@ -27,9 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates (five words, similarity 0.8)."""
+    """The document with the smallest id of each component of near duplicates (five words, similarity 0.8); rows with a null id stay."""
     found = near_duplicate_documents(docs, n=5, num=80, den=100)
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def mix_sources(
     Returns a row per row of df: id_col, source, size (words of the text; null: 0), source_size, target (words that its
     source shall give), taken (words that the mix takes, repeats counted) and takes: array of (epoch, at, n), the runs
     of n words from word number at (from 0) that an epoch takes. A null source is a source of its own, the last. Rows
-    with one id count each. Sources without words have target 0. The same rows and seed give the same result, whatever
+    with one id, or a null id, count each. Sources without words have target 0. The same rows and seed give the same result, whatever
     their order or partitions. Other columns play no part.
     """
     sized = materialize(
@@ -142,27 +142,37 @@ def mix_sources(
     hi = F.least(at + size, F.col("block") * block + F.col("take"))
     used = (
         pieces.hint("merge").join(slots, ["sid", "block"])  # slots grow with the words: never broadcast
-        .select("_id", "sid", "at", "epoch", (lo - at).alias("from"), (hi - lo).alias("n"))
+        .select("sid", "at", "epoch", (lo - at).alias("from"), (hi - lo).alias("n"))
         .where("n > 0")
-        .groupBy("sid", "at", "_id")
+        .groupBy("sid", "at")  # one document: those with words have places of their own
         .agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", F.col("from").alias("at"), "n"))).alias("takes"))
     )
-    words = placed.where("size > 0").join(used, ["sid", "at", "_id"], "left")
+    words = placed.where("size > 0").join(used, ["sid", "at"], "left")
     none = placed.where("size = 0").withColumns({"taken": F.lit(None).cast("bigint"), "takes": F.lit(None).cast(used.schema["takes"].dataType)})
     columns = [F.col("_id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "takes"]
     return words.select(columns).unionByName(none.select(columns))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Documents as the mix takes them: a row per document and epoch, with the words taken in it, in order.
 
     A document taken whole in an epoch keeps its text as it is; of others the taken words are joined by single spaces.
-    Documents of which nothing is taken go.
+    Documents of which nothing is taken go. Documents with a null id are told apart by source, words and order of text.
     """
-    takes = mixed.where("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "takes")
+    takes = mixed.where("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "takes", F.lit(0).alias("_k"), F.lit(None).cast(mixed.schema["source"].dataType).alias("_source")).where("_id IS NOT NULL")
+    alike = Window.partitionBy("source", "size")
+    blank = mixed.where(F.col(id_col).isNull()).withColumn("_k", F.row_number().over(alike.orderBy(F.desc("taken"), "takes")))
+    takes = takes.union(blank.where("taken > 0").select(F.col(id_col), "size", "takes", "_k", "source"))
     epochs = F.array_distinct(F.transform("takes", lambda t: t["epoch"]))
-    each = takes.withColumn("_epoch", F.explode(epochs)).select("_id", "_size", F.expr("filter(takes, t -> t.epoch = _epoch)").alias("_takes"))
-    both = docs.join(each, docs[id_col] == F.col("_id"))
+    each = takes.withColumn("_epoch", F.explode(epochs)).select("_id", "_k", "_source", "_size", F.expr("filter(takes, t -> t.epoch = _epoch)").alias("_takes"))
+    named = each.where("_id IS NOT NULL").drop("_k", "_source")
+    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_w", words)
+    nameless = nameless.withColumn("_n", F.row_number().over(Window.partitionBy(source_col, "_w").orderBy(text_col)))
+    other = each.where("_id IS NULL").drop("_id")
+    other = nameless.join(other, nameless[source_col].eqNullSafe(F.col("_source")) & (F.col("_w") == F.col("_size")) & (F.col("_n") == F.col("_k")))
+    keep = [*docs.columns, "_size", "_takes"]
+    both = docs.join(named, docs[id_col] == F.col("_id")).select(keep).union(other.select(keep))
     whole = F.aggregate("_takes", F.lit(0).cast("bigint"), lambda s, t: s + t["n"]) == F.col("_size")
     part = F.expr(
         f"array_join(flatten(transform(array(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)), w -> flatten(transform(_takes, t -> slice(w, CAST(t.at AS INT) + 1, CAST(t.n AS INT)))))), ' ')"

@@ -259,6 +259,23 @@ def test_mixing(spark, odd_docs, sf):
     assert out.columns == docs.columns and n == sum(r.taken for r in mix_sources(docs).collect())
 
 
+def test_null_ids(spark):
+    import corpus_pipeline
+    from murmuration.llm.mixing import apply_mix, mix_sources
+
+    rows = [(None if i % 2 else i, " ".join(f"w{i}_{j}" for j in range(20 + i % 3)), "en", "ab"[i % 4 // 2], 1) for i in range(40)] + [(100, " ".join(f"w0_{j}" for j in range(20)), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mix_sources(docs)
+    got = rows_of(mixed)
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"] + 0.5) and any(r["taken"] for r in mine if r["doc_id"] is None)
+    taken = [w for r in apply_mix(docs, mixed).collect() for w in r.text.split()]
+    assert len(taken) == sum(r["taken"] for r in got) and max(collections.Counter(taken).values()) <= 4
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sum(r.doc_id is None for r in kept) == 20 and 100 not in [r.doc_id for r in kept]
+
+
 def test_chat(spark):
     from murmuration.llm.chat_format import FINGERPRINTS, fingerprint, format_turns, json_fingerprint, layout_of, read_turns, turns_from_json, turns_from_rows
 
