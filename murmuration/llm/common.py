@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="murmuration-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,17 +36,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def drop(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _left[:] = [x for x in _left if x[1] != path]
 
 
 @atexit.register
 def _drop_all() -> None:
-    for spark, path in _left:
+    for spark, path in list(_left):
         try:
             drop(spark, path)
         except Exception:  # the JVM may be gone already; nothing else depends on this
             return
 
 
+#: Shuffle files of a finished write are removed at once instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Arrow batches by bytes, so that rows with long texts come few at a time, on both sides of the pipe.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df itself; its session exchanges Arrow batches of BATCH_BYTES at most (or one row) with Python workers."""
+    df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -51,8 +68,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialize() that nothing will read again."""
+    for t in tables:
+        drop(t.sparkSession, t.scratch_path)
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def lean(run):
+    """A function for mapInArrow or mapInPandas that gives freed memory back when a partition ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -66,10 +115,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        e = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(e.union(low).distinct(), "edges")
+        stars = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = stars.groupBy("u").agg(F.min("v").alias("m"))
+        less = stars.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e, old = materialize(less.union(low).distinct(), "edges"), e
+        discard(old)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

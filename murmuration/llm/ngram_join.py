@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, text_runs
+from .common import bounded_batches, connected_components, discard, lean, materialize, text_runs
 
 FREQUENT = 1 << 20
 TASK_FREQUENT = 1 << 18
 COUNT_RUN = 2_000_000
 EARLIER = 8
-SALTS = 16
-FILTER_BITS = 1 << 24
+LIST_ROWS = 16_384
+FILTER_BITS = 1 << 28
+SKETCH_BITS = 8
 CACHE_ENTRIES = 250_000
 
 
@@ -109,7 +110,7 @@ def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
         top = seen.most_common(TASK_FREQUENT)
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in top], pa.int64()), pa.array([k for _, k in top], pa.int64())], names=["h", "k"])
 
-    counted = docs.mapInArrow(count, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
+    counted = docs.mapInArrow(lean(count), "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
     counted = materialize(counted.withColumn("size", F.floor(F.log2("k") * 64)), "counts")
     least, room = None, FREQUENT
     for r in counted.groupBy("size").count().orderBy(F.desc("size")).collect():  # at most 4096 sizes
@@ -119,6 +120,7 @@ def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
         least = r["size"]
     top = counted.where(F.lit(False) if least is None else F.col("size") >= least).select("k", "h").toArrow()  # at most FREQUENT rows
     k, h = top.column(0).to_numpy(), top.column(1).to_numpy()
+    discard(counted)
     return h[np.lexsort((h, k))].astype(np.int64).view(np.uint64)
 
 
@@ -128,8 +130,8 @@ def _needed(size, num: int, den: int):
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """A bit for each shingle, by the low bits of its hash, in the next power of two bits."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
+    """A bit for each shingle, by the low bits of its hash, in the next power of two above SKETCH_BITS bits a shingle."""
+    bits = 1 << max(6, (SKETCH_BITS * len(s) - 1).bit_length())
     on = np.zeros(bits, np.uint8)
     on[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on, bitorder="little").tobytes()
@@ -148,7 +150,7 @@ def sketch_difference(a: bytes, b: bytes) -> int:
 
 
 def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray, id_type: str) -> DataFrame:
-    """id, size of the set, digest of the set, digest of size and prefix, prefix, how many of its last shingles are frequent, sketch."""
+    """id, size of the set, digest of the set, digest of size and prefix, prefix, how many of its last shingles are frequent."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
 
@@ -158,11 +160,11 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
         words = _WordHash()
         for batch in batches:
             for ids, texts in text_runs(batch):
-                sizes, whole, group, prefixes, late_ones, sketches = [], [], [], [], [], []
+                sizes, whole, group, prefixes, late_ones = [], [], [], [], []
                 for s in shingle_sets(texts, n, words):
                     sizes.append(len(s))
                     if not len(s):
-                        whole.append(None), group.append(None), prefixes.append(None), late_ones.append(0), sketches.append(None)
+                        whole.append(None), group.append(None), prefixes.append(None), late_ones.append(0)
                         continue
                     late = []
                     if len(known):
@@ -177,33 +179,46 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
                     group.append(xxhash.xxh3_128_digest(b"%d:" % len(s) + prefix.tobytes()))
                     prefixes.append(prefix.view(np.int64))
                     late_ones.append(max(0, len(prefix) - (len(s) - len(late))))
-                    sketches.append(_sketch(s))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(late_ones, pa.int32()), pa.array(sketches, pa.binary())],
-                    names=["id", "n", "whole", "grp", "prefix", "late", "sketch"],
+                    [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(late_ones, pa.int32())],
+                    names=["id", "n", "whole", "grp", "prefix", "late"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, n bigint, whole binary, grp binary, prefix array<bigint>, late int, sketch binary")
+    return docs.mapInArrow(lean(run), f"id {id_type}, n bigint, whole binary, grp binary, prefix array<bigint>, late int")
 
 
 def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of docs whose ids are among ids, and a few others: a bitmap keeps most texts out of the shuffle that follows.
 
-    The bitmap has FILTER_BITS bits at most, whatever the input; when it is full it only lets more rows through.
+    ids is a written table. The bitmap has 16 bits an id, FILTER_BITS (32 MB) at most: it is broadcast. When it is that
+    full it lets more rows through, which the join that follows drops.
     """
-    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    bits = min(FILTER_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(id_col), F.lit(bits))
     words = ids.select((bit / 64).cast("bigint").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("_bits"))
     words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
     has = F.call_function("shiftrightunsigned", F.col("_bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
     return docs.withColumn("_word", (bit / 64).cast("bigint")).join(F.broadcast(words), "_word").where(has).select(*docs.columns)
 
 
-def _likely(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+def _ends(pairs: DataFrame, id_col: str) -> DataFrame:
+    return pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col)))
+
+
+def _likely(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) without those whose sketches show that they can't reach the similarity; no link is lost."""
-    some = _only(profiles.select("id", "n", "sketch"), pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordHash()
+        for batch in batches:
+            for ids, texts in text_runs(batch):
+                sets = shingle_sets(texts, n, words)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())], names=["id", "n", "sketch"])
+
+    some = _only(docs, _ends(pairs, id_col), id_col).select(id_col, text_col).mapInArrow(lean(sketch), f"id {kind}, n bigint, sketch binary")
     side = lambda k: some.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb")
-    kind = profiles.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,13 +227,13 @@ def _likely(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFr
             part = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (a, b) whose whole sets reach the similarity. Texts travel, which are smaller than their sets."""
     kind = docs.schema[id_col].dataType.simpleString()
-    some = _only(docs, pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))), id_col)
+    some = _only(docs, _ends(pairs, id_col), id_col)
     left = some.select(F.col(id_col).alias("a"), F.col(text_col).alias("ta"))
     right = some.select(F.col(id_col).alias("b"), F.col(text_col).alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
@@ -239,7 +254,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_
                 part = part.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def near_duplicate_documents(
@@ -252,7 +267,7 @@ def near_duplicate_documents(
     one shingle; one that is null or has no words has none and links with nothing. Texts are taken whole. Ids must be
     distinct (rows that repeat an id are one document in links, each with its row). Other columns play no part.
     """
-    docs = df.select(id_col, text_col)
+    docs = bounded_batches(df.select(id_col, text_col))
     id_type = docs.schema[0].dataType.simpleString()
     frequent = _frequent_shingles(docs, n)
     profiles = materialize(_profiles(docs, n, num, den, frequent, id_type), "profiles")
@@ -261,12 +276,18 @@ def near_duplicate_documents(
     groups = distinct.groupBy("grp").agg(F.min("rep").alias("g"), F.count("*").alias("members"))
     reps = materialize(distinct.join(groups, "grp").select("whole", "rep", "n", "g", "members"), "reps")
     leaders = reps.where("rep = g").select(F.col("g").alias("id"), "members")
+    # A posting is three numbers in the shuffle: the shingle (with the salt mixed in), the group, and size and position.
+    # Lists of frequent shingles are dealt over tasks of about LIST_ROWS groups; the leaders of those meet in a second step.
+    salts = max(1, -(-reps.count() // LIST_ROWS))
+    h = F.xxhash64("g")
+    mixed = F.xxhash64(F.pmod(h, F.lit(salts)))
+    often = F.col("pos") >= F.col("from")
     postings = some.select("id", "n", "prefix", "late").join(leaders, "id")
-    postings = postings.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("g"), "n", (F.size("prefix") - F.col("late")).alias("from"), F.xxhash64("id").alias("h"))
-    # Lists of frequent shingles are dealt over SALTS tasks; the leaders of those meet in a second step.
-    frequent_one = F.col("pos") >= F.col("from")
-    postings = postings.select("token", "g", "n", "pos", "h", frequent_one.alias("often"), F.when(frequent_one, F.pmod("h", F.lit(SALTS))).otherwise(0).alias("salt"))
-
+    postings = postings.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("g"), "n", (F.size("prefix") - F.col("late")).alias("from"))
+    postings = postings.select(
+        F.when(often, F.col("token").bitwiseXOR(mixed)).otherwise(F.col("token")).alias("list"), "g",
+        (F.col("n") * (1 << 32) + F.col("pos") * 2 + often.cast("bigint")).alias("at"),
+    )
 
     def fits(n1, p1, n2, p2):
         """Whether sets of sizes n1, n2 can reach the similarity if their first common shingle is at these positions."""
@@ -275,24 +296,33 @@ def near_duplicate_documents(
     canonical = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     one = F.struct("g", "n", "pos")
 
-    def led(rows: DataFrame, *key: str) -> DataFrame:
+    def led(rows: DataFrame, key: str) -> DataFrame:
         """Rows with the first of their list, the one before and the one after; windows that run row by row.
 
         The first has the fewest rarer shingles before this one: of near copies that is the least changed.
         """
-        w = Window.partitionBy(*key).orderBy("pos", "h", "g")
+        w = Window.partitionBy(key).orderBy("pos", "h", "g")
         return rows.withColumns({"l1": F.first(one).over(w.rowsBetween(Window.unboundedPreceding, 0)), "l2": F.lag(one).over(w), "next": F.lead("g").over(w)})
 
     def stars(rows: DataFrame) -> DataFrame:
         star = rows.where("l2 is not null").select("g", "n", "pos", F.explode(F.array("l1", "l2")).alias("l")).where(fits(F.col("l.n"), F.col("l.pos"), F.col("n"), F.col("pos")))
         return star.select(*canonical(F.col("g"), F.col("l.g"))).distinct()
 
-    shared = materialize(led(postings, "token", "salt").where("often or l2 is not null or next is not null").drop("next"), "postings")
+    low = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    opened = postings.select("list", "g", F.floor(F.col("at") / (1 << 32)).alias("n"), F.floor(low / 2).cast("int").alias("pos"), (low % 2 == 1).alias("often"), h.alias("h"))
+    shared = led(opened, "list").where("often or l2 is not null or next is not null").drop("next")
+    shared = materialize(shared.withColumn("token", F.when(F.col("often"), F.col("list").bitwiseXOR(mixed)).otherwise(F.col("list"))).drop("list"), "postings")
     heads = led(shared.where("often and l2 is null").select("token", "g", "n", "pos", "h"), "token")
     inside = reps.where("rep <> g").select(*canonical("rep", "g"))
     pairs = materialize(stars(shared).union(stars(heads)).union(inside).distinct(), "pairs")
-    check = lambda pairs: _verified(materialize(_likely(pairs, some, num, den), "likely"), docs, n, num, den, id_col, text_col)
-    links = materialize(check(pairs), "links")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        likely = materialize(_likely(pairs, docs, n, num, den, id_col, text_col), "likely")
+        found = materialize(_verified(likely, docs, n, num, den, id_col, text_col), "links")
+        discard(likely)
+        return found
+
+    links = check(pairs)
     components = connected_components(links)
 
     # Closing round: member level, only where a shingle still has several components.
@@ -315,6 +345,7 @@ def near_duplicate_documents(
         .join(pairs, ["a", "b"], "left_anti")
     )
     rest = materialize(rest, "rest")
+    discard(rows, shared, pairs)
     if rest.take(1):
         components = connected_components(links.union(check(rest)))
     found = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("whole", F.coalesce("component", "rep").alias("component_id"))

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_bpe import encode_texts
 
-    return encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
+    return encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False, decoded=False)
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

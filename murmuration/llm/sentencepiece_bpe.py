@@ -22,10 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_runs
+from .common import bounded_batches, lean, text_runs
 
 MARK = "▁"
-CACHE_ENTRIES = 250_000
+MEMO_ENTRIES = 160_000  # words, in each of two generations
+PAIR_ENTRIES = 200_000
+SHIFT = 20
+MASK = (1 << SHIFT) - 1
 
 
 class MergeTable:
@@ -37,6 +40,8 @@ class MergeTable:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = sp.get_piece_size()
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
+        if n > MASK:
+            raise ValueError("more pieces than the encoder's numbers hold")
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {sp.piece_to_id(f"<0x{v:02X}>"): v for v in range(256)}
         self.byte_ids = [sp.piece_to_id(f"<0x{v:02X}>") for v in range(256)]
@@ -67,6 +72,7 @@ class MergeTable:
             del self.rank[p]
         # Pieces that merging can't reach never occur in a result.
         self.rank = {p: s for p, s in self.rank.items() if len(p) == 1 or self.merge(p) == [p]}
+        self.digest = hashlib.sha256(repr((self.text, sorted(self.rank.items()))).encode()).hexdigest()
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.rank), "") for p in self.rank}
 
     def run(self, n: int) -> list[int]:
@@ -93,80 +99,104 @@ class MergeTable:
         return parts
 
 
-class _Cache(dict):
-    """A bounded memo; it starts anew when full, which costs time and changes no result."""
+class _Memo(dict):
+    """A bounded memo of two generations: a full one becomes the older, what is asked for again comes back from there.
 
-    def __init__(self, make):
-        self.make = make
+    Its bound costs time only and changes no result.
+    """
+
+    def __init__(self, make, entries: int = MEMO_ENTRIES):
+        self.make, self.entries, self.older = make, entries, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder; one serves all tasks of a worker process (see codec_of), so that its memos stay warm.
+
+    Pieces are numbers here: a match is (length - 1) << SHIFT | id, so of two matches the greater is the longer.
+    """
 
     def __init__(self, table: MergeTable):
         import ahocorasick
 
         self.table = table
+        match = {p: len(p) - 1 << SHIFT | table.ids[p] for p in table.rank}
         self.auto = ahocorasick.Automaton()
-        for p in table.rank:
-            self.auto.add_word(p, len(p))
+        for p, m in match.items():
+            if len(p) > 1:
+                self.auto.add_word(p, m)
         self.auto.make_automaton()
-        self.fits = _Cache(lambda pair: not pair[0] or table.merge(pair[0] + pair[1]) == [*pair])
-        self.marked = _Cache(lambda word: self._entry(MARK + word))
-        self.bare = _Cache(self._entry)
-        self.lone = table.ids[MARK]
-
-    def _entry(self, chunk: str) -> tuple[str, str]:
+        self.single = {p: m for p, m in match.items() if len(p) == 1}
+        self.shorter = {m: match.get(table.shorter[p], -1) for p, m in match.items()}
+        self.fits = _Memo(self._fits, PAIR_ENTRIES)
+        self.marked = _Memo(lambda word: self._entry(MARK + word, " " + word))
+        self.bare = _Memo(lambda word: self._entry(word, word))
+        self.spelled = [str(i) for i in range(len(table.text))]
+        self.lone = self.spelled[table.ids[MARK]]
+
+    def _fits(self, pair: int) -> bool:
+        """Whether two neighbouring pieces stay as they are when their text is merged again."""
+        left, right = self.table.text[pair >> SHIFT], self.table.text[pair & MASK]
+        return self.table.merge(left + right) == [left, right]
+
+    def _entry(self, chunk: str, plain: str) -> str | tuple[str, str]:
+        """Ids of a chunk, joined by commas; with the text that they decode to where that is another than the chunk's."""
         ids = self.chunk_ids(chunk)
-        return ",".join(map(str, ids)), self.pieces_text(ids)
+        joined, said = ",".join([self.spelled[i] for i in ids]), self.pieces_text(ids)
+        return joined if said == plain else (joined, said)
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a chunk with a blank mark at its start at most."""
-        n = len(chunk)
-        longest = [1] * n
-        for end, size in self.auto.iter(chunk):
-            at = end - size + 1
-            if size > longest[at]:
-                longest[at] = size
-        fits, shorter, failed, out, at, last = self.fits, self.table.shorter, 0, [], 0, ""
-        piece = chunk[: longest[0]] if n else ""
+        single, n = self.single, len(chunk)
+        try:
+            longest = [single[c] for c in chunk]
+        except KeyError:  # a character that is no piece merges with nothing, so what is around it stands alone
+            k = next(i for i, c in enumerate(chunk) if c not in single)
+            spelled = [self.table.byte_ids[v] for v in chunk[k].encode()]
+            return [*self.chunk_ids(chunk[:k]), *spelled, *self.chunk_ids(chunk[k + 1 :])]
+        for end, m in self.auto.iter(chunk):
+            at = end - (m >> SHIFT)
+            if m > longest[at]:
+                longest[at] = m
+        fits, shorter, failed, out, at = self.fits, self.shorter, 0, [], 0
+        m = longest[0] if n else 0
         while at < n:
-            end = at + len(piece)
-            if not failed >> end & 1 and fits[last, piece]:
-                out.append(piece)
-                at, last = end, piece
+            end = at + (m >> SHIFT) + 1
+            if not (failed and failed >> end & 1) and (not out or fits[(out[-1] & MASK) << SHIFT | m & MASK]):
+                out.append(m)
+                at = end
                 if at < n:
-                    piece = chunk[at : at + longest[at]]
+                    m = longest[at]
                 continue
-            piece = shorter.get(piece)
-            while not piece:  # nothing fits from here: this position fails for good, the piece before must shrink
+            m = shorter[m]
+            while m < 0:  # nothing fits from here: this position fails for good, the piece before must shrink
                 failed |= 1 << at
-                at -= len(last)
-                piece = shorter.get(out.pop())
-                last = out[-1] if out else ""
-        try:
-            return [self.table.ids[p] for p in out]
-        except KeyError:  # characters that are no piece
-            spelled = self.table.byte_ids
-            return [i for p in out for i in ([self.table.ids[p]] if p in self.table.ids else [spelled[v] for v in p.encode()])]
+                last = out.pop()
+                at -= (last >> SHIFT) + 1
+                m = shorter[last]
+        return [m & MASK for m in out]
 
-    def _runs(self, parts: list[str], out: list[str], text: list[str]) -> None:
-        """A line with two blanks in a row or a blank at its end: parts after its first word."""
+    def _parts(self, parts: list[str], out: list[str], text: list[str]) -> None:
+        """Parts of a line after its first word, where blanks repeat or end it, or a word decodes to another text."""
         blanks = 0
         for word in parts:
             if not word:
                 blanks += 1
                 continue
-            ids, said = self.marked[word]
+            ids = self.marked[word]
+            ids, said = (ids, " " + word) if isinstance(ids, str) else ids
             if blanks:
                 head, _, tail = ids.partition(",")
-                joins = head == str(self.lone)
+                joins = head == self.lone
                 run = self.table.run(blanks + joins)
                 out.append(",".join(map(str, run)))
                 text.append(self.pieces_text(run))
@@ -185,22 +215,28 @@ class Codec:
             return "", ""
         out: list[str] = []
         said: list[str] = []
-        end = str(self.table.byte_ids[10])
+        end = self.spelled[self.table.byte_ids[10]]
+        marked = self.marked.__getitem__
         for i, line in enumerate((" " + text.replace(MARK, " ")).split("\n")):
             if i:
                 out.append(end)
                 said.append("\n")
             first, *rest = line.split(" ")
             if first:
-                ids, word = self.bare[first]
+                ids = self.bare[first]
+                ids, word = (ids, first) if isinstance(ids, str) else ids
                 out.append(ids)
                 said.append(word)
-            if "" in rest:
-                self._runs(rest, out, said)
-            elif rest:
-                a, b = zip(*map(self.marked.__getitem__, rest))
-                out += a
-                said += b
+            if not rest:
+                continue
+            if "" not in rest:
+                try:
+                    out.append(",".join(map(marked, rest)))
+                    said.append(line[len(first) :])  # each word's ids were decoded and compared when its entry was made
+                    continue
+                except TypeError:
+                    pass
+            self._parts(rest, out, said)
         return ",".join(out), "".join(said)[1:]
 
     def pieces_text(self, ids: list[int]) -> str:
@@ -234,36 +270,51 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(table: MergeTable) -> Codec:
+    """The codec of this worker process for a table; tasks that follow each other find its memos warm."""
+    if table.digest not in _codecs:
+        _codecs.clear()
+        _codecs[table.digest] = Codec(table)
+    return _codecs[table.digest]
+
+
+def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
     """Encode every text and decode the ids again.
 
-    Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, if ids, the ids themselves (array of int) and the decoded
+    Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves (array of int) and the decoded
     text. One pass, no shuffle; rows are held in runs of bounded text, so a very long text costs its own length only. A null
-    or empty text
-    has no ids. Rows repeat as they come; other columns of df play no part. An empty table gives an empty result.
+    or empty text has no ids. Rows repeat as they come; other columns of df play no part. An empty table gives an empty
+    result.
     """
     table = MergeTable(model_path)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" if ids else ""
+    schema += (", ids array<int>" if ids else "") + (", decoded string" if decoded else "")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(table)
+        codec = codec_of(table)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
         for keys, texts in (piece for batch in batches for piece in text_runs(batch)):
-            n, digest, back, every, decoded = [], [], [], [], []
+            n, digest, back, every, said_all = [], [], [], [], []
             for text in texts:
                 joined, said = codec.encode(text or "")
                 n.append(joined.count(",") + 1 if joined else 0)
                 digest.append(sha(joined))
                 back.append(sha(said))
-                if ids:
-                    every.append(np.fromstring(joined, np.int32, sep=",") if joined else np.array([], np.int32))
-                    decoded.append(said)
+                if ids and joined:
+                    every.append(joined)
+                if decoded:
+                    said_all.append(said)
             cols = [keys, pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
             if ids:
-                cols += [pa.array(every, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
+                flat = np.fromstring(",".join(every), np.int32, sep=",") if every else np.array([], np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat)))
+            if decoded:
+                cols.append(pa.array(said_all, pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(df.select(id_col, text_col)).mapInArrow(lean(run), schema)
