@@ -48,6 +48,14 @@ def _drop_all() -> None:
             return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Shuffle files of a finished write are removed at once instead of when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Arrow batches by bytes, so that rows with long texts come few at a time, on both sides of the pipe.

@@ -1,28 +1,37 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-Each source's words, document after document, are one stream, cut into blocks of a fixed number of words. A source
-whose target is t words gets as many slots as t words need. Its slots fall on the output shards by a multinomial draw,
-so that every shard's source counts are a random draw with the target weights while the sum over the shards is the
-quota itself. Slot j of a source is in epoch j // blocks and takes block pi(j % blocks), where pi is a keyed permutation
-of the indices, one per source and epoch; slots and blocks meet in a join on (source, block). As an epoch uses a block
-once and no target exceeds twice its source, no word is taken more than twice. The last slot is cut so that a source
-gives exactly its rounded target.
+Each source's words, document after document, are one stream, cut into blocks of a fixed number of words. The mix is a
+row of output shards of SHARD_SLOTS slots, a block each:
+
+1. every shard draws its source counts from one multinomial with the target weights, by a generator keyed by the shard;
+2. the sum of a source's draws decides how many words it gives, held within SETTLE of its target and twice its size;
+   where it was held, its counts shrink or grow in proportion, shard after shard by running sums;
+3. slot j of a source is in epoch j // blocks and takes block pi(j % blocks), where pi is a keyed permutation of the
+   indices, one per source and epoch; a keyed permutation of the shard's places says where the block stands in the shard;
+4. slots and blocks meet in a join on (source, block). An epoch uses a block once, so no word is taken more than twice.
+
+Sources are a list with a row each that every drawing task knows; nothing else that grows with the input leaves its tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 256
 SHARD_SLOTS = 4096
-MAX_SHARDS = 4096
-DOCS_PER_BUCKET = 100_000
+#: How far from its target the drawn counts may leave a source, as a part of the target.
+SETTLE = 0.005
+DOCS_PER_BUCKET = 1_000
+SLOTS_PER_TASK = 200_000
+SHARDS_PER_TASK = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,13 +63,13 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """source, sid, source_size, target: weights repeat over the sources by code point, null last.
+    """source, sid, docs, source_size, target: weights repeat over the sources by code point, null last.
 
     Targets sum to share of all sizes. None exceeds limit times its source's size; what is above goes to the others by
     weight until none is above. That leaves level * weight for the others, and the level follows from running sums over
     the sources in order of limit * size / weight.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
     sums = sums.withColumn("sid", place)
     sums = sums.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") - 1) % len(weights) + 1))
@@ -75,52 +84,97 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, limit:
     ).withColumn("level", (F.lit(share * total) - F.col("filled")) / F.col("open"))
     level = steps.where("level <= ratio").orderBy("k").select("level").first()
     level = float("inf") if level is None else level[0]
-    return sums.select("source", "sid", "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
+    return sums.select("source", "sid", "docs", "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def _before(rows: DataFrame, key: str, at: str, n: str, run: int = 4096) -> DataFrame:
+    """Sum of n over the rows of key before this one in order of the whole number at: adds column _before.
+
+    Runs of places are summed first, so that no window holds more than a run or a row a run.
+    """
+    coarse = F.floor(F.col(at) / run)
+    sums = rows.groupBy(key, coarse.alias("_run")).agg(F.sum(n).alias("_n"))
+    earlier = lambda *by: Window.partitionBy(key, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "_run", F.coalesce(F.sum("_n").over(earlier("_run")), F.lit(0)).alias("_far"))
+    near = rows.withColumn("_run", coarse).withColumn("_near", F.coalesce(F.sum(n).over(earlier("_run", at)), F.lit(0)))
+    return near.join(sums, [key, "_run"]).withColumn("_before", F.col("_near") + F.col("_far")).drop("_run", "_near", "_far")
+
+
+def draw_counts(spark, sources: list, block: int, shard_slots: int, seed: int) -> DataFrame:
+    """sid, shard, n: how many blocks of each source each output shard draws; sources: rows of sid, target."""
+    sids, targets = np.array([r.sid for r in sources], np.int64), np.array([r.target for r in sources], float)
+    slots = int(-(-targets.sum() // block))
+    shards = -(-slots // shard_slots)
+    weights = targets / targets.sum() if slots else targets
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for shard in pdf["id"]:
+                size = min(shard_slots, slots - shard * shard_slots)
+                counts = np.random.Generator(np.random.Philox(key=[seed, shard])).multinomial(size, weights)
+                has = counts > 0
+                yield pd.DataFrame({"sid": sids[has], "shard": shard, "n": counts[has]})
+
+    return spark.range(0, shards, 1, max(1, -(-shards // SHARDS_PER_TASK))).mapInPandas(draw, "sid int, shard bigint, n bigint")
+
+
+def settled_counts(drawn: DataFrame, plan: DataFrame, block: int, limit: int, settle: float) -> DataFrame:
+    """sid, words, give (words that the source gives), shard, start, n: the drawn counts, settled.
+
+    plan: sid, words, target. A source that no shard drew stands in a shard chosen by its number.
+    """
+    shards = drawn.agg(F.max("shard")).first()[0] or 0
+    missing = plan.join(drawn.select("sid").distinct(), "sid", "left_anti").select("sid", F.pmod(F.xxhash64("sid"), F.lit(shards + 1)).alias("shard"), F.lit(1).cast("bigint").alias("n"))
+    drawn = drawn.union(missing)
+    sums = drawn.groupBy("sid").agg(F.sum("n").alias("drawn"))
+    give = F.greatest(F.least(F.col("drawn") * float(block), F.col("target") * (1 + settle)), F.col("target") * (1 - settle))
+    give = F.least(F.round(give).cast("bigint"), F.col("words") * limit)
+    per_epoch = F.ceil(F.col("words") / block)
+    slots = F.floor(F.col("give") / F.col("words")) * per_epoch + F.ceil(F.col("give") % F.col("words") / block)
+    sums = plan.join(sums, "sid").withColumn("give", give).withColumn("slots", slots).where("give > 0")
+    rows = _before(drawn, "sid", "shard", "n").join(F.broadcast(sums), "sid")  # a row a source
+    part = lambda c: f"CAST({c} AS DECIMAL(19, 0)) * CAST(slots AS DECIMAL(19, 0)) DIV CAST(drawn AS DECIMAL(19, 0))"
+    rows = rows.withColumn("start", F.expr(part("_before"))).withColumn("n", F.expr(f"{part('(_before + n)')} - start"))
+    return rows.where("n > 0").select("sid", "words", "give", "shard", "start", "n")
 
 
 def mix_sources(
-    df: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, block: int = BLOCK, seed: int = 1,
+    df: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, block: int = BLOCK, seed: int = 1, shard_slots: int = SHARD_SLOTS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """Which words of which documents a mix of the sources takes.
+    """Which words of which documents a mix of the sources takes, and where they stand in it.
 
     Returns a row per row of df: id_col, source, size (words of the text; null: 0), source_size, target (words that its
-    source shall give), taken (words that the mix takes, repeats counted) and takes: array of (epoch, at, n), the runs
-    of n words from word number at (from 0) that an epoch takes. A null source is a source of its own, the last. Rows
-    with one id, or a null id, count each. Sources without words have target 0. The same rows and seed give the same result, whatever
-    their order or partitions. Other columns play no part.
+    source shall give), taken (words that the mix takes, repeats counted) and takes: array of (epoch, at, n, shard,
+    place), the runs of n words from word number at (from 0) that an epoch takes, and the shard and its block to which
+    they go. A source's taken words are within SETTLE of its target (and half a word). A null source is a source of its own, the last. Rows
+    with one id, or a null id, count each. Sources without words have target 0; an empty table gives an empty result. The
+    same rows and seed give the same result, whatever their order or partitions. Other columns play no part.
     """
     sized = materialize(
         df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes"
     )
     sources = materialize(source_targets(sized, weights, share, limit), "targets")
-    buckets = max(16, sized.count() // DOCS_PER_BUCKET)
     keyed = sized.join(sources.withColumnRenamed("source", "_s"), sized["source"].eqNullSafe(F.col("_s"))).drop("_s")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(buckets)))
-    # Word offsets of documents in their source: within a bucket, plus the words of the buckets before it.
-    base = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    base = base.select("sid", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # Word offsets of documents in their source: within a bucket of some documents, plus the words of the buckets before it.
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("_id", "size"), F.ceil(F.col("docs") / DOCS_PER_BUCKET)))
+    base = _before(keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "sid", "bucket", "n").select("sid", "bucket", F.col("_before").alias("base"))
     inside = Window.partitionBy("sid", "bucket").orderBy("_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["sid", "bucket"])
-    placed = placed.withColumn("at", F.col("before") + F.col("base")).drop("before", "base", "bucket")
+    placed = placed.withColumn("at", F.col("before") + F.col("base")).drop("before", "base", "bucket", "docs")
 
-    plan = sources.where("source_size > 0").select("sid", F.col("source_size").alias("words"), F.least(F.round("target").cast("bigint"), F.col("source_size") * limit).alias("t"))
-    total = plan.agg(F.sum(F.col("t") / block)).first()[0] or 0
-    shards = int(min(MAX_SHARDS, max(1, -(-total // SHARD_SLOTS))))
+    plan = sources.where("source_size > 0").select("sid", F.col("source_size").alias("words"), "target")
+    known = plan.orderBy("sid").collect()  # a row a source
+    total = -(-int(sum(r.target for r in known)) // block)
+    drawn = materialize(draw_counts(df.sparkSession, known, block, shard_slots, seed), "drawn")
+    counts = settled_counts(drawn, plan, block, limit, SETTLE)
+    in_shard = Window.partitionBy("shard")
+    first = F.coalesce(F.sum("n").over(in_shard.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"first": first, "all": F.sum("n").over(in_shard)})
 
-    def draw(batches):
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for sid, words, t in pdf.itertuples(index=False):
-                per_epoch = -(-words // block)
-                slots = t // words * per_epoch + -(-(t % words) // block)
-                counts = np.random.Generator(np.random.Philox(key=[seed, sid])).multinomial(slots, np.full(shards, 1 / shards))
-                starts = np.cumsum(counts) - counts
-                has = counts > 0
-                yield pd.DataFrame({"sid": sid, "words": words, "t": t, "shard": np.flatnonzero(has), "start": starts[has], "n": counts[has]})
-
-    def deal(batches):
-        for pdf in batches:
-            for sid, words, t, shard, start, n in pdf.itertuples(index=False):
+            for sid, words, give, shard, start, n, first, all_ in pdf.itertuples(index=False):
                 full, per_epoch = words // block, -(-words // block)
                 for lo in range(start, start + n, 1_000_000):
                     j = np.arange(lo, min(start + n, lo + 1_000_000))
@@ -129,12 +183,13 @@ def mix_sources(
                     for e in np.unique(epoch):
                         own = (epoch == e) & (i < full)
                         b[own] = permuted(i[own], full, seed * 1_000_003 + sid * 31 + int(e))
-                    left = t - epoch * words - i * block  # words of the quota before this slot is filled
+                    left = give - epoch * words - i * block  # words still to give before this slot is filled
                     take = np.minimum(np.where(i < full, block, words - full * block), left)
-                    yield pd.DataFrame({"sid": sid, "block": b, "epoch": epoch.astype("int32"), "take": take, "shard": shard})
+                    place = permuted(j - start + first, all_, seed * 7_919 + shard)
+                    yield pd.DataFrame({"sid": sid, "block": b, "epoch": epoch.astype("int32"), "take": take, "shard": shard, "place": place})
 
-    drawn = plan.mapInPandas(draw, "sid int, words bigint, t bigint, shard bigint, start bigint, n bigint").repartition(F.col("sid"), F.col("shard"))
-    slots = drawn.mapInPandas(deal, "sid int, block bigint, epoch int, take bigint, shard bigint")
+    tasks = max(1, -(-total // SLOTS_PER_TASK))
+    slots = counts.repartition(tasks, "sid", "shard").mapInPandas(deal, "sid int, block bigint, epoch int, take bigint, shard bigint, place bigint")
 
     size, at = F.col("size"), F.col("at")
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))))
@@ -142,10 +197,10 @@ def mix_sources(
     hi = F.least(at + size, F.col("block") * block + F.col("take"))
     used = (
         pieces.hint("merge").join(slots, ["sid", "block"])  # slots grow with the words: never broadcast
-        .select("sid", "at", "epoch", (lo - at).alias("from"), (hi - lo).alias("n"))
+        .select("sid", "at", "epoch", (lo - at).alias("from"), (hi - lo).alias("n"), "shard", "place")
         .where("n > 0")
         .groupBy("sid", "at")  # one document: those with words have places of their own
-        .agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", F.col("from").alias("at"), "n"))).alias("takes"))
+        .agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", F.col("from").alias("at"), "n", "shard", "place"))).alias("takes"))
     )
     words = placed.where("size > 0").join(used, ["sid", "at"], "left")
     none = placed.where("size = 0").withColumns({"taken": F.lit(None).cast("bigint"), "takes": F.lit(None).cast(used.schema["takes"].dataType)})
@@ -153,28 +208,61 @@ def mix_sources(
     return words.select(columns).unionByName(none.select(columns))
 
 
+def _words_of(text_col: str, takes: str) -> Column:
+    """The words of a text that takes name, joined by single spaces."""
+    return F.expr(
+        f"array_join(flatten(transform(array(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)), w -> flatten(transform({takes}, t -> slice(w, CAST(t.at AS INT) + 1, CAST(t.n AS INT)))))), ' ')"
+    )
+
+
+def _matched(docs: DataFrame, takes: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
+    """Documents with rows of takes (_id, _k, _source, _size, more): by id, those without one by source, words and order of text."""
+    keep = [*docs.columns, "_size", *more]
+    named = takes.where("_id IS NOT NULL").drop("_k", "_source")
+    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
+    w, k = unused(docs, "_w"), unused(docs, "_n")
+    nameless = docs.where(F.col(id_col).isNull()).withColumn(w, words)
+    nameless = nameless.withColumn(k, F.row_number().over(Window.partitionBy(source_col, w).orderBy(text_col)))
+    other = takes.where("_id IS NULL").drop("_id")
+    other = nameless.join(other, nameless[source_col].eqNullSafe(F.col("_source")) & (F.col(w) == F.col("_size")) & (F.col(k) == F.col("_k")))
+    return docs.join(named, docs[id_col] == F.col("_id")).select(keep).union(other.select(keep))
+
+
+def _taken_rows(mixed: DataFrame, id_col: str) -> DataFrame:
+    """_id, _k, _source, _size, takes of the documents that the mix takes; _k numbers those without an id that look alike."""
+    none = F.lit(None).cast(mixed.schema["source"].dataType)
+    rows = mixed.where(F.col(id_col).isNotNull() & (F.col("taken") > 0)).select(F.col(id_col).alias("_id"), F.lit(0).alias("_k"), none.alias("_source"), F.col("size").alias("_size"), "takes")
+    alike = Window.partitionBy("source", "size").orderBy(F.desc("taken"), "takes")
+    blank = mixed.where(F.col(id_col).isNull()).withColumn("_k", F.row_number().over(alike)).where("taken > 0")
+    return rows.union(blank.select(id_col, "_k", "source", "size", "takes"))
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Documents as the mix takes them: a row per document and epoch, with the words taken in it, in order.
 
     A document taken whole in an epoch keeps its text as it is; of others the taken words are joined by single spaces.
     Documents of which nothing is taken go. Documents with a null id are told apart by source, words and order of text.
+    Columns of docs must not begin with _id, _k, _source, _size or _takes.
     """
-    takes = mixed.where("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "takes", F.lit(0).alias("_k"), F.lit(None).cast(mixed.schema["source"].dataType).alias("_source")).where("_id IS NOT NULL")
-    alike = Window.partitionBy("source", "size")
-    blank = mixed.where(F.col(id_col).isNull()).withColumn("_k", F.row_number().over(alike.orderBy(F.desc("taken"), "takes")))
-    takes = takes.union(blank.where("taken > 0").select(F.col(id_col), "size", "takes", "_k", "source"))
     epochs = F.array_distinct(F.transform("takes", lambda t: t["epoch"]))
-    each = takes.withColumn("_epoch", F.explode(epochs)).select("_id", "_k", "_source", "_size", F.expr("filter(takes, t -> t.epoch = _epoch)").alias("_takes"))
-    named = each.where("_id IS NOT NULL").drop("_k", "_source")
-    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("_w", words)
-    nameless = nameless.withColumn("_n", F.row_number().over(Window.partitionBy(source_col, "_w").orderBy(text_col)))
-    other = each.where("_id IS NULL").drop("_id")
-    other = nameless.join(other, nameless[source_col].eqNullSafe(F.col("_source")) & (F.col("_w") == F.col("_size")) & (F.col("_n") == F.col("_k")))
-    keep = [*docs.columns, "_size", "_takes"]
-    both = docs.join(named, docs[id_col] == F.col("_id")).select(keep).union(other.select(keep))
+    each = _taken_rows(mixed, id_col).withColumn("_epoch", F.explode(epochs)).select("_id", "_k", "_source", "_size", F.expr("filter(takes, t -> t.epoch = _epoch)").alias("_takes"))
+    both = _matched(docs, each, id_col, text_col, source_col, "_takes")
     whole = F.aggregate("_takes", F.lit(0).cast("bigint"), lambda s, t: s + t["n"]) == F.col("_size")
-    part = F.expr(
-        f"array_join(flatten(transform(array(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)), w -> flatten(transform(_takes, t -> slice(w, CAST(t.at AS INT) + 1, CAST(t.n AS INT)))))), ' ')"
+    return both.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(_words_of(text_col, "_takes"))).select(*docs.columns)
+
+
+def mixed_blocks(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as it is written: shard, place, source, text (the block's words, joined by single spaces), docs (their ids, in order).
+
+    Write it with partitionBy("shard"), or repartition it by shard and sort by place.
+    """
+    each = _taken_rows(mixed, id_col).select("_id", "_k", "_source", "_size", F.explode("takes").alias("_take"))
+    both = _matched(docs, each, id_col, text_col, source_col, "_take")
+    piece = both.select(
+        F.col("_take.shard").alias("shard"), F.col("_take.place").alias("place"), F.col(source_col).alias("source"),
+        F.struct(F.col("_take.at").alias("at"), F.col(id_col).alias("id"), _words_of(text_col, "array(_take)").alias("words")).alias("piece"),
     )
-    return both.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).select(*docs.columns)
+    # Of a block, the document whose words begin before it comes first, then those that begin in it, by id.
+    order = F.array_sort(F.collect_list(F.struct((F.col("piece.at") == 0).alias("begins"), F.col("piece.id").alias("id"), F.col("piece.words").alias("words"))))
+    rows = piece.groupBy("shard", "place", "source").agg(order.alias("p"))
+    return rows.select("shard", "place", "source", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("text"), F.transform("p", lambda x: x["id"]).alias("docs"))

@@ -34,48 +34,95 @@ EARLIER = 8
 LIST_ROWS = 16_384
 FILTER_BITS = 1 << 28
 SKETCH_BITS = 8
-CACHE_ENTRIES = 250_000
+WORD_RUN = 1 << 20
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
+class _Bytes:
+    """Fixed tables of word hashing: a random number for each byte (A-Z as a-z), white space, and powers of an odd number."""
+
+    rnd = np.random.Generator(np.random.Philox(key=20))
+    value = rnd.integers(0, 2**64, 256, np.uint64)
+    value[65:91] = value[97:123]
+    white = np.zeros(256, bool)
+    white[[9, 10, 11, 12, 13, 32]] = True
+    base = 0x9E3779B97F4A7C15 | 3
+    inverse = pow(base, -1, 2**64)
+    up = down = np.ones(1, np.uint64)
 
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            make = lambda x: np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, x, np.uint64))))
+            if n > 2 * WORD_RUN:  # one very long text: not kept
+                return make(cls.base), make(cls.inverse)
+            cls.up, cls.down = make(cls.base), make(cls.inverse)
+        return cls.up[:n], cls.down[:n]
 
 
-def shingle_sets(texts: list[str | None], n: int, words: _WordHash) -> list[np.ndarray]:
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word (run without ASCII white space, A-Z lowered) of UTF-8 bytes.
+
+    A word's hash is its sum of byte values times powers of an odd number, from differences of running sums, then mixed.
+    Bytes go in runs of about WORD_RUN that end at white space.
+    """
+    buf = np.frombuffer(raw, np.uint8)
+    white = _Bytes.white[buf]
+    starts, hashes, at = [], [], 0
+    while at < len(buf):
+        end = min(at + WORD_RUN, len(buf))
+        while end < len(buf) and not white[end]:
+            more = np.flatnonzero(white[end : end + WORD_RUN])
+            end = end + int(more[0]) if len(more) else min(end + WORD_RUN, len(buf))
+        w = white[at:end]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], w, [True]))))
+        lo, hi = edge[::2], edge[1::2]
+        up, down = _Bytes.powers(end - at)
+        total = np.concatenate(([np.uint64(0)], np.cumsum(np.where(w, np.uint64(0), _Bytes.value[buf[at:end]]) * up)))
+        h = (total[hi] - total[lo]) * down[lo]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        starts.append(lo + at)
+        hashes.append(h ^ (h >> np.uint64(32)))
+        at = end
+    none = np.array([], np.uint64)
+    return np.concatenate([none.astype(np.int64), *starts]), np.concatenate([none, *hashes])
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a text of fewer than n words is one shingle, none is empty.
 
     Words are runs without ASCII white space, A-Z lowered; hashes stand for shingles (two of one pair of documents
     agree by chance about once in 10**13 documents of a thousand words).
     """
-    split = [t.encode().lower().split() if t else [] for t in texts]
-    size = np.array([len(s) for s in split])
-    h = np.fromiter((words[w] for s in split for w in s), np.uint64, int(size.sum()))
-    mixed = h * np.uint64(0x9E3779B97F4A7C15)
+    raw = [t.encode() if t else b"" for t in texts]
+    starts, h = word_hashes(b" ".join(raw))
+    first = np.cumsum([0, *[len(r) + 1 for r in raw]])
+    edge = np.searchsorted(starts, first)
     with np.errstate(over="ignore"):
-        full = mixed[: max(0, len(h) - n + 1)].copy()
+        full = h[: max(0, len(h) - n + 1)] * np.uint64(0x9E3779B97F4A7C15)
         for k in range(1, n):
             full ^= full >> np.uint64(32)
             full = full * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(full)]
         full ^= full >> np.uint64(31)
         full *= np.uint64(0xC4CEB9FE1A85EC53)
         full ^= full >> np.uint64(29)
-    out, at = [], 0
-    for s in size.tolist():
-        if s >= n:
-            out.append(np.unique(full[at : at + s - n + 1]))
-        elif s:
+    out = []
+    for at, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        size = end - at
+        if size >= n:
+            out.append(_distinct(full[at : end - n + 1]))
+        elif size:
             import xxhash
 
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join([b"%d" % s, h[at : at + s].tobytes()]))], np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(b"%d" % size + h[at:end].tobytes())], np.uint64))
         else:
             out.append(np.array([], np.uint64))
-        at += s
     return out
 
 
@@ -87,11 +134,13 @@ def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, held, n_held = _WordHash(), Counter(), [], 0
+        seen, held, n_held = Counter(), [], 0
 
         def fold() -> None:
             nonlocal seen, n_held
-            h, k = np.unique(np.concatenate(held) if held else np.array([], np.uint64), return_counts=True)
+            every = np.sort(np.concatenate([np.array([], np.uint64), *held]))
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.array([], np.int64)
+            h, k = every[first], np.diff(np.append(first, len(every)))
             more = k > 1
             seen.update(dict(zip(h[more].view(np.int64).tolist(), k[more].tolist())))
             if len(seen) > 2 * TASK_FREQUENT:
@@ -101,7 +150,7 @@ def _frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
         for batch in batches:
             for _, texts in text_runs(batch):
-                for s in shingle_sets(texts, n, words):
+                for s in shingle_sets(texts, n):
                     held.append(s)
                     n_held += len(s)
                 if n_held > COUNT_RUN:
@@ -157,11 +206,10 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words = _WordHash()
         for batch in batches:
             for ids, texts in text_runs(batch):
                 sizes, whole, group, prefixes, late_ones = [], [], [], [], []
-                for s in shingle_sets(texts, n, words):
+                for s in shingle_sets(texts, n):
                     sizes.append(len(s))
                     if not len(s):
                         whole.append(None), group.append(None), prefixes.append(None), late_ones.append(0)
@@ -210,13 +258,13 @@ def _likely(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordHash()
         for batch in batches:
             for ids, texts in text_runs(batch):
-                sets = shingle_sets(texts, n, words)
+                sets = shingle_sets(texts, n)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())], names=["id", "n", "sketch"])
 
-    some = _only(docs, _ends(pairs, id_col), id_col).select(id_col, text_col).mapInArrow(lean(sketch), f"id {kind}, n bigint, sketch binary")
+    some = _only(docs, _ends(pairs, id_col), id_col).select(id_col, text_col)
+    some = materialize(some.mapInArrow(lean(sketch), f"id {kind}, n bigint, sketch binary"), "sketches")
     side = lambda k: some.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("na") + F.col("nb"), "sa", "sb")
 
@@ -227,7 +275,9 @@ def _likely(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_co
             part = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
 
-    return both.mapInArrow(lean(run), f"a {kind}, b {kind}").distinct()
+    out = materialize(both.mapInArrow(lean(run), f"a {kind}, b {kind}").distinct(), "likely")
+    discard(some)
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -239,17 +289,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, id_
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordHash()
         last, known = None, None  # rows come in order of a
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
                 heads, keep = part.column(0).to_pylist(), []
-                others = shingle_sets(part.column(3).to_pylist(), n, words)
+                others = shingle_sets(part.column(3).to_pylist(), n)
                 for head, text, other in zip(heads, part.column(2), others):
                     if known is None or head != last:
-                        last, known = head, shingle_sets([text.as_py()], n, words)[0]
-                    shared = len(known) + len(other) - len(np.union1d(known, other))
+                        last, known = head, shingle_sets([text.as_py()], n)[0]
+                    shared = len(known) + len(other) - len(_distinct(np.concatenate([known, other])))
                     keep.append(den * shared >= num * (len(known) + len(other) - shared))
                 part = part.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
@@ -317,7 +366,7 @@ def near_duplicate_documents(
     pairs = materialize(stars(shared).union(stars(heads)).union(inside).distinct(), "pairs")
 
     def check(pairs: DataFrame) -> DataFrame:
-        likely = materialize(_likely(pairs, docs, n, num, den, id_col, text_col), "likely")
+        likely = _likely(pairs, docs, n, num, den, id_col, text_col)
         found = materialize(_verified(likely, docs, n, num, den, id_col, text_col), "links")
         discard(likely)
         return found
