@@ -2,8 +2,9 @@
 
 Everything here is column expressions; no Python runs on the executors.
 
-A layout is told by the set of its nested field paths: the hash of the sorted paths selects a declared mapping from
-that layout to turns (role, text). Only paths that some mapping names count, so further fields do no harm.
+A layout is told by its nested field paths: of the paths that a table or object has, those that a declared layout names are
+hashed in order, and the hash is held against that layout's. It is equal if all are there, so further fields do no harm.
+Layouts with more paths go first. The one found selects the mapping to turns (role, text).
 
 The template writes a turn as MARK_START role MARK_ROLE text MARK_END. Every string in CONTROLS that occurs in a role or
 text gets a backslash after its first character, and backslashes are doubled, so the marks found in a formatted
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 MARK_START, MARK_ROLE, MARK_END = "<|start|>", "<|message|>", "<|end|>"
 #: Openings and closings of control strings in public chat templates.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -31,19 +34,20 @@ LAYOUTS: dict[str, dict] = {
     "instruction": {"paths": ["instruction", "output"], "turns": [("user", "instruction"), ("assistant", "output")]},
     "instruction with input": {"paths": ["instruction", "input", "output"], "turns": [("user", "instruction", "input"), ("assistant", "output")]},
     "system, prompt and response": {"paths": ["system", "prompt", "response"], "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
+    "system, prompt and completion": {"paths": ["system", "prompt", "completion"], "turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")]},
     "messages": {"paths": ["messages", "messages[].role", "messages[].content"], "each": ("messages", "role", "content")},
     "conversations": {"paths": ["conversations", "conversations[].from", "conversations[].value"], "each": ("conversations", "from", "value")},
 }
 #: Role names in use, and the canonical ones.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
-KNOWN_PATHS = sorted({p for x in LAYOUTS.values() for p in x["paths"]})
 
 
 def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-FINGERPRINTS = {fingerprint(x["paths"]): name for name, x in LAYOUTS.items()}
+#: Fingerprints of the layouts, those with more paths first.
+FINGERPRINTS = {fingerprint(x["paths"]): name for name, x in sorted(LAYOUTS.items(), key=lambda kv: -len(kv[1]["paths"]))}
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -59,23 +63,37 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     return []
 
 
+def layouts_of(df: DataFrame) -> list[str]:
+    """Names of the declared layouts whose paths a table's schema has, the most specific first."""
+    has = set(schema_paths(df.schema))
+    return [name for mark, name in FINGERPRINTS.items() if fingerprint([p for p in LAYOUTS[name]["paths"] if p in has]) == mark]
+
+
 def layout_of(df: DataFrame) -> str | None:
-    """Name of the declared layout that a table's schema has, if any."""
-    return FINGERPRINTS.get(fingerprint([p for p in schema_paths(df.schema) if p in KNOWN_PATHS]))
+    return next(iter(layouts_of(df)), None)
 
 
 def json_fingerprint(raw: Column | str) -> Column:
-    """Fingerprint of the layout of a JSON object in a string column, from the keys it has."""
+    """Fingerprint of the layout of a JSON object in a string column, from the keys it has; null if it has none declared.
+
+    An array's elements count together: a path is there if any element has it.
+    """
     raw = F.col(raw) if isinstance(raw, str) else raw
-    nested = [x["each"][0] for x in LAYOUTS.values() if "each" in x]
+    none = F.array().cast("array<string>")
 
     def below(a: str) -> Column:
-        return F.transform(F.json_object_keys(F.get_json_object(raw, f"$.{a}[0]")), lambda k: F.concat(F.lit(f"{a}[]."), k))
+        items = F.from_json(F.get_json_object(raw, f"$.{a}"), "array<string>")
+        keys = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), none)))
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{a}[]."), k))
 
-    keys = [F.json_object_keys(raw), *map(below, nested)]
-    none = F.array().cast("array<string>")
-    paths = F.array_intersect(F.concat(*[F.coalesce(k, none) for k in keys]), F.array(*map(F.lit, KNOWN_PATHS)))
-    return F.substring(F.sha2(F.array_join(F.array_sort(paths), "\n"), 256), 1, 16)
+    nested = [x["each"][0] for x in LAYOUTS.values() if "each" in x]
+    keys = F.concat(*[F.coalesce(k, none) for k in (F.json_object_keys(raw), *map(below, nested))])
+
+    def found(has: Column) -> Column:
+        mark = lambda name: F.substring(F.sha2(F.array_join(F.array_sort(F.array_intersect(has, F.array(*map(F.lit, LAYOUTS[name]["paths"])))), "\n"), 256), 1, 16)
+        return F.coalesce(*[F.when(mark(name) == fp, F.lit(fp)) for fp, name in FINGERPRINTS.items()])
+
+    return F.transform(F.array(keys), found)[0]
 
 
 def turns_from_json(df: DataFrame, raw_col: str) -> DataFrame:
@@ -83,7 +101,7 @@ def turns_from_json(df: DataFrame, raw_col: str) -> DataFrame:
 
     A missing or null field is an empty text; unknown role names stay as they are.
     """
-    raw = F.col(raw_col)
+    raw, fp = F.col(raw_col), unused(df, "_fp")
     text = lambda path: F.coalesce(F.get_json_object(raw, f"$.{path}"), F.lit(""))
     names = F.create_map(*[F.lit(v) for kv in ROLES.items() for v in kv])
     canonical = lambda role: F.coalesce(F.element_at(names, F.coalesce(F.lower(role), F.lit(""))), role, F.lit(""))
@@ -98,9 +116,9 @@ def turns_from_json(df: DataFrame, raw_col: str) -> DataFrame:
             made = F.transform(parsed, lambda t: F.struct(canonical(t[role]).alias("role"), F.coalesce(t[said], F.lit("")).alias("text")))
         else:
             continue
-        is_it = F.col("_fp") == mark
+        is_it = F.col(fp) == mark
         layout, turns = F.when(is_it, F.lit(name)).otherwise(layout), F.when(is_it, made).otherwise(turns)
-    return df.withColumn("_fp", json_fingerprint(raw_col)).withColumns({"layout": layout, "turns": turns}).drop("_fp")
+    return df.withColumn(fp, json_fingerprint(raw_col)).withColumns({"layout": layout, "turns": turns}).drop(fp)
 
 
 def turns_from_rows(df: DataFrame) -> DataFrame:
@@ -109,7 +127,7 @@ def turns_from_rows(df: DataFrame) -> DataFrame:
     Turns go by number (null first), then role and text; null roles and texts are empty. Repeated rows stay. Rows
     without a conv_id are one conversation without an id.
     """
-    if layout_of(df) != "turn rows":
+    if "turn rows" not in layouts_of(df):
         raise ValueError(f"no declared layout of rows has the fields {df.columns}")
     rows = df.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     each = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
@@ -153,6 +171,7 @@ def read_turns(df: DataFrame) -> DataFrame:
     """Add turns (role, text) and learnt (text under the loss mask, unescaped), read from formatted and loss_mask alone."""
     end = _quoted(MARK_END)
     parts = F.filter(F.split("formatted", end, -1), lambda p: p != "")
+    cut, by_turn, beside_ = (unused(df, n) for n in ("_parts", "_map", "_spans"))
 
     def turn(p: Column) -> Column:
         both = F.split(p, _quoted(MARK_ROLE), -1)
@@ -160,13 +179,13 @@ def read_turns(df: DataFrame) -> DataFrame:
 
     # The mask's spans are laid beside the parts, so that each part is cut once.
     spans = F.map_from_entries(F.transform("loss_mask", lambda s: F.struct(s["turn"].alias("k"), s.alias("v"))))
-    beside = F.transform(F.sequence(F.lit(0), F.size("_parts") - 1), lambda i: F.element_at("_map", i))
-    learnt = F.zip_with("_parts", "_spans", lambda p, s: F.coalesce(unescaped(F.substring(p, s["at"] + 1, s["n"])), F.lit("")))
+    beside = F.transform(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: F.element_at(F.col(by_turn), i))
+    learnt = F.zip_with(cut, beside_, lambda p, s: F.coalesce(unescaped(F.substring(p, s["at"] + 1, s["n"])), F.lit("")))
     return (
-        df.withColumns({"turns": F.transform(parts, turn), "_parts": F.split("formatted", end, -1), "_map": spans})
-        .withColumn("_spans", beside)
+        df.withColumns({"turns": F.transform(parts, turn), cut: F.split("formatted", end, -1), by_turn: spans})
+        .withColumn(beside_, beside)
         .withColumn("learnt", F.array_join(learnt, ""))
-        .drop("_parts", "_map", "_spans")
+        .drop(cut, by_turn, beside_)
     )
 
 

@@ -1,13 +1,15 @@
 """Exact near-duplicate links between embeddings: a metric range join on the unit sphere.
 
-Equal vectors collapse first. Pivots split each label's vectors into cells, every vector at home with its nearest pivot.
+Equal vectors collapse first. Pivots of a label split its vectors into cells, every vector at home with its nearest pivot.
 A vector v is copied to the cell of pivot p only if it may lie within the radius r of a vector at home there. The
 triangle inequality gives d(v, p) - d(v, home) <= 2 r for that; on the sphere the distance of v from the plane between
 the two pivots bounds it more tightly, and that bound is used. Cells are then joined independently, in tiles of bounded
 size, so a cell that holds a third of all vectors is many tasks. A tile gives sums per vector and the edges of a
 spanning forest, never its pairs.
 
-How many pivots pay is estimated from a bounded sample; any number gives the same result.
+Each label has pivots of its own, two at least if it has more than PIVOT_ROWS vectors; how many pay is estimated from a
+bounded sample of the label. The PIVOT_LABELS largest labels are sampled; the smaller ones of more labels than that are
+one cell each, in tiles. Any choice of pivots gives the same result.
 """
 
 from __future__ import annotations
@@ -16,18 +18,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, numpy_components
 
-SAMPLE = 2000
-MAX_PIVOTS = 128
+SAMPLE = 20_000  # vectors, over all labels
+PIVOT_LABELS = 256
+PIVOT_ROWS = 32
+MAX_PIVOTS = 64
 TILE = 2048
 
 
 def _choose_pivots(sample: np.ndarray, rows: int, radius: float) -> np.ndarray:
-    """Farthest-first pivots, as many as make the estimated work least."""
+    """Farthest-first pivots, two at least, as many as make the estimated work least."""
     best, least = sample[:1], math.inf
     order, far = [0], np.full(len(sample), math.inf)
     while len(order) < min(MAX_PIVOTS, len(sample)):
@@ -42,7 +46,7 @@ def _choose_pivots(sample: np.ndarray, rows: int, radius: float) -> np.ndarray:
         f, g = np.bincount(home, minlength=k) / len(sample), member.mean(0)
         dim = sample.shape[1]
         work = rows * rows * float(f @ g) * dim / 4e9 + rows * float(g.sum()) * dim * 8 / 4e7
-        if work < least:
+        if work < least or k == 2:
             best, least = pivots, work
         k *= 2
     return best
@@ -91,19 +95,28 @@ def near_duplicate_embeddings(
     )
     good = rows.where("_ok").drop("_ok")
     reps = materialize(good.groupBy("_label", "_v").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    size = reps.count()
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("_v").collect()  # bounded
+    # The largest groups of vectors of one label and length, and a sample of each: bounded, so that it fits in the driver.
+    group = ["_label", F.size("_v").alias("dim")]
+    largest = reps.groupBy(*group).agg(F.count("*").alias("rows")).where(F.col("rows") > PIVOT_ROWS).orderBy(F.desc("rows"), "_label", "dim").limit(PIVOT_LABELS).collect()
     pivots = {}
-    for dim in {len(r[0]) for r in sample}:
-        own = _unit([r[0] for r in sample if len(r[0]) == dim])
-        pivots[dim] = _choose_pivots(own, max(1, size * len(own) // len(sample)), radius)
+    if largest:
+        each = max(PIVOT_ROWS, SAMPLE // len(largest))
+        kinds = df.sparkSession.createDataFrame([(r["_label"], r["dim"], r["rows"]) for r in largest], good.select("_label", F.lit(0).alias("dim"), F.lit(0).cast("bigint").alias("rows")).schema)
+        some = reps.join(F.broadcast(kinds), (reps["_label"] == kinds["_label"]) & (F.size("_v") == kinds["dim"])).select(reps["_label"], "dim", "rows", "rep", "_v")
+        # By hash of the id, twice as many as wanted, and those of least hash of them.
+        some = some.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) * F.col("rows") <= F.lit(2.0 * each * (1 << 20)))
+        place = F.row_number().over(Window.partitionBy("_label", "dim").orderBy(F.xxhash64("rep"), "rep"))
+        held: dict = {}
+        for r in some.withColumn("place", place).where(F.col("place") <= each).select("_label", "dim", "rows", "_v").collect():
+            held.setdefault((r["_label"], r["dim"]), (r["rows"], []))[1].append(r["_v"])
+        pivots = {k: _choose_pivots(_unit(v), rows, radius) for k, (rows, v) in held.items()}
 
     def cells(batches):
         for pdf in batches:
-            for dim, part in pdf.groupby(pdf["_v"].map(len)):
-                if dim in pivots:
-                    home, near = _cells(_unit(part["_v"]), pivots[dim], radius)
-                else:  # a length that the sample has not met
+            for (name, dim), part in pdf.groupby([pdf["_label"], pdf["_v"].map(len)]):
+                if (name, dim) in pivots:
+                    home, near = _cells(_unit(part["_v"]), pivots[name, dim], radius)
+                else:  # a small label
                     home, near = np.zeros(len(part), int), np.ones((len(part), 1), bool)
                 i, cell = near.nonzero()
                 out = part.iloc[i][["_label", "rep", "copies", "_v"]].assign(dim=dim, cell=cell, home=home[i] == cell)

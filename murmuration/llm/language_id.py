@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, lean
+
 BUCKETS = 1 << 15
 ORDERS = 3
 #: Documents that the model is fitted on, at most about this many; the choice is by hash of the id.
@@ -119,7 +121,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             ids, values = np.concatenate([[-1], at]), np.concatenate([[docs[name]], sums[name][at]])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids, pa.int32()), pa.array(values, pa.int64())], names=["lang", "f", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(count, "lang string, f int, n bigint").groupBy("lang", "f").agg(F.sum("n").alias("n"))
+    counted = bounded_batches(rows.select("text", "lang")).mapInArrow(lean(count), "lang string, f int, n bigint").groupBy("lang", "f").agg(F.sum("n").alias("n"))
     got = counted.toArrow().to_pydict()  # at most languages x (BUCKETS + 1) rows
     langs = sorted(set(got["lang"]))
     place = {x: i for i, x in enumerate(langs)}
@@ -135,9 +137,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id_col, held_out, lang_pred, score, and the columns in keep, for every row of df.
 
     lang_pred is a learned language, or und with score 0 if the text is null or has no letters, or nothing was learned.
-    score is the model's probability of lang_pred. Only the text is looked at, as a whole. A null id is not held out.
+    score is the model's probability of lang_pred. Columns in keep that are named like the result's own are left out; an
+    empty table gives an empty result. Only the text is looked at, as a whole. A null id is not held out.
     """
-    columns = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col]
+    columns = [c for c in dict.fromkeys((id_col, *keep)) if c not in (text_col, "held_out", "lang_pred", "score")]
     rows = df.select(F.col(text_col).alias("_text"), *columns, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*columns, "held_out"])
     fields += f", `{text_col}` string" if text_col in keep else ""
@@ -150,4 +153,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             names = [*columns, "held_out", *([text_col] if text_col in keep else [])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([langs[b] for b in best], pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return bounded_batches(rows).mapInArrow(lean(run), f"{fields}, lang_pred string, score double")

@@ -215,40 +215,41 @@ def _words_of(text_col: str, takes: str) -> Column:
     )
 
 
-def _matched(docs: DataFrame, takes: DataFrame, id_col: str, text_col: str, source_col: str, *more: str) -> DataFrame:
-    """Documents with rows of takes (_id, _k, _source, _size, more): by id, those without one by source, words and order of text."""
-    keep = [*docs.columns, "_size", *more]
-    named = takes.where("_id IS NOT NULL").drop("_k", "_source")
-    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
-    w, k = unused(docs, "_w"), unused(docs, "_n")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn(w, words)
-    nameless = nameless.withColumn(k, F.row_number().over(Window.partitionBy(source_col, w).orderBy(text_col)))
-    other = takes.where("_id IS NULL").drop("_id")
-    other = nameless.join(other, nameless[source_col].eqNullSafe(F.col("_source")) & (F.col(w) == F.col("_size")) & (F.col(k) == F.col("_k")))
-    return docs.join(named, docs[id_col] == F.col("_id")).select(keep).union(other.select(keep))
-
+def _matched(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Documents that the mix takes, with _size and _takes.
 
-def _taken_rows(mixed: DataFrame, id_col: str) -> DataFrame:
-    """_id, _k, _source, _size, takes of the documents that the mix takes; _k numbers those without an id that look alike."""
-    none = F.lit(None).cast(mixed.schema["source"].dataType)
-    rows = mixed.where(F.col(id_col).isNotNull() & (F.col("taken") > 0)).select(F.col(id_col).alias("_id"), F.lit(0).alias("_k"), none.alias("_source"), F.col("size").alias("_size"), "takes")
-    alike = Window.partitionBy("source", "size").orderBy(F.desc("taken"), "takes")
-    blank = mixed.where(F.col(id_col).isNull()).withColumn("_k", F.row_number().over(alike)).where("taken > 0")
-    return rows.union(blank.select(id_col, "_k", "source", "size", "takes"))
+    They meet by id. Rows with a null id, or an id that others have too, are told apart by source, words and order of text.
+    """
+    keep = [*docs.columns, "_size", "_takes"]
+    mixed = materialize(mixed.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("takes").alias("_takes")), "mix")
+    alike = mixed.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 OR _id IS NULL").select("_id")
+    if not alike.take(1):
+        return docs.join(mixed.where("_taken > 0"), docs[id_col] == F.col("_id")).select(keep)
+    alike = materialize(alike, "alike")
+    named = mixed.where("_taken > 0").join(alike, "_id", "left_anti")
+    whose = lambda d: d.join(alike, d[id_col].eqNullSafe(alike["_id"]), "left_semi")
+    w, k = unused(docs, "_w"), unused(docs, "_k")
+    words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
+    other = whose(docs).withColumn(w, words)
+    other = other.withColumn(k, F.row_number().over(Window.partitionBy(id_col, source_col, w).orderBy(text_col)))
+    place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("_taken"), "_takes"))
+    taken = mixed.join(alike.withColumnRenamed("_id", "_a"), F.col("_id").eqNullSafe(F.col("_a")), "left_semi").withColumn("_place", place).where("_taken > 0")
+    same = other[id_col].eqNullSafe(taken["_id"]) & other[source_col].eqNullSafe(taken["_source"]) & (other[w] == taken["_size"]) & (other[k] == taken["_place"])
+    return docs.join(named, docs[id_col] == named["_id"]).select(keep).union(other.join(taken, same).select(keep))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Documents as the mix takes them: a row per document and epoch, with the words taken in it, in order.
 
     A document taken whole in an epoch keeps its text as it is; of others the taken words are joined by single spaces.
-    Documents of which nothing is taken go. Documents with a null id are told apart by source, words and order of text.
-    Columns of docs must not begin with _id, _k, _source, _size or _takes.
+    Documents of which nothing is taken go. Rows with a null or repeated id are told apart by source, words and order of
+    text. Columns of docs must not be named _id, _source, _size, _taken or _takes.
     """
-    epochs = F.array_distinct(F.transform("takes", lambda t: t["epoch"]))
-    each = _taken_rows(mixed, id_col).withColumn("_epoch", F.explode(epochs)).select("_id", "_k", "_source", "_size", F.expr("filter(takes, t -> t.epoch = _epoch)").alias("_takes"))
-    both = _matched(docs, each, id_col, text_col, source_col, "_takes")
+    both = _matched(docs, mixed, id_col, text_col, source_col)
+    each = both.withColumn("_taken", F.explode(F.array_distinct(F.transform("_takes", lambda t: t["epoch"]))))
+    each = each.withColumn("_takes", F.expr("filter(_takes, t -> t.epoch = _taken)"))
     whole = F.aggregate("_takes", F.lit(0).cast("bigint"), lambda s, t: s + t["n"]) == F.col("_size")
-    return both.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(_words_of(text_col, "_takes"))).select(*docs.columns)
+    return each.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(_words_of(text_col, "_takes"))).select(*docs.columns)
 
 
 def mixed_blocks(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -256,13 +257,11 @@ def mixed_blocks(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text
 
     Write it with partitionBy("shard"), or repartition it by shard and sort by place.
     """
-    each = _taken_rows(mixed, id_col).select("_id", "_k", "_source", "_size", F.explode("takes").alias("_take"))
-    both = _matched(docs, each, id_col, text_col, source_col, "_take")
+    both = _matched(docs, mixed, id_col, text_col, source_col).withColumn("_take", F.explode("_takes"))
     piece = both.select(
         F.col("_take.shard").alias("shard"), F.col("_take.place").alias("place"), F.col(source_col).alias("source"),
-        F.struct(F.col("_take.at").alias("at"), F.col(id_col).alias("id"), _words_of(text_col, "array(_take)").alias("words")).alias("piece"),
+        F.struct((F.col("_take.at") == 0).alias("begins"), F.col(id_col).alias("id"), _words_of(text_col, "array(_take)").alias("words")).alias("piece"),
     )
     # Of a block, the document whose words begin before it comes first, then those that begin in it, by id.
-    order = F.array_sort(F.collect_list(F.struct((F.col("piece.at") == 0).alias("begins"), F.col("piece.id").alias("id"), F.col("piece.words").alias("words"))))
-    rows = piece.groupBy("shard", "place", "source").agg(order.alias("p"))
+    rows = piece.groupBy("shard", "place", "source").agg(F.array_sort(F.collect_list("piece")).alias("p"))
     return rows.select("shard", "place", "source", F.array_join(F.transform("p", lambda x: x["words"]), " ").alias("text"), F.transform("p", lambda x: x["id"]).alias("docs"))

@@ -7,8 +7,8 @@ Mail names and secrets have no such domain; they become keyed digests of the sam
 but not reversible.
 
     kind    found                                   kept                        permuted
-    card    13 to 19 digits, also in fours          length, separators, first   the rest; a valid check digit stays valid
-                                                    two digits
+    card    13 to 19 digits, also in fours, with    length, separators, first   the rest; the check digit stays valid
+            a valid check digit                     two digits
     phone   +1 (ddd) ddd-dddd and other + numbers   separators, country digit   area, exchange, line (each stays valid)
     ssn     ddd-dd-dddd with valid parts            separators                  all three parts (each stays valid)
     ip      four numbers of 0 to 255                dots                        all 32 bits
@@ -20,7 +20,7 @@ but not reversible.
 Names of keys count in any case, with blanks and quotes round the sign of equality, which are kept; hex digests are in
 small letters or in capitals.
 
-What fails validation (999.1.1.1, 2023-02-30, a wrong IBAN) is no such number and stays.
+What fails validation (999.1.1.1, 2023-02-30, a wrong IBAN, an order number of 16 digits) is no such number and stays.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Formats in Java's syntax; kinds in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -115,7 +117,7 @@ def _pseudonym(key: str, back: bool) -> str:
     """SQL expression for the pseudonym of x, struct<kind, value>; kind is null if x is not valid."""
     digits = "regexp_replace(x, '[^0-9]', '')"
     rest = _digits("substr(d, 3, length(d) - 3)", "card", key, back)
-    card = _let("d", digits, f"IF(CAST(right(d, 1) AS INT) = {_luhn('left(d, length(d) - 1)')}, {_refill('x', _let('p', f'concat(left(d, 2), {rest})', f'concat(p, {_luhn("p")})'))}, {_refill('x', f'concat(left(d, 2), {_digits("substr(d, 3)", "account", key, back)})')})")
+    card = _let("d", digits, f"IF(CAST(right(d, 1) AS INT) = {_luhn('left(d, length(d) - 1)')}, {_refill('x', _let('p', f'concat(left(d, 2), {rest})', f'concat(p, {_luhn("p")})'))}, x)")
     # North American numbers: area and exchange 200 to 999 each, line of four digits.
     f = _feistel("(CAST(left(n, 3) AS INT) - 200) * 800 + CAST(substr(n, 4, 3) AS INT) - 200", "right(n, 4)", "640000", "10000", "phone", key, back)
     nanp = _let("f", f, "concat(200 + f.a DIV 800, 200 + f.a % 800, lpad(f.b, 4, '0'))")
@@ -143,8 +145,8 @@ def _pseudonym(key: str, back: bool) -> str:
     return f"CASE {cases} ELSE named_struct('kind', '', 'value', x) END"
 
 
-def pseudonymize(df: DataFrame, key: str = "public-demo-key", text_col: str = "text", reverse: bool = False, found_col: str = "pii") -> DataFrame:
-    """Replace personal data in a text column by pseudonyms; add found_col, a sorted array of the kinds replaced.
+def pseudonymize(df: DataFrame, key: str, text_col: str = "text", reverse: bool = False, found_col: str = "pii") -> DataFrame:
+    """Replace personal data in a text column by pseudonyms under a secret key; add found_col, a sorted array of the kinds replaced.
 
     Every row stays, with its other columns; a column named found_col is replaced. Null stays null (found_col is then
     empty), and a text without personal data stays as it is. Texts are searched whole. With reverse, numbers and dates
@@ -153,9 +155,9 @@ def pseudonymize(df: DataFrame, key: str = "public-demo-key", text_col: str = "t
     pattern = _q("|".join(f"(?:{p})" for p in PATTERNS.values()))
     text = f"`{text_col}`"
     some = f"coalesce({text} rlike {_q(HINT)}, false)"
+    h, n = unused(df, "_hits"), unused(df, "_new")
     hits = F.expr(f"IF({some}, regexp_extract_all({text}, {pattern}, 0), CAST(array() AS array<string>))")
-    new = F.expr(f"transform(_hits, x -> {_pseudonym(key, reverse)})")
-    out = df.withColumn("_hits", hits).withColumn("_new", new)
-    joined = F.expr(f"IF(size(_hits) = 0, {text}, array_join(zip_with(split({text}, {pattern}, -1), _new, (p, n) -> concat(p, coalesce(n.value, ''))), ''))")
-    kinds = F.expr("array_sort(transform(filter(zip_with(_hits, _new, (h, n) -> named_struct('k', n.kind, 'c', h <> n.value)), z -> z.c), z -> z.k))")
-    return out.withColumns({text_col: joined, found_col: kinds}).drop("_hits", "_new")
+    out = df.withColumn(h, hits).withColumn(n, F.expr(f"transform({h}, x -> {_pseudonym(key, reverse)})"))
+    joined = F.expr(f"IF(size({h}) = 0, {text}, array_join(zip_with(split({text}, {pattern}, -1), {n}, (p, v) -> concat(p, coalesce(v.value, ''))), ''))")
+    kinds = F.expr(f"array_sort(transform(filter(zip_with({h}, {n}, (w, v) -> named_struct('k', v.kind, 'c', w <> v.value)), z -> z.c), z -> z.k))")
+    return out.withColumns({text_col: joined, found_col: kinds}).drop(h, n)

@@ -13,6 +13,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Key of the pseudonyms on the synthetic tables. It is public: real data take a secret one, in the setting below.
+DEMONSTRATION_KEY = "public-demo-key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.murmuration.pii.key", DEMONSTRATION_KEY)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,7 +84,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymize
 
-    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

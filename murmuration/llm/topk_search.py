@@ -7,23 +7,35 @@ until one list per query is left. No side is broadcast, and a query's lists neve
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
-SHARD = 4096
+QUERY_BLOCK = 2048
+SHARD = 16_384
+TILE_QUERIES = 256  # products are made for so many queries at once
 FAN = 64
 
 
+def _whole(v: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) of each component: doubles where these are exact, else Python's integers."""
+    with np.errstate(over="ignore"):
+        out = np.floor(v * scale)
+    if np.abs(out).max(initial=0) < 2**53:
+        return out
+    return np.array([[math.floor(Fraction(float(x)) * Fraction(scale)) for x in r] for r in v], object).reshape(v.shape)
+
+
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers: in doubles where these are exact, else in Python's integers, held to a long."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if bound < 2**53:
+    if q.dtype != object and c.dtype != object and float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2**53:
         return (q @ c.T).astype(np.int64)
-    whole = np.array([[int(v) for v in r] for r in q], object) @ np.array([[int(v) for v in r] for r in c], object).T
-    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+    exact = lambda m: m if m.dtype == object else m.astype(np.int64).astype(object)
+    return np.clip(exact(q) @ exact(c).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def top_k_inner_product(
@@ -57,11 +69,12 @@ def top_k_inner_product(
             asks = same["asks"].to_numpy(bool)
             if not asks.any():
                 continue
-            whole = np.floor(np.array(same["_v"].tolist(), np.float64) * scale)
+            whole = _whole(np.array(same["_v"].tolist(), np.float64), scale)
             ids = same["_id"].to_numpy(np.int64)
             qid, order = ids[asks], np.argsort(ids[~asks], kind="stable")
             cid = ids[~asks][order]
-            scores = _scores(whole[asks], whole[~asks][order])
+            asked, told_ = whole[asks], whole[~asks][order]
+            scores = (row for lo in range(0, len(asked), TILE_QUERIES) for row in _scores(asked[lo : lo + TILE_QUERIES], told_))
             for q, row in zip(qid, scores):
                 own = cid != q
                 row, cand = row[own], cid[own]

@@ -31,7 +31,8 @@ def to_records(pages: DataFrame, least: int = LEAST_BYTES, id_col: str = "page_i
     """One column, record: a WARC record without its last two line ends.
 
     The payload is html in UTF-8 (null: empty). Of the rows with equal payloads of at least `least` bytes that with the
-    smallest id is a response and the others are revisits of it; all else are responses. Line ends in a url are dropped.
+    smallest id is a response and the others are revisits of it; all else are responses. Rows that repeat that id are
+    responses too. Line ends in a url are dropped. An empty table gives archives without records.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(url_col, F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumns({"n": F.octet_length("html").cast("bigint"), "digest": F.sha2("html", 256)})
