@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import materialize
+from murmuration.llm.common import discard, materialize
 from murmuration.llm.language_id import fit, predict
 from murmuration.llm.mixing import apply_mix, mix_sources
 from murmuration.llm.ngram_join import near_duplicate_documents
 from murmuration.llm.pii import pseudonymize
-from murmuration.llm.queries import tokenizer_path
+from murmuration.llm.queries import pii_key, tokenizer_path
 from murmuration.llm.sentencepiece_bpe import encode_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms."""
-    return pseudonymize(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+    return pseudonymize(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text that they decode to."""
-    return encode_texts(docs, tokenizer_path(), ids=True).drop("decoded")
+    return encode_texts(docs, tokenizer_path(), ids=True, decoded=False)
 
 
 STAGES = [("language_id", language), ("ngram_jaccard_join", near_duplicates), ("pii", personal_data), ("source_mixing", mix), ("sentencepiece", token_ids)]
@@ -55,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        docs, old = materialize(stage(spark, docs, sf_dir), name), docs
+        if i:
+            discard(old)
     return STAGES[-1][1](spark, docs, sf_dir)
