@@ -34,6 +34,8 @@ EARLIER = 8
 LIST_ROWS = 16_384
 FILTER_BITS = 1 << 28
 SKETCH_BITS = 8
+#: Bits of a shingle's hash in postings, where agreement only makes a pair worth a look.
+POSTED = (1 << 48) - 1
 WORD_RUN = 1 << 20
 
 
@@ -225,7 +227,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
                     prefix = ordered[: len(s) - _needed(len(s), num, den) + 1]
                     whole.append(xxhash.xxh3_128_digest(s.tobytes()))
                     group.append(xxhash.xxh3_128_digest(b"%d:" % len(s) + prefix.tobytes()))
-                    prefixes.append(prefix.view(np.int64))
+                    prefixes.append((prefix & np.uint64(POSTED)).view(np.int64))
                     late_ones.append(max(0, len(prefix) - (len(s) - len(late))))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(group, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(late_ones, pa.int32())],
@@ -329,7 +331,7 @@ def near_duplicate_documents(
     # Lists of frequent shingles are dealt over tasks of about LIST_ROWS groups; the leaders of those meet in a second step.
     salts = max(1, -(-reps.count() // LIST_ROWS))
     h = F.xxhash64("g")
-    mixed = F.xxhash64(F.pmod(h, F.lit(salts)))
+    mixed = F.xxhash64(F.pmod(h, F.lit(salts))).bitwiseAND(F.lit(POSTED))
     often = F.col("pos") >= F.col("from")
     postings = some.select("id", "n", "prefix", "late").join(leaders, "id")
     postings = postings.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("g"), "n", (F.size("prefix") - F.col("late")).alias("from"))
