@@ -5,51 +5,101 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import forget, written
+
 
 def alias_root(parents: DataFrame, rounds: int = 64) -> DataFrame:
     """node, root for rows (node, parent), parent null at a root. Pointers double each round, so depth d takes log d rounds."""
-    at = parents.select("node", F.coalesce("parent", "node").alias("up")).checkpoint()
+    at = written(parents.select("node", F.coalesce("parent", "node").alias("up")), "up")
     for _ in range(rounds):
         up = at.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        moved = at.join(up, "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("next") != F.col("up")).alias("moved")).checkpoint()
-        at = moved.select("node", "up")
+        moved = at.select("node", "up").join(up, "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("next") != F.col("up")).alias("moved"))
+        moved, old = written(moved, "up"), at
+        forget(old)
+        at = moved
         if not moved.where("moved").take(1):
             break
-    return at.withColumnRenamed("up", "root")
-
+    return at.select("node", F.col("up").alias("root"))
 
-def merge_closure(pairs: DataFrame) -> DataFrame:
-    """node, root (the smallest id that accepted pairs (a, b) reach), for nodes in pairs.
 
-    If every pair is accepted the order of merges does not matter: supports only grow and the smaller id stays. So the
-    closure is the components: minima pass along pairs, and pointers are followed, until nothing changes.
-    """
+def _components(pairs: DataFrame) -> DataFrame:
+    """node, root (the smallest id that pairs (a, b) reach), for nodes in pairs: minima pass along pairs, pointers are followed."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = both.union(both.select("v", "u")).distinct().checkpoint()
-    at = both.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+    both = written(both.union(both.select("v", "u")).distinct(), "pairs")
+    at = written(both.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct(), "roots")
     while True:
         near = both.join(at, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("low"))
         new = at.join(near, F.col("node") == F.col("u")).select("node", "root", F.least("root", "low").alias("low"))
         up = new.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = new.join(up, "low").select("node", F.least("low", "next").alias("new"), "root").checkpoint()
-        at = new.select("node", F.col("new").alias("root"))
-        if not new.where("new <> root").take(1):
-            return at
+        new, old = written(new.join(up, "low").select("node", F.least("low", "next").alias("root"), (F.least("low", "next") != F.col("root")).alias("moved")), "roots"), at
+        forget(old)
+        at = new
+        if not new.where("moved").take(1):
+            forget(both)
+            return at.select("node", "root")
+
+
+def merge_closure(supports: DataFrame, rejected: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """node, root for the nodes of supports (a, b, support; a < b): where each topic is after all merges, itself if it stays.
+
+    Two topics merge if their support reaches least; the smaller id stays. Supports of a common neighbour add, so a merge
+    may bring up a pair that had too little. Without rejections the order does not matter, as supports only grow: each
+    round contracts all components of pairs that have enough, renames and adds all others, until no pair is left.
+
+    Pairs in rejected (a, b) don't merge, nor do the topics that they have become part of. There the order does matter,
+    and a round merges the pairs that are the best of both their sides, by support, then ids.
+    """
+    edges = written(supports.groupBy("a", "b").agg(F.sum("support").alias("support")), "supports")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    roots = written(nodes.withColumn("root", F.col("node")), "roots")
+    blocked = None if rejected is None else written(rejected.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "blocked")
+
+    def renamed(rows: DataFrame, moves: DataFrame, *keep: str) -> DataFrame:
+        for side in "ab":
+            rows = rows.join(moves.select(F.col("node").alias(side), F.col("root").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        return rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *keep)
+
+    while True:
+        ready = edges.where(F.col("support") >= least)
+        if blocked is None:
+            ready = ready.select("a", "b")
+        else:
+            ready = ready.join(blocked, ["a", "b"], "left_anti")
+            sides = ready.select(F.col("a").alias("node"), "a", "b", "support").union(ready.select(F.col("b"), "a", "b", "support"))
+            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("support"), "a", "b"))
+            ready = sides.withColumn("best", best).where("best = 1").groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select("a", "b")
+        ready = written(ready, "ready")
+        if not ready.take(1):
+            forget(ready, edges)
+            return roots
+        moves = _components(ready)
+        old = (edges, roots, ready)
+        edges = written(renamed(edges, moves, "support").groupBy("a", "b").agg(F.sum("support").alias("support")), "supports")
+        to = moves.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = written(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        if blocked is not None:
+            old = (*old, blocked)
+            blocked = written(renamed(blocked, moves).distinct(), "blocked")
+        forget(*old)
 
 
 def match_greedy(candidates: DataFrame) -> DataFrame:
-    """One-to-one matches of (run, pred, gold, overlap, rank), best first: overlap, then rank, then gold.
+    """One-to-one matches of (run, pred, gold, overlap, rank), best first: overlap, then rank, then pred, then gold.
 
-    Under a strict order greedy choice equals taking, round by round, all pairs that are the best of both their sides.
+    Under one strict order greedy choice equals taking, round by round, all pairs that are the best of both their sides. A
+    round shrinks every run; a chain of ever better neighbours takes a round a match.
     """
-    left, out = candidates.checkpoint(), None
-    order = [F.desc("overlap"), F.col("rank"), F.col("gold")]
+    left, out = written(candidates.select("run", "pred", "gold", "overlap", "rank"), "left"), None
+    order = [F.desc("overlap"), F.col("rank"), F.col("pred"), F.col("gold")]
     while True:
         best = left.withColumns({
-            "p": F.row_number().over(Window.partitionBy("run", "pred").orderBy(*order)),
-            "g": F.row_number().over(Window.partitionBy("run", "gold").orderBy(F.desc("overlap"), F.col("rank"), F.col("pred"))),
-        }).where("p = 1 and g = 1").select("run", "pred", "gold", "overlap").checkpoint()
+            "p": F.row_number().over(Window.partitionBy("run", "pred").orderBy(*order)), "g": F.row_number().over(Window.partitionBy("run", "gold").orderBy(*order)),
+        }).where("p = 1 and g = 1").select("run", "pred", "gold", "overlap")
+        best = written(best, "best")
         out = best if out is None else out.union(best)
-        left = left.join(best.select("run", "pred"), ["run", "pred"], "left_anti").join(best.select("run", "gold"), ["run", "gold"], "left_anti").checkpoint()
+        rest = left.join(best.select("run", "pred"), ["run", "pred"], "left_anti").join(best.select("run", "gold"), ["run", "gold"], "left_anti")
+        left, old = written(rest, "left"), left
+        forget(old)
         if not left.take(1):
+            forget(left)
             return out

@@ -24,7 +24,7 @@ def strong_sessions(msg: DataFrame, gap_ms: int) -> DataFrame:
     return msg.withColumn("_open", opens).withColumn("session", F.sum("_open").over(in_chat().rowsBetween(Window.unboundedPreceding, 0))).drop("_open")
 
 
-def bursts(msg: DataFrame, p: Params, chunk: int = 10_000) -> DataFrame:
+def bursts(msg: DataFrame, p: Params, chunk: int = 1_000) -> DataFrame:
     """Add burst (place of its first message in the chat).
 
     A message joins the burst before it if that has room, the gap is under the strong gap and either under the weak gap,
@@ -161,11 +161,19 @@ def topic_close(msg: DataFrame, ttl_ms: int) -> DataFrame:
 def asof_activity(starts: DataFrame, msg: DataFrame, ttl_ms: int) -> DataFrame:
     """For each (chat, at_ms, at_ordinal) in starts and topic of the chat: its last visible message strictly before, within ttl.
 
-    Topics have few messages each against a chat, so the last message per (burst, topic) comes from a range join on
-    buckets of the ttl: a message can only matter to starts in its bucket or the next.
+    Messages are reduced to the span of each topic first: a start asks only for topics whose span, longer by the ttl, it
+    falls into, by buckets of the ttl. The asked rows and the messages of a topic are then read once in order.
     """
-    bucket = lambda c: F.floor(F.col(c) / ttl_ms)
-    m = msg.where("not recalled").select("chat", "topic", "ms", "ordinal").withColumn("b", F.explode(F.array(bucket("ms"), bucket("ms") + 1)))
-    s = starts.withColumn("b", bucket("at_ms"))
-    near = s.join(m, ["chat", "b"]).where((F.struct("ms", "ordinal") < F.struct("at_ms", "at_ordinal")) & (F.col("at_ms") - F.col("ms") <= ttl_ms))
-    return near.groupBy("chat", "at_ms", "at_ordinal", "topic").agg(F.max(F.struct("ms", "ordinal")).alias("c")).select("chat", "at_ms", "at_ordinal", "topic", F.col("c.ms").alias("ms"), F.col("c.ordinal").alias("ordinal"))
+    bucket = lambda c: F.floor(c / ttl_ms)
+    m = msg.where("not recalled").select("chat", "topic", "ms", "ordinal")
+    spans = m.groupBy("chat", "topic").agg(F.min("ms").alias("lo"), (F.max("ms") + ttl_ms).alias("hi"))
+    spans = spans.withColumn("b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
+    asked = starts.select("chat", "at_ms", "at_ordinal").withColumn("b", bucket(F.col("at_ms"))).join(spans, ["chat", "b"]).where("at_ms >= lo AND at_ms <= hi")
+    none = F.lit(None).cast("bigint")
+    both = m.select("chat", "topic", F.col("ms").alias("t"), F.col("ordinal").alias("o"), F.lit(1).alias("later"), F.struct("ms", "ordinal").alias("c"))
+    both = both.union(asked.select("chat", "topic", F.col("at_ms"), F.col("at_ordinal"), F.lit(0), F.when(F.lit(False), F.struct(none.alias("ms"), none.alias("ordinal")))))
+    # A message at a start's own place is not before it, so the question comes first there.
+    upto = Window.partitionBy("chat", "topic").orderBy("t", "o", "later").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("last", F.last("c", ignorenulls=True).over(upto)).where("later = 0")
+    found = seen.where(F.col("last").isNotNull() & (F.col("t") - F.col("last.ms") <= ttl_ms))
+    return found.select("chat", F.col("t").alias("at_ms"), F.col("o").alias("at_ordinal"), "topic", F.col("last.ms").alias("ms"), F.col("last.ordinal").alias("ordinal"))

@@ -72,6 +72,15 @@ def merge_candidates(msg: DataFrame, least: int = 2) -> DataFrame:
     return each.where(F.col("support") >= least)
 
 
+def merge_supports(msg: DataFrame) -> DataFrame:
+    """chat, a, b, support of every pair of settled topics with a reply between them."""
+    settled = settled_topics(msg)
+    e = merge_pairs(msg).groupBy("chat", "a", "b").agg(F.count("*").alias("support"))
+    for side in "ab":
+        e = e.join(settled.withColumnRenamed("topic", side), ["chat", side], "left_semi")
+    return e
+
+
 def settled_topics(msg: DataFrame) -> DataFrame:
     """Topics with no unfinished message."""
     return msg.select("chat", "topic").distinct().join(msg.where("state in ('pending', 'failed')").select("chat", "topic").distinct(), ["chat", "topic"], "left_anti")

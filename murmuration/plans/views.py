@@ -16,8 +16,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 VIEWS = {
     "v_event": """
-        SELECT event_id, user_id, event_type, value, {ms} AS ms, user_id % 2 AS chat,
-          row_number() OVER (PARTITION BY user_id % 2 ORDER BY {ms}, event_id) AS pos FROM events""",
+        SELECT event_id, user_id, event_type, value, {ms} AS ms, user_id % 20 AS chat,
+          row_number() OVER (PARTITION BY user_id % 20 ORDER BY {ms}, event_id) AS pos FROM events""",
     "v_msg": """
         SELECT concat('m', event_id) AS message_id, chat, ms, event_id AS ordinal, pos, concat('u', user_id) AS sender,
           event_type = 'error' AS recalled, event_id % 53 = 0 AS is_system,
@@ -60,7 +60,7 @@ SPAN_MS = 600_000
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_event as its SQL has it, but no task sorts a chat: places are counted within spans of time, plus the spans before."""
-    rows = spark.sql(f"SELECT event_id, user_id, event_type, value, {ENGINES['spark']['ms']} AS ms, user_id % 2 AS chat FROM {{events}}", events=view(spark, sf_dir, "events"))
+    rows = spark.sql(f"SELECT event_id, user_id, event_type, value, {ENGINES['spark']['ms']} AS ms, user_id % 20 AS chat FROM {{events}}", events=view(spark, sf_dir, "events"))
     rows = rows.withColumn("_span", F.floor(F.col("ms") / SPAN_MS))
     spans = rows.groupBy("chat", "_span").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("chat").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,39 +1,75 @@
+"""Deadline phrases: generated from parts, each with what a plain normaliser makes of the parts."""
+
 import datetime
+import itertools
 
 import pytest
 
 from murmuration.functions.deadline import normalize
 
-#: Hand-computed for Wednesday 2026-09-23: phrase, date, time, relation, granularity, confidence.
-GOLD = [
-    ("周五前", "2026-09-25", None, "before", "day", 0.9), ("下周三前", "2026-09-30", None, "before", "day", 0.9),
-    ("明晚8点", "2026-09-24", "20:00", "at", "hour", 0.9), ("今晚", "2026-09-23", None, "at", "half_day", 0.9),
-    ("后天下午3点半之前", "2026-09-25", "15:30", "before", "minute", 0.9), ("3天内", "2026-09-26", None, "before", "day", 0.9),
-    ("10月1号", "2026-10-01", None, "at", "day", 0.9), ("周三", "2026-09-23", None, "at", "day", 0.9), ("后天", "2026-09-25", None, "at", "day", 0.9),
-    ("大后天", "2026-09-26", None, "at", "day", 0.9), ("这周一", "2026-09-21", None, "at", "day", 0.5), ("下个星期三", "2026-09-30", None, "at", "day", 0.9),
-    ("下周日", "2026-10-04", None, "at", "day", 0.9), ("明天上午8点", "2026-09-24", "08:00", "at", "hour", 0.9), ("中午12点", "2026-09-23", "12:00", "at", "hour", 0.9),
-    ("3点", "2026-09-23", "15:00", "at", "hour", 0.6), ("7点", "2026-09-23", "07:00", "at", "hour", 0.6), ("23点", "2026-09-23", "23:00", "at", "hour", 0.9),
-    ("3:00", "2026-09-23", "03:00", "at", "minute", 0.9), ("周五23:59之前", "2026-09-25", "23:59", "before", "minute", 0.9), ("明天18：05", "2026-09-24", "18:05", "at", "minute", 0.9),
-    ("明晚两点", "2026-09-24", "14:00", "at", "hour", 0.9), ("上午九点三十分", "2026-09-23", "09:30", "at", "minute", 0.9), ("二十三点五十九分", "2026-09-23", "23:59", "at", "minute", 0.9),
-    ("十月三十一日", "2026-10-31", None, "at", "day", 0.9), ("三天后", "2026-09-26", None, "after", "day", 0.9), ("0天后", "2026-09-23", None, "after", "day", 0.9),
-    ("16号", "2026-09-16", None, "at", "day", 0.9), ("15号", "2026-10-15", None, "at", "day", 0.9), ("9月15日", "2027-09-15", None, "at", "day", 0.9),
-    ("明天下午", "2026-09-24", None, "at", "half_day", 0.9), ("周五之后", "2026-09-25", None, "after", "day", 0.9), ("截止周五", "2026-09-25", None, "before", "day", 0.9),
-    ("DDL:周五", "2026-09-25", None, "before", "day", 0.9), ("　明天 下午 3 点 半 之前\n", "2026-09-24", "15:30", "before", "minute", 0.9), ("本周一下午3点", "2026-09-21", "15:00", "at", "hour", 0.5),
-    ("下午", None, None, "at", "unknown", 0.0), ("25点", None, None, "at", "unknown", 0.0), ("9月31日", None, None, "at", "unknown", 0.0), ("随便", None, None, "at", "unknown", 0.0),
-    ("3天", None, None, "at", "unknown", 0.0), ("", None, None, "at", "unknown", 0.0),
+DAYS = [("", None), ("今天", 0), ("明天", 1), ("后天", 2), ("大后天", 3)]
+CLOCKS = [
+    ("", None, None, None), ("上午11点", 11, 0, "hour"), ("晚上7点", 19, 0, "hour"), ("下午4点20分", 16, 20, "minute"), ("早上六点半", 6, 30, "minute"),
+    ("17:45", 17, 45, "minute"), ("二十点", 20, 0, "hour"), ("中午12点", 12, 0, "hour"),
 ]
+TAILS = [("", "at"), ("前", "before"), ("之前", "before"), ("之后", "after"), ("以后", "after")]
+HEADS = [("", None), ("截止", "before"), ("ddl", "before")]
+#: The last day of a month in a leap year, and the last of a year.
+ANCHORS = [datetime.date(2024, 2, 29), datetime.date(2027, 12, 31)]
+
+
+def plain():
+    for (head, by_head), (day, ahead), (clock, hour, minute, part), (tail, relation) in itertools.product(HEADS, DAYS, CLOCKS, TAILS):
+        if not day and not clock or head and tail:
+            continue
+        yield head + day + clock + tail, ahead or 0, None if hour is None else hour * 3600 + minute * 60, by_head or relation, part or "day"
 
 
-def test_phrases(spark):
-    df = spark.createDataFrame([(g[0], datetime.date(2026, 9, 23)) for g in GOLD], "raw string, local_date date")
-    got = {r.raw: r for r in normalize(df).collect()}
+def test_generated_phrases(spark):
+    want = {p[0]: p[1:] for p in plain()}
+    rows = [(raw, anchor) for raw in want for anchor in ANCHORS]
+    got = {(r.raw, r.local_date): r for r in normalize(spark.createDataFrame(rows, "raw string, local_date date")).collect()}
     bad = []
-    for raw, date, time, relation, part, confidence in GOLD:
-        r = got[raw]
-        clock = None if r.bound_sec is None else f"{r.bound_sec // 3600:02d}:{r.bound_sec // 60 % 60:02d}"
-        if (r.bound_date and str(r.bound_date), clock, r.granularity, float(r.confidence)) != (date, time, part, confidence) or date and r.relation != relation:
-            bad.append((raw, r))
-    assert not bad
+    for raw, anchor in rows:
+        ahead, sec, relation, part = want[raw]
+        r = got[raw, anchor]
+        if (r.bound_date, r.bound_sec, r.relation, r.granularity) != (anchor + datetime.timedelta(ahead), sec, relation, part) or float(r.confidence) < 0.9:
+            bad.append((raw, anchor, r))
+    assert len(want) > 150 and not bad
+
+
+WEEKDAYS = "一二三四五六日"
+
+
+def test_weekdays(spark):
+    """A weekday of this week or the next; one without a word is the next to come, today included."""
+    want = {}
+    for anchor in ANCHORS:
+        monday = anchor - datetime.timedelta(anchor.weekday())
+        for k, name in enumerate(WEEKDAYS):
+            for week in ("周", "星期", "礼拜"):
+                want[f"下{week}{name}", anchor] = monday + datetime.timedelta(7 + k)
+                want[f"这{week}{name}", anchor] = monday + datetime.timedelta(k)
+                want[f"{week}{name}前", anchor] = anchor + datetime.timedelta((k - anchor.weekday()) % 7)
+    got = {(r.raw, r.local_date): r for r in normalize(spark.createDataFrame(list(want), "raw string, local_date date")).collect()}
+    assert {k: got[k].bound_date for k in want} == want
+    assert all((float(got[k].confidence) < 0.9) == (k[0][0] == "这" and d < k[1]) for k, d in want.items())
+
+
+def test_days_of_months(spark):
+    """A day of the month is this month's if it is not long past, else the next month's that has it; a date likewise by year."""
+    rows = [("5天内", 5), ("十二天后", 12), ("0天后", 0)]
+    for anchor in ANCHORS:
+        got = {r.raw: r for r in normalize(spark.createDataFrame([(raw, anchor) for raw, _ in rows], "raw string, local_date date")).collect()}
+        assert {raw: got[raw].bound_date for raw, _ in rows} == {raw: anchor + datetime.timedelta(n) for raw, n in rows}
+    leap = spark.createDataFrame([("3月1日", ANCHORS[0]), ("2月30日", ANCHORS[0]), ("1月1日", ANCHORS[1]), ("12月31号", ANCHORS[1])], "raw string, local_date date")
+    assert {r.raw: r.bound_date and str(r.bound_date) for r in normalize(leap).collect()} == {"3月1日": "2024-03-01", "2月30日": None, "1月1日": "2028-01-01", "12月31号": "2027-12-31"}
+
+
+def test_no_deadline(spark):
+    vague = ["", "改天", "下午", "30点", "4月31日", "7天", "明天后天", "周八", "99号"]
+    got = normalize(spark.createDataFrame([(v, ANCHORS[0]) for v in vague], "raw string, local_date date")).collect()
+    assert {(r.bound_date, r.bound_sec, r.granularity, float(r.confidence)) for r in got} == {(None, None, "unknown", 0.0)}
 
 
 @pytest.mark.parametrize("text,found", [("[图片]", None), ("[foo [图片] x", "[foo[图片]x"), ("a [表情:1] b", "ab"), ("...", None)])
