@@ -144,3 +144,34 @@ def test_greedy_matches_with_ties(spark):
         if (run, p) not in preds and (run, g) not in golds:
             preds.add((run, p)), golds.add((run, g)), want.add((run, p, g, n))
     assert {(r.run, r.pred, r.gold, r.overlap) for r in match_greedy(df).collect()} == want
+
+
+def test_best_threads(spark):
+    import itertools
+
+    import numpy as np
+
+    from murmuration.operators.insights import best_assignment, one_to_one
+
+    rnd = np.random.default_rng(9)
+    for _ in range(60):
+        n, m = sorted(rnd.integers(1, 6, 2))
+        w = rnd.integers(0, 9, (n, m))
+        got = best_assignment(w)
+        assert len(set(got)) == n and w[np.arange(n), got].sum() == max(w[np.arange(n), list(p)].sum() for p in itertools.permutations(range(m), int(n)))
+    rows = [("a", p, g) for p, g, n in (("1", "x", 3), ("1", "y", 4), ("2", "y", 5), ("3", "x", 1)) for _ in range(n)] + [("b", str(i), "z") for i in range(6)]
+    got = {r.chat: r for r in one_to_one(spark.createDataFrame(rows, "chat string, p string, g string"), most=5).collect()}
+    assert (got["a"].matched, got["a"].total, got["a"].status) == (8, 13, "ok") and got["b"].matched is None and got["b"].status == "unavailable_too_many_threads"
+
+
+def test_relation_shapes(spark):
+    from murmuration.operators.contracts import relation_valid
+
+    msg = spark.createDataFrame([("c", "m1", 1, 1, "can you come today", False), ("c", "m2", 2, 2, "yes of course", False), ("c", "m3", 3, 3, "gone", True), ("d", "m4", 9, 4, "yes of course", False)], "chat string, message_id string, ms long, ordinal long, text string, recalled boolean")
+    rows = [
+        ("ok question", "c", "question", "m1", "you come", None, None, None), ("short", "c", "question", "m1", " y o ", None, None, None), ("ok answer", "c", "answers", "m1", "youcome", "m2", "yes", "full"),
+        ("no completeness", "c", "answers", "m1", "you", "m2", "yes", None), ("backwards", "c", "answers", "m2", "yes", "m1", "can", "full"), ("recalled", "c", "replaces", "m1", "can", "m3", "gone", None),
+        ("another chat", "c", "conflicts", "m1", "can", "m4", "yes", None), ("ok conflict", "c", "conflicts", "m1", "can", "m2", "course", None), ("strange", "c", "praises", "m1", "can", "m2", "yes", None),
+    ]
+    rel = spark.createDataFrame(rows, "rel_id string, chat string, kind string, source_id string, quote string, target_id string, target_quote string, completeness string")
+    assert {r.rel_id: r.valid for r in relation_valid(rel, msg).collect()} == {r[0]: r[0].startswith("ok") for r in rows}
