@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
+from ..plans.storage import written
 from .segment import asof_activity
 
 
@@ -23,24 +24,33 @@ def reply_edges(rows: DataFrame, msg: DataFrame) -> DataFrame:
     return e.select("chat", "burst", "message_id", F.col("to_topic").alias("topic"))
 
 
-def mention_edges(rows: DataFrame, msg: DataFrame) -> DataFrame:
-    """(chat, burst, message_id, topic): a visible message mentions a sender who wrote in topic before the burst."""
-    first = msg.where("not recalled").groupBy("chat", F.col("sender").alias("mention"), F.col("topic").alias("to_topic")).agg(F.min(F.struct("ms", "ordinal")).alias("c"))
-    e = rows.where("not recalled and mention <> 'all'").join(first, ["chat", "mention"]).where(F.col("c") < F.struct(F.col("at_ms").alias("ms"), F.col("at_ordinal").alias("ordinal")))
-    return e.select("chat", "burst", "message_id", F.col("to_topic").alias("topic"))
+def mention_edges(rows: DataFrame, msg: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """(chat, burst, message_id, topic): a visible message mentions a sender who wrote in topic before the burst.
+
+    With active (chat, burst, topic), only for these topics: a sender's older topics are then never joined.
+    """
+    first = msg.where("not recalled").groupBy("chat", F.col("sender").alias("mention"), "topic").agg(F.min(F.struct("ms", "ordinal")).alias("c"))
+    asking = rows.where("not recalled and mention <> 'all'").select("chat", "burst", "message_id", "mention", "at_ms", "at_ordinal")
+    if active is None:
+        e = asking.join(first, ["chat", "mention"])
+    else:
+        e = asking.join(active.select("chat", "burst", "topic"), ["chat", "burst"]).join(first, ["chat", "mention", "topic"])
+    e = e.where(F.col("c") < F.struct(F.col("at_ms").alias("ms"), F.col("at_ordinal").alias("ordinal")))
+    return e.select("chat", "burst", "message_id", "topic")
 
 
-def burst_topic_edges(rows: DataFrame, msg: DataFrame) -> DataFrame:
+def burst_topic_edges(rows: DataFrame, msg: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """chat, burst, topic, edges: one edge a message and topic, at most 3 a burst and topic."""
-    e = reply_edges(rows, msg).union(mention_edges(rows, msg)).distinct()
+    e = reply_edges(rows, msg).union(mention_edges(rows, msg, active)).distinct()
     return e.groupBy("chat", "burst", "topic").agg(F.least(F.count("*"), F.lit(3)).alias("edges"))
 
 
 def topic_candidates(rows: DataFrame, msg: DataFrame, p: Params) -> DataFrame:
     """chat, burst, topic, rank: topics active before a burst, by links and age; the best k where there are too many."""
-    starts = rows.select("chat", "burst", "at_ms", "at_ordinal").distinct()
-    active = asof_activity(starts, msg, p.topic_ttl_ms).join(starts, ["chat", "at_ms", "at_ordinal"])
-    scored = active.join(burst_topic_edges(rows, msg), ["chat", "burst", "topic"], "left")
+    rows = written(rows.select("chat", "burst", "message_id", "pos", "recalled", "reply_pos", "mention", "at_ms", "at_ordinal"), "rows")  # read four times
+    starts = rows.where("pos = burst").select("chat", "burst", "at_ms", "at_ordinal")
+    active = written(asof_activity(starts, msg, p.topic_ttl_ms).join(starts, ["chat", "at_ms", "at_ordinal"]), "active")
+    scored = active.join(burst_topic_edges(rows, msg, active), ["chat", "burst", "topic"], "left")
     age = (F.col("at_ms") - F.col("ms")) / float(p.topic_ttl_ms)
     scored = scored.withColumn("score", F.round(p.beta * F.coalesce("edges", F.lit(0)) / 3.0 - p.gamma * age, 9))
     of = Window.partitionBy("chat", "burst")
