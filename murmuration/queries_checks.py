@@ -214,7 +214,7 @@ _SAMPLES = """s AS (SELECT d.doc_id AS answer_id, CASE WHEN d.doc_id % 9 = 0 THE
 def _samples(spark, sf):
     answers = view(spark, sf, "documents").selectExpr(
         "doc_id AS answer_id", "IF(doc_id % 9 = 0, 'choice', 'noul') AS qtype", "IF(doc_id % 7 = 0, 'burst', 'message') AS subject_kind", "doc_id AS subject_id",
-        "concat('q', CASE doc_id % 4 WHEN 0 THEN '_other' WHEN 1 THEN '_todo' ELSE '_announcement' END) AS question", "(n_chars % 101) / 100.0 AS p",
+        "concat('q', CASE doc_id % 4 WHEN 0 THEN '_other' WHEN 1 THEN '_todo' ELSE '_announcement' END) AS question", "CAST((n_chars % 101) / 100.0 AS DOUBLE) AS p",
     )
     return scores.calibration_samples(answers, view(spark, sf, "labels").selectExpr("doc_id AS subject_id", "quality AS todo", "toxic AS announcement"))
 
