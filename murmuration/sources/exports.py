@@ -21,6 +21,8 @@ EVERYBODY, UNKNOWN, FORWARD_TITLE = "全体成员", "未知", "聊天记录"
 NOBODY = ("unknown", "未知", "0")
 LABELS = {"image": "[图片]", "video": "[视频]", "audio": "[语音]"}
 MAX_DEPTH = 2
+#: Prefixes of persons and of the identities of messages.
+PERSON, BY_ID, BY_SEQUENCE, BY_DIGEST = "qq:", "qce:", "seq:", "hash:"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -128,15 +130,15 @@ def forward_bundle(elements: Column, depth: int = 0) -> Column:
 def sender(m: Column) -> Column:
     """Person of a message: uid, or the system; null where there is neither (the row is to be rejected)."""
     uid = F.nullif(F.trim(m["sender"]["uid"]), F.lit(""))
-    known = F.when(~uid.isin(*NOBODY), F.concat(F.lit("qq:"), uid))
-    return F.coalesce(known, F.when(m["system"], "qq:system"))
+    known = F.when(~uid.isin(*NOBODY), F.concat(F.lit(PERSON), uid))
+    return F.coalesce(known, F.when(m["system"], PERSON + "system"))
 
 
 def source_identity(m: Column) -> Column:
     """Stable identity of a message in its chat: id, else sequence and time, else a digest of sender, time and text."""
     id_, seq = F.nullif(F.trim(m["id"]), F.lit("")), F.nullif(F.trim(m["seq"]), F.lit(""))
     digest = F.sha2(F.concat_ws("\n", F.coalesce(m["sender"]["uid"], F.lit("")), m["timestamp"].cast("string"), F.coalesce(m["content"]["text"], F.lit(""))), 256)
-    return F.coalesce(F.concat(F.lit("qce:"), id_), F.concat(F.lit("seq:"), seq, F.lit("@"), m["timestamp"].cast("string")), F.concat(F.lit("hash:"), digest))
+    return F.coalesce(F.concat(F.lit(BY_ID), id_), F.concat(F.lit(BY_SEQUENCE), seq, F.lit("@"), m["timestamp"].cast("string")), F.concat(F.lit(BY_DIGEST), digest))
 
 
 def message_id(chat_id: Column, identity: Column) -> Column:
