@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import links, meaningful_text
+from .segment import running_sums
 
 
 def hot_topics(msg: DataFrame, until_ms) -> DataFrame:
@@ -59,10 +60,13 @@ def messages_range(msg: DataFrame, since_ms: int, until_ms: int) -> DataFrame:
 
 def suffix_within(msg: DataFrame, limit: int, extra: int = 256) -> DataFrame:
     """The longest run of newest messages per chat whose lengths plus extra sum to limit at most."""
-    back = Window.partitionBy("chat").orderBy(F.desc("ms"), F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, 0)
-    return msg.withColumn("used", F.sum(F.length("text") + extra).over(back)).where(F.col("used") <= limit).select("chat", "message_id", "used")
+    newest = Window.partitionBy("chat").orderBy(F.desc("ms"), F.desc("ordinal"))
+    # limit / extra messages can be within it at most; Spark keeps no more of a chat before it shuffles.
+    rows = msg.select("chat", "message_id", "ms", "ordinal", F.length("text").alias("n")).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= limit // extra)
+    used = F.sum(F.col("n") + extra).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("used", used).where(F.col("used") <= limit).select("chat", "message_id", "used")
 
 
 def batches(msg: DataFrame, size: int = 40) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("chat").orderBy("ms", "ordinal"))
-    return msg.withColumn("batch", F.floor((place - 1) / size)).groupBy("chat", "batch").agg(F.count("*").alias("messages"), F.min("ms").alias("from_ms"))
+    rows = running_sums(msg.select("chat", "pos", "ms"), ["chat"], "pos", ["pos"], {"place": F.lit(1)})
+    return rows.withColumn("batch", F.floor((F.col("place") - 1) / size)).groupBy("chat", "batch").agg(F.count("*").alias("messages"), F.min("ms").alias("from_ms"))

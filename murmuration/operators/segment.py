@@ -1,27 +1,47 @@
 """Bursts, sessions, cursors and reply interleave of the ordered messages of a chat.
 
 Message tables have chat, ms, ordinal, pos (place in the chat from 1), sender, recalled, reply_pos (place of the
-message replied to), state and topic. Windows go by chat; bursts go by chunks of places in a chat.
+message replied to), state and topic. What runs through a chat goes by spans or chunks of places, or of time.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
 
 
-def in_chat():
-    return Window.partitionBy("chat").orderBy("ms", "ordinal")
+#: Windows that run through a whole chat are cut into spans of this many places.
+SPAN = 1_000
+#: The same for windows over time.
+SPAN_MS = 600_000
 
 
+def running_sums(rows: DataFrame, by: list[str], at: str, order: list[str], values: dict[str, Column], span: int = SPAN) -> DataFrame:
+    """Add the values summed over the rows of the same by, up to and with the row itself, in order.
+
+    at is a number that never falls in that order. Sums run within spans of it, plus the totals of the spans before, so
+    that no task sorts a whole group.
+    """
+    rows = rows.withColumns({**values, "_span": F.floor(F.col(at) / span)})
+    totals = rows.groupBy(*by, "_span").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    earlier = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_span", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values])
+    within = Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({v: F.sum(v).over(within) for v in values}).join(before, [*by, "_span"])
+    return rows.withColumns({v: F.col(v) + F.col(f"_b_{v}") for v in values}).drop("_span", *[f"_b_{v}" for v in values])
+
 
 def strong_sessions(msg: DataFrame, gap_ms: int) -> DataFrame:
     """Add session: its number in the chat; a gap of gap_ms or more starts one."""
-    opens = F.when(F.col("ms") - F.lag("ms").over(in_chat()) < gap_ms, 0).otherwise(1)
-    return msg.withColumn("_open", opens).withColumn("session", F.sum("_open").over(in_chat().rowsBetween(Window.unboundedPreceding, 0))).drop("_open")
+    rows = msg.withColumn("_span", F.floor(F.col("pos") / SPAN))
+    ends = rows.groupBy("chat", "_span").agg(F.max("ms").alias("_end"))
+    ends = ends.select("chat", "_span", F.lag("_end").over(Window.partitionBy("chat").orderBy("_span")).alias("_end"))
+    before = F.coalesce(F.lag("ms").over(Window.partitionBy("chat", "_span").orderBy("pos")), F.col("_end"))
+    rows = rows.join(ends, ["chat", "_span"]).withColumn("_open", F.when(F.col("ms") - before < gap_ms, 0).otherwise(1)).drop("_span", "_end")
+    return running_sums(rows, ["chat"], "pos", ["pos"], {"session": F.col("_open")}).drop("_open")
 
 
 def bursts(msg: DataFrame, p: Params, chunk: int = 1_000) -> DataFrame:
@@ -100,9 +120,10 @@ def bursts(msg: DataFrame, p: Params, chunk: int = 1_000) -> DataFrame:
 
 def prefix_cursor(msg: DataFrame, stops: list[str]) -> DataFrame:
     """chat, ms, ordinal of the last message before the first whose state is in stops; chats without one are absent."""
-    bad = F.sum(F.col("state").isin(*stops).cast("int")).over(in_chat().rowsBetween(Window.unboundedPreceding, 0))
-    good = msg.withColumn("_bad", bad).where("_bad = 0")
-    return good.groupBy("chat").agg(F.max(F.struct("ms", "ordinal")).alias("c")).select("chat", "c.ms", "c.ordinal")
+    place = F.struct("ms", "ordinal")
+    first = msg.where(F.col("state").isin(*stops)).groupBy("chat").agg(F.min(place).alias("stop"))
+    good = msg.select("chat", place.alias("c")).join(first, "chat", "left").where("stop IS NULL OR c < stop")
+    return good.groupBy("chat").agg(F.max("c").alias("c")).select("chat", "c.ms", "c.ordinal")
 
 
 def reply_edges_in_window(msg: DataFrame) -> DataFrame:
@@ -113,10 +134,8 @@ def reply_edges_in_window(msg: DataFrame) -> DataFrame:
     """
     shown = F.when(F.col("recalled"), 0).otherwise(1)
     by_sender = Window.partitionBy("chat", "sender").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = msg.select(
-        "chat", "pos", "sender", "recalled", "reply_pos",
-        F.sum(shown).over(in_chat().rowsBetween(Window.unboundedPreceding, 0)).alias("seen"), F.sum(shown).over(by_sender).alias("own"),
-    )
+    rows = running_sums(msg.select("chat", "pos", "sender", "recalled", "reply_pos"), ["chat"], "pos", ["pos"], {"seen": shown})
+    rows = rows.withColumn("own", F.sum(shown).over(by_sender))
     visible = rows.where("not recalled")
     target = visible.select("chat", F.col("pos").alias("target"), F.col("sender").alias("to"), F.col("seen").alias("t_seen"), F.col("own").alias("t_own"))
     edges = visible.where("reply_pos < pos").withColumnRenamed("reply_pos", "target").join(target, ["chat", "target"])
@@ -145,17 +164,22 @@ def interleave(msg: DataFrame) -> DataFrame:
 def interleave_suffix(msg: DataFrame) -> DataFrame:
     """chat, target, and the edges and crossed edges whose target is there or later: the counts of every suffix."""
     e = reply_edges_in_window(msg).groupBy("chat", "target").agg(F.count("*").alias("n"), F.sum(F.col("crossed").cast("bigint")).alias("x"))
-    later = Window.partitionBy("chat").orderBy(F.desc("target")).rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("chat", "target", F.sum("n").over(later).alias("edges"), F.sum("x").over(later).alias("crossed"))
+    e = running_sums(e.withColumn("back", -F.col("target")), ["chat"], "back", ["back"], {"edges": F.col("n"), "crossed": F.col("x")})
+    return e.select("chat", "target", "edges", "crossed")
 
 
 def topic_close(msg: DataFrame, ttl_ms: int) -> DataFrame:
     """chat, topic, closed_ms: the first activity in the chat more than ttl after a topic's then last message; open topics are absent."""
     last = msg.groupBy("chat", "topic").agg(F.max("ms").alias("last_ms"))
-    marks = msg.select("chat", F.col("ms").alias("at"), F.lit(None).cast("string").alias("topic")).union(last.select("chat", F.col("last_ms") + ttl_ms, "topic"))
-    after = Window.partitionBy("chat").orderBy(F.desc("at"), F.col("topic").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    nxt = F.last(F.when(F.col("topic").isNull(), F.col("at")), ignorenulls=True).over(after)
-    return marks.withColumn("closed_ms", nxt).where("topic is not null and closed_ms > at").select("chat", "topic", "closed_ms")
+    marks = msg.select("chat", F.col("ms").alias("at"), F.lit(None).cast("string").alias("topic")).distinct().union(last.select("chat", F.col("last_ms") + ttl_ms, "topic"))
+    marks = marks.withColumns({"span": F.floor(F.col("at") / SPAN_MS), "seen": F.when(F.col("topic").isNull(), F.col("at"))})
+    # The next activity is in the same span of time, or the first of the next span that has one.
+    spans = marks.groupBy("chat", "span").agg(F.min("seen").alias("first"))
+    onward = Window.partitionBy("chat").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("chat", "span", F.last("first", ignorenulls=True).over(onward).alias("beyond"))
+    after = Window.partitionBy("chat", "span").orderBy(F.desc("at"), F.col("topic").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = marks.withColumn("here", F.last("seen", ignorenulls=True).over(after)).where("topic is not null").join(spans, ["chat", "span"])
+    return nxt.select("chat", "topic", F.coalesce("here", "beyond").alias("closed_ms")).where("closed_ms is not null")
 
 
 def asof_activity(starts: DataFrame, msg: DataFrame, ttl_ms: int) -> DataFrame:

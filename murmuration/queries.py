@@ -34,7 +34,7 @@ _TEXT = r"""regexp_replace(regexp_replace(text, '\[(?:图片|文件|语音|视
     FROM k GROUP BY chat, topic HAVING count(said) > 0""")
 def hot_topics(spark, sf):
     msg = _msg(spark, sf)
-    return overview.hot_topics(msg.withColumn("end_ms", F.max("ms").over(Window.partitionBy("chat"))), "end_ms")
+    return overview.hot_topics(msg.join(msg.groupBy("chat").agg(F.max("ms").alias("end_ms")), "chat"), "end_ms")
 
 
 _SESSION = """s AS (SELECT *, sum(o) OVER (PARTITION BY chat ORDER BY pos) AS session FROM (
