@@ -34,13 +34,13 @@ def running_sums(rows: DataFrame, by: list[str], at: str, order: list[str], valu
     return rows.withColumns({v: F.col(v) + F.col(f"_b_{v}") for v in values}).drop("_span", *[f"_b_{v}" for v in values])
 
 
-def strong_sessions(msg: DataFrame, gap_ms: int) -> DataFrame:
-    """Add session: its number in the chat; a gap of gap_ms or more starts one."""
+def strong_sessions(msg: DataFrame, gap_ms: int, may: Column | None = None) -> DataFrame:
+    """Add session: its number in the chat; a gap of gap_ms or more starts one, where the message may (by default, any)."""
     rows = msg.withColumn("_span", F.floor(F.col("pos") / SPAN))
     ends = rows.groupBy("chat", "_span").agg(F.max("ms").alias("_end"))
     ends = ends.select("chat", "_span", F.lag("_end").over(Window.partitionBy("chat").orderBy("_span")).alias("_end"))
     before = F.coalesce(F.lag("ms").over(Window.partitionBy("chat", "_span").orderBy("pos")), F.col("_end"))
-    rows = rows.join(ends, ["chat", "_span"]).withColumn("_open", F.when(F.col("ms") - before < gap_ms, 0).otherwise(1)).drop("_span", "_end")
+    rows = rows.join(ends, ["chat", "_span"]).withColumn("_open", F.when(before.isNotNull() & ((F.col("ms") - before < gap_ms) | ~(F.lit(True) if may is None else may)), 0).otherwise(1)).drop("_span", "_end")
     return running_sums(rows, ["chat"], "pos", ["pos"], {"session": F.col("_open")}).drop("_open")
 
 

@@ -33,3 +33,21 @@ def stream_sessions(spark, sf):
 def stream_import(spark, sf):
     rows = _arriving(spark, sf).withColumn("source_identity", F.concat(F.lit("qce:"), F.floor(F.col("event_id") / 3).cast("string")))
     return live.caught_up(spark, live.imported(rows), "imported")
+
+
+def _arriving_topics(spark, sf):
+    rows = _arriving(spark, sf)
+    return rows.withColumn("topic", F.floor(F.col("event_id") / 500))
+
+
+@query("""WITH t AS (SELECT chat, event_id // 500 AS topic, ms FROM v_event), o AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 21600000 THEN 0 ELSE 1 END AS o FROM t WINDOW w AS (PARTITION BY chat, topic ORDER BY ms)),
+    s AS (SELECT *, sum(o) OVER (PARTITION BY chat, topic ORDER BY ms ROWS UNBOUNDED PRECEDING) AS run FROM o)
+    SELECT chat, topic, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS messages FROM s GROUP BY chat, topic, run""")
+def stream_topic_runs(spark, sf):
+    return live.caught_up(spark, live.topic_runs(_arriving_topics(spark, sf)), "runs")
+
+
+@query("""WITH k AS (SELECT chat, event_id, (ms // 3600000 + unnest(range(1, 25))) * 3600000 AS until_ms FROM v_event)
+    SELECT chat, until_ms, count(*) AS messages, max(event_id) AS last_id FROM k GROUP BY chat, until_ms""")
+def stream_trailing(spark, sf):
+    return live.caught_up(spark, live.trailing(_arriving(spark, sf)), "trailing")

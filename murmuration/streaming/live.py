@@ -32,3 +32,15 @@ def caught_up(spark: SparkSession, folded: DataFrame, name: str) -> DataFrame:
     query = folded.writeStream.outputMode("complete").option("checkpointLocation", fresh_path(spark, f"{name}-state")).trigger(availableNow=True)
     query.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(out)).start().awaitTermination()
     return spark.read.schema(folded.schema).parquet(out)
+
+
+def topic_runs(msg: DataFrame, ttl: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """chat, topic, first_ms, last_ms, messages: runs of a topic; a run is closed by a silence longer than ttl, not by one just as long."""
+    each = msg.withWatermark("ts", late).groupBy("chat", "topic", F.session_window("ts", ttl).alias("w")).agg(F.count("*").alias("messages"), F.max("ms").alias("last_ms"))
+    return each.select("chat", "topic", F.unix_millis("w.start").alias("first_ms"), "last_ms", "messages")
+
+
+def trailing(msg: DataFrame, span: str = "24 hours", step: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """chat, until_ms, messages, last_id: what a report over the last span would count, every step."""
+    each = msg.withWatermark("ts", late).groupBy("chat", F.window("ts", span, step).alias("w")).agg(F.count("*").alias("messages"), F.max("event_id").alias("last_id"))
+    return each.select("chat", F.unix_millis("w.end").alias("until_ms"), "messages", "last_id")
