@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 #: Key of the pseudonyms on the synthetic tables. It is public: real data take a secret one, in the setting below.
@@ -94,13 +94,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(documents, fit(documents))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import encode_byte_bpe
+
+    return encode_byte_bpe(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ids=False, decoded=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op5_html_extraction, op6_source_mixing, op7_chat_formatting, op8_warc, op9_pii, op10_language_id, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op5_html_extraction, op6_source_mixing, op7_chat_formatting, op8_warc, op9_pii, op10_language_id, op11_conversation_trie, op12_importance_resampling, op13_byte_bpe, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op8_warc": """
