@@ -87,25 +87,25 @@ def name_strips(strips: DataFrame, root: bytes = bytes(16)) -> DataFrame:
     strips = materialize(strips, "strips")
     content = _digest(F.lit(b"\x01"), F.array_join(F.transform("syms", F.hex), "").cast("binary"))
     levels = [materialize(strips.where(F.size("syms") == STRIP).select("conv", "strip", content.alias("content")), "contents")]
-    last = strips.agg(F.max("strip")).first()[0] or 0
-    for k in range(max(0, last.bit_length() - 1)):  # contents of 2 ** (k + 1) strips each
+    most = 1 + (strips.agg(F.max("strip")).first()[0] or 0)
+    for k in range(most.bit_length() - 1):  # contents of 2 ** (k + 1) strips each
         half = F.shiftright(F.col("strip"), k).bitwiseAND(1)
         both = levels[-1].groupBy("conv", F.shiftright("strip", k + 1).alias("pair")).agg(
             F.max(F.when(half == 0, F.col("content"))).alias("a"), F.max(F.when(half == 1, F.col("content"))).alias("b"))
         both = both.where("a IS NOT NULL AND b IS NOT NULL")
         levels.append(materialize(both.select("conv", F.shiftleft("pair", k + 1).alias("strip"), _digest(F.lit(b"\x02"), F.col("a"), F.col("b")).alias("content")), "contents"))
-    starts = strips.where("strip = 0").select("conv", "strip", F.lit(root).alias("start"))
-    if last:
-        known = starts.where(F.lit(False))
-        for k in reversed(range(len(levels))):  # cuts at odd multiples of 2 ** k strips
-            cut = levels[k].where(F.shiftright("strip", k).bitwiseAND(1) == 0)
-            named = cut.where("strip = 0").select("conv", "strip", F.lit(root).alias("start"), "content").unionByName(cut.where("strip > 0").join(known, ["conv", "strip"]))
-            new = named.select("conv", (F.col("strip") + (1 << k)).alias("strip"), _digest(F.lit(b"\x03"), F.col("start"), F.col("content")).alias("start"))
-            known = materialize(known.unionByName(new), "cuts")
-        starts = starts.unionByName(known)
-    chained = F.aggregate(
-        "syms", F.array("start"), lambda names, s: F.concat(names, F.array(_digest(F.lit(b"\x04"), F.element_at(names, -1), s))))
-    named = materialize(strips.join(starts, ["conv", "strip"]).withColumn("names", chained).drop("syms", "start"), "named")
+    cuts = levels[0].select("conv", "strip", F.col("content").alias("start")).where(F.lit(False))
+    for k in reversed(range(len(levels))):  # cuts after odd multiples of 2 ** k strips
+        upper = levels[k].where(F.shiftright("strip", k).bitwiseAND(1) == 0)
+        named = upper.where("strip = 0").withColumn("start", F.lit(root)).unionByName(upper.where("strip > 0").join(cuts, ["conv", "strip"]))
+        new = named.select("conv", (F.col("strip") + (1 << k)).alias("strip"), _digest(F.lit(b"\x03"), F.col("start"), F.col("content")).alias("start"))
+        cuts = materialize(cuts.unionByName(new), "cuts")
+    ends = cuts.select("conv", (F.col("strip") - 1).alias("strip"), F.col("start").alias("end"))
+    placed = strips.join(cuts, ["conv", "strip"], "left").join(ends, ["conv", "strip"], "left").withColumn("start", F.coalesce("start", F.lit(root)))
+    inner = F.when(F.size("syms") == STRIP, F.slice("syms", 1, STRIP - 1)).otherwise(F.col("syms"))
+    chained = F.aggregate(inner, F.array("start"), lambda names, s: F.concat(names, F.array(_digest(F.lit(b"\x04"), F.element_at(names, -1), s))))
+    chained = F.when(F.size("syms") == STRIP, F.concat(chained, F.array("end"))).otherwise(chained)  # the last turn of a full strip is where the next one starts
+    named = materialize(placed.withColumn("names", chained).drop("syms", "start", "end"), "named")
     discard(strips, *levels)
     return named
 
