@@ -16,3 +16,5 @@ class Params:
     gamma: float = 0.1
     all_candidates_max: int = 40
     candidate_k: int = 5
+    tau_low: float = 0.25
+    tau_high: float = 0.6
