@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, lean, materialize, text_runs, unused
 
-DIGIT_BITS = 12
-CHUNK_BITS = 16  # rows of a chunk: 2 ** 16 at most
+DIGIT_BITS = 11
+CHUNK_BITS = 12  # rows of a chunk: 2 ** 12 at most
 WORD_BYTES = 64  # longer words aren't kept in the memo
 MEMO_WORDS = 400_000
 
