@@ -45,11 +45,27 @@ def burst_topic_edges(rows: DataFrame, msg: DataFrame, active: DataFrame | None
     return e.groupBy("chat", "burst", "topic").agg(F.least(F.count("*"), F.lit(3)).alias("edges"))
 
 
-def topic_candidates(rows: DataFrame, msg: DataFrame, p: Params) -> DataFrame:
-    """chat, burst, topic, rank: topics active before a burst, by links and age; the best k where there are too many."""
+def taking(pairs: DataFrame, rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Those of (chat, burst, topic, ...) whose topic may take the burst by its state.
+
+    states: chat, topic, state, closed_ms. An active topic (or one that isn't listed) takes any, a closed one takes what lies
+    wholly before its closing, as messages that were imported late do; a merged one takes none.
+    """
+    ends = rows.where("not recalled").groupBy("chat", "burst").agg(F.max("ms").alias("_end"))
+    both = pairs.join(ends, ["chat", "burst"]).join(states.select("chat", "topic", F.col("state").alias("_state"), "closed_ms"), ["chat", "topic"], "left")
+    return both.where("coalesce(_state, 'active') = 'active' OR _state = 'closed' AND _end < closed_ms").select(pairs.columns)
+
+
+def topic_candidates(rows: DataFrame, msg: DataFrame, p: Params, states: DataFrame | None = None) -> DataFrame:
+    """chat, burst, topic, rank: topics active before a burst, by links and age; the best k where there are too many.
+
+    With states, only topics whose state lets them take the burst.
+    """
+    timed = rows
     rows = written(rows.select("chat", "burst", "message_id", "pos", "recalled", "reply_pos", "mention", "at_ms", "at_ordinal"), "rows")  # read four times
     starts = rows.where("pos = burst").select("chat", "burst", "at_ms", "at_ordinal")
-    active = written(asof_activity(starts, msg, p.topic_ttl_ms).join(starts, ["chat", "at_ms", "at_ordinal"]), "active")
+    active = asof_activity(starts, msg, p.topic_ttl_ms).join(starts, ["chat", "at_ms", "at_ordinal"])
+    active = written(active if states is None else taking(active, timed, states), "active")
     scored = active.join(burst_topic_edges(rows, msg, active), ["chat", "burst", "topic"], "left")
     age = (F.col("at_ms") - F.col("ms")) / float(p.topic_ttl_ms)
     scored = scored.withColumn("score", F.round(p.beta * F.coalesce("edges", F.lit(0)) / 3.0 - p.gamma * age, 9))
@@ -58,19 +74,27 @@ def topic_candidates(rows: DataFrame, msg: DataFrame, p: Params) -> DataFrame:
     return ranked.where((F.col("n") <= p.all_candidates_max) | (F.col("rank") <= p.candidate_k)).select("chat", "burst", "topic", "rank", "score")
 
 
-def rule_reply(rows: DataFrame, msg: DataFrame) -> DataFrame:
-    """chat, burst, topic: all replies that leave the burst resolve to earlier messages of one topic."""
+def rule_reply(rows: DataFrame, msg: DataFrame, p: Params | None = None, states: DataFrame | None = None) -> DataFrame:
+    """chat, burst, topic: all replies that leave the burst resolve to earlier messages of one topic.
+
+    With p and states, only where that topic takes the burst: active within the ttl before it, and by its state.
+    """
     target = msg.select("chat", F.col("pos").alias("reply_pos"), F.col("topic").alias("to_topic"), F.lit(True).alias("known"))
     out = rows.where("not recalled and reply_pos is not null and reply_pos < burst").join(target, ["chat", "reply_pos"], "left")
     each = out.groupBy("chat", "burst").agg(F.count_if(F.col("known").isNull()).alias("lost"), F.countDistinct("to_topic").alias("topics"), F.min("to_topic").alias("topic"))
-    return each.where("lost = 0 and topics = 1").select("chat", "burst", "topic")
+    found = each.where("lost = 0 and topics = 1").select("chat", "burst", "topic")
+    if p is None or states is None:
+        return found
+    starts = rows.where("pos = burst").select("chat", "burst", "at_ms", "at_ordinal")
+    active = asof_activity(starts, msg, p.topic_ttl_ms).join(starts, ["chat", "at_ms", "at_ordinal"]).select("chat", "burst", "topic")
+    return taking(found.join(active, ["chat", "burst", "topic"], "left_semi"), rows, states)
 
 
-def merge_pairs(msg: DataFrame) -> DataFrame:
-    """(chat, a, b, message_id): a visible message replies to an earlier visible one of another topic; a < b."""
+def merge_pairs(msg: DataFrame, *more: str) -> DataFrame:
+    """(chat, a, b, message_id): a visible message replies to an earlier visible one of another topic; a < b; with more columns of the reply."""
     target = msg.where("not recalled").select("chat", F.col("pos").alias("reply_pos"), F.col("topic").alias("to_topic"))
     e = msg.where("not recalled and reply_pos < pos").join(target, ["chat", "reply_pos"]).where("topic <> to_topic")
-    return e.select("chat", F.least("topic", "to_topic").alias("a"), F.greatest("topic", "to_topic").alias("b"), "message_id")
+    return e.select("chat", F.least("topic", "to_topic").alias("a"), F.greatest("topic", "to_topic").alias("b"), "message_id", *more)
 
 
 def merge_candidates(msg: DataFrame, least: int = 2) -> DataFrame:
@@ -82,10 +106,10 @@ def merge_candidates(msg: DataFrame, least: int = 2) -> DataFrame:
     return each.where(F.col("support") >= least)
 
 
-def merge_supports(msg: DataFrame) -> DataFrame:
-    """chat, a, b, support of every pair of settled topics with a reply between them."""
+def merge_supports(msg: DataFrame, since_ms: int | None = None) -> DataFrame:
+    """chat, a, b, support of every pair of settled topics with a reply between them; in_scope: one of the replies is since_ms or later."""
     settled = settled_topics(msg)
-    e = merge_pairs(msg).groupBy("chat", "a", "b").agg(F.count("*").alias("support"))
+    e = merge_pairs(msg, "ms").groupBy("chat", "a", "b").agg(F.count("*").alias("support"), *([] if since_ms is None else [F.bool_or(F.col("ms") >= since_ms).alias("in_scope")]))
     for side in "ab":
         e = e.join(settled.withColumnRenamed("topic", side), ["chat", side], "left_semi")
     return e

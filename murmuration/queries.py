@@ -151,6 +151,34 @@ def rule_reply(spark, sf):
     return topics.rule_reply(*_rows(spark, sf))
 
 
+_STATES = """, ts AS (SELECT chat, topic, CASE min(ordinal) % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'closed' ELSE 'merged' END AS state, CASE WHEN min(ordinal) % 3 = 1 THEN (min(ms) + max(ms)) // 2 END AS closed_ms FROM v_msg GROUP BY chat, topic),
+    en AS (SELECT chat, burst, max(ms) AS end_ms FROM r WHERE NOT recalled GROUP BY chat, burst), tk AS (SELECT ac.* FROM ac JOIN en USING (chat, burst) LEFT JOIN ts USING (chat, topic) WHERE state = 'active' OR state = 'closed' AND end_ms < closed_ms)"""
+
+
+def _states(msg):
+    """States of topics: of three, one is active, one was closed half-way through its span, one is merged; so that half of a closed topic's bursts come late."""
+    each = msg.groupBy("chat", "topic").agg((F.min("ordinal") % 3).alias("k"), F.floor((F.min("ms") + F.max("ms")) / 2).alias("half"))
+    state = F.when(F.col("k") == 0, "active").when(F.col("k") == 1, "closed").otherwise("merged")
+    return each.select("chat", "topic", state.alias("state"), F.when(F.col("k") == 1, F.col("half")).alias("closed_ms"))
+
+
+@query(_ROWS + _ASOF + _STATES + """, sc AS (SELECT tk.*, round(0.3 * coalesce(edges, 0) / 3.0 - 0.1 * ((at_ms - ms) / 21600000.0), 9)::DOUBLE AS score FROM tk LEFT JOIN ed USING (chat, burst, topic)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY chat, burst ORDER BY score DESC, ms DESC, topic) AS rank, count(*) OVER (PARTITION BY chat, burst) AS n FROM sc)
+    SELECT chat, burst, topic, rank, score FROM rk WHERE n <= 40 OR rank <= 5""")
+def late_candidates(spark, sf):
+    """Candidates among topics that are active, or closed after the burst."""
+    rows, msg = _rows(spark, sf)
+    return topics.topic_candidates(rows, msg, P, _states(msg))
+
+
+@query(_ROWS + _ASOF + _STATES + """, o AS (SELECT r.chat, r.burst, t.topic FROM r LEFT JOIN v_msg t ON t.chat = r.chat AND t.pos = r.reply_pos WHERE NOT r.recalled AND r.reply_pos < r.burst),
+    f AS (SELECT chat, burst, min(topic) AS topic FROM o GROUP BY chat, burst HAVING count(*) = count(topic) AND count(DISTINCT topic) = 1)
+    SELECT f.* FROM f SEMI JOIN tk USING (chat, burst, topic)""")
+def late_rule_reply(spark, sf):
+    rows, msg = _rows(spark, sf)
+    return topics.rule_reply(rows, msg, P, _states(msg))
+
+
 _PAIRS = """p AS (SELECT s.chat, least(s.topic, t.topic) AS a, greatest(s.topic, t.topic) AS b, s.message_id FROM v_msg s JOIN v_msg t ON t.chat = s.chat AND t.pos = s.reply_pos AND t.pos < s.pos
       WHERE NOT s.recalled AND NOT t.recalled AND s.topic <> t.topic)"""
 
@@ -519,6 +547,18 @@ def merge_closure(spark, sf):
     return closure(topics.merge_supports(_msg(spark, sf)).select("a", "b", "support"))
 
 
+@query()
+def merge_closure_scoped(spark, sf):
+    """The same with rejected pairs (every fifth pair of topics with a reply between them) and a scope (the second half of the month). No SQL, as above."""
+    from .operators.graph import merge_closure as closure
+
+    msg = _msg(spark, sf)
+    first, last = _middle(spark, sf)
+    supports = topics.merge_supports(msg, (first + last) // 2)
+    rejected = topics.merge_pairs(msg).select("a", "b").distinct().where(F.crc32(F.concat("a", "b").cast("binary")) % 5 == 0)
+    return closure(supports.select("a", "b", "support", "in_scope"), rejected)
+
+
 @query()
 def match_greedy(spark, sf):
     """Parts against suppliers as predictions and gold items, overlap = lines in common, in runs by line number."""

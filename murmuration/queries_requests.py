@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import assign, contracts, requests, segment, topics, verify
 from .plans.views import view
-from .queries import _ASOF, _PAIRS, _PRIO, _PRIOR, _ROWS, _VER, P, _rows, _scored
+from .queries import _ASOF, _PAIRS, _PRIO, _PRIOR, _ROWS, _VER, P, _rows, _scored, _states
 from .registry import query
 
 
@@ -21,6 +21,26 @@ def assign_topics(spark, sf):
     return assign.assign_online(msg, segment.bursts(msg, P), P)
 
 
+@query()
+def assign_late(spark, sf):
+    """Every third burst came late: it finds its topic among those of the others, by their states. No SQL, as above."""
+    msg = _msg(spark, sf)
+    found = segment.bursts(msg, P)
+    late = found.where(F.col("burst") % 3 == 0).select("chat", "pos")
+    have = msg.where("NOT recalled").join(late, ["chat", "pos"], "left_anti").select("chat", "pos", "topic")
+    return assign.assign_online(msg, found, P, assigned=have, topics=_states(msg))
+
+
+@query()
+def assign_answered(spark, sf):
+    """Answers decide: choices by rank with a confidence, and reviews of those that are not sure. No SQL, as above."""
+    msg = _msg(spark, sf)
+    found = segment.bursts(msg, P)
+    n = F.col("burst")
+    answers = found.select("chat", "burst").distinct().select("chat", "burst", F.when(n % 5 > 0, n % 3).alias("choice"), (n % 101 / 100).alias("confidence"), F.when(n % 2 == 0, n % 4).alias("review"))
+    return assign.assign_online(msg, found, P, answers=answers.where(n % 11 > 0))
+
+
 _ITEMS = "it AS (SELECT i.insight_id, i.kind, m.chat, m.topic FROM v_insight i JOIN v_evidence e ON e.insight_id = i.insight_id AND e.idx = 1 JOIN v_msg m ON m.message_id = e.message_id WHERE i.lifecycle = 'open')"
 
 

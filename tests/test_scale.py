@@ -88,17 +88,19 @@ def test_places_without_a_sort_of_a_chat(spark, sf):
     assert "row_number() windowspecdefinition(chat" in plan and "_span" in plan.split("row_number() windowspecdefinition(chat")[1].split(",")[1]
 
 
-def merged_one_by_one(supports, rejected=()):
-    """Merge the best pair, add up, repeat."""
+def merged_one_by_one(supports, rejected=(), scope=None):
+    """Merge the best pair, add up, repeat. scope: the pairs with some support in scope; all, if not given."""
     edges, root, blocked = dict(supports), {}, {frozenset(p) for p in rejected}
+    scope = {frozenset(p) for p in (supports if scope is None else scope)}
     while True:
-        ready = [(-n, a, b) for (a, b), n in edges.items() if n >= 2 and frozenset((a, b)) not in blocked]
+        ready = [(-n, a, b) for (a, b), n in edges.items() if n >= 2 and frozenset((a, b)) not in blocked and frozenset((a, b)) in scope]
         if not ready:
             break
         _, into, gone = min(ready)
         root[gone] = into
         name = lambda x: into if x == gone else x
         blocked = {q for q in (frozenset(map(name, p)) for p in blocked) if len(q) == 2}
+        scope = {frozenset(map(name, p)) for p in scope}
         new = collections.Counter()
         for (a, b), n in edges.items():
             a, b = sorted((name(a), name(b)))
@@ -126,6 +128,11 @@ def test_merges_bring_up_new_pairs(spark):
         want = merged_one_by_one(supports)
         assert {r.node: r.root for r in merge_closure(df).collect()} == want
         assert trial or want["c"] == "a"
+    # A pair that is best for both its sides now may be beaten once stronger pairs elsewhere have merged.
+    supports = {("c", "d"): 10, ("a", "b"): 5, ("a", "c"): 3, ("a", "d"): 3}
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in supports.items()], "a string, b string, support long")
+    got = {r.node: r.root for r in merge_closure(df, spark.createDataFrame([("c", "b")], "a string, b string")).collect()}
+    assert got == merged_one_by_one(supports, [("b", "c")]) == {"a": "a", "b": "b", "c": "a", "d": "a"}
     rejected = [("a", "c")]
     supports = {("a", "b"): 3, ("b", "c"): 2, ("c", "d"): 2}
     df = spark.createDataFrame([(a, b, n) for (a, b), n in supports.items()], "a string, b string, support long")
@@ -133,6 +140,28 @@ def test_merges_bring_up_new_pairs(spark):
     assert got == merged_one_by_one(supports, rejected) == {"a": "a", "b": "a", "c": "c", "d": "c"}
 
 
+@pytest.mark.parametrize("at_once,graphs", [(10_000, 60), (4, 8)])
+def test_merges_with_rejections_and_scope(spark, at_once, graphs):
+    """Random graphs with rejections, scopes and ties; small components in one task, large ones by safe pairs first."""
+    from murmuration.operators.graph import merge_closure
+
+    rnd, supports, rejected, scope, want = random.Random(8), {}, [], [], {}
+    for g in range(graphs):
+        n = rnd.choice([4, 8, 12, 30]) if graphs > 8 else 6
+        name = lambda i: f"g{g:02d}-{i:02d}"
+        mine = {tuple(sorted((name(a), name(b)))): rnd.choice([1, 1, 2, 3, 5, 20, 60]) for a, b in (rnd.sample(range(n), 2) for _ in range(rnd.randint(n, 2 * n)))}
+        away = [rnd.choice([p, p[::-1]]) for p in {tuple(sorted((name(a), name(b)))) for a, b in (rnd.sample(range(n), 2) for _ in range(g % 7))}]
+        near = [p for p in mine if g % 2 or rnd.random() < 0.6]
+        want |= merged_one_by_one(mine, away, near)
+        supports |= mine
+        rejected += away
+        scope += near
+    scope = set(scope)
+    df = spark.createDataFrame([(a, b, n, (a, b) in scope or None) for (a, b), n in supports.items()], "a string, b string, support long, in_scope boolean")
+    got = {r.node: r.root for r in merge_closure(df, spark.createDataFrame(rejected, "a string, b string"), at_once=at_once).collect()}
+    assert got == want
+
+
 def test_greedy_matches_with_ties(spark):
     from murmuration.operators.graph import match_greedy
 
