@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean
+from .common import bounded_batches, lean, unused
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -141,7 +141,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result. Only the text is looked at, as a whole. A null id is not held out.
     """
     columns = [c for c in dict.fromkeys((id_col, *keep)) if c not in (text_col, "held_out", "lang_pred", "score")]
-    rows = df.select(F.col(text_col).alias("_text"), *columns, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
+    rows = df.select(F.col(text_col).alias(unused(df, "_text")), *columns, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*columns, "held_out"])
     fields += f", `{text_col}` string" if text_col in keep else ""
     langs = [*model.langs, "und"]

@@ -3,14 +3,16 @@
 Each source's words, document after document, are one stream, cut into blocks of a fixed number of words. The mix is a
 row of output shards of SHARD_SLOTS slots, a block each:
 
-1. every shard draws its source counts from one multinomial with the target weights, by a generator keyed by the shard;
-2. the sum of a source's draws decides how many words it gives, held within SETTLE of its target and twice its size;
-   where it was held, its counts shrink or grow in proportion, shard after shard by running sums;
+1. a source gives as many words as its target says, so it has a quota of slots;
+2. the shards draw their source counts under these quotas: independent multinomial draws, conditioned on the sums over all
+   shards, are draws without replacement. The row of shards is halved again and again, and each half draws its counts from
+   those of the whole by a generator keyed by the halving, so any task draws its own shards alone;
 3. slot j of a source is in epoch j // blocks and takes block pi(j % blocks), where pi is a keyed permutation of the
    indices, one per source and epoch; a keyed permutation of the shard's places says where the block stands in the shard;
 4. slots and blocks meet in a join on (source, block). An epoch uses a block once, so no word is taken more than twice.
 
-Sources are a list with a row each that every drawing task knows; nothing else that grows with the input leaves its tasks.
+Sources are a list with a row each that every drawing task knows, MAX_SOURCES at most (more are refused); nothing else
+that grows with the input leaves its tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from .common import materialize, unused
 WEIGHTS = (5, 2, 1)
 BLOCK = 256
 SHARD_SLOTS = 4096
-#: How far from its target the drawn counts may leave a source, as a part of the target.
-SETTLE = 0.005
+MAX_SOURCES = 1_000_000
+#: Beyond so many slots a half takes its part of each source to a slot, without a draw.
+DRAWN_SLOTS = 900_000_000
 DOCS_PER_BUCKET = 1_000
 SLOTS_PER_TASK = 200_000
 SHARDS_PER_TASK = 1_000
@@ -100,42 +103,49 @@ def _before(rows: DataFrame, key: str, at: str, n: str, run: int = 4096) -> Data
     return near.join(sums, [key, "_run"]).withColumn("_before", F.col("_near") + F.col("_far")).drop("_run", "_near", "_far")
 
 
-def draw_counts(spark, sources: list, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """sid, shard, n: how many blocks of each source each output shard draws; sources: rows of sid, target."""
-    sids, targets = np.array([r.sid for r in sources], np.int64), np.array([r.target for r in sources], float)
-    slots = int(-(-targets.sum() // block))
-    shards = -(-slots // shard_slots)
-    weights = targets / targets.sum() if slots else targets
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard in pdf["id"]:
-                size = min(shard_slots, slots - shard * shard_slots)
-                counts = np.random.Generator(np.random.Philox(key=[seed, shard])).multinomial(size, weights)
-                has = counts > 0
-                yield pd.DataFrame({"sid": sids[has], "shard": shard, "n": counts[has]})
-
-    return spark.range(0, shards, 1, max(1, -(-shards // SHARDS_PER_TASK))).mapInPandas(draw, "sid int, shard bigint, n bigint")
+def halved(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source a part of size slots has of counts, drawn without replacement."""
+    total = int(counts.sum())
+    if total < DRAWN_SLOTS:
+        return rng.multivariate_hypergeometric(counts, size, method="marginals")
+    exact = counts * (size / total)
+    part = np.minimum(np.floor(exact).astype(np.int64), counts)
+    more = np.argsort(part - exact + rng.random(len(part)) * 1e-9, kind="stable")
+    for i in more[: size - int(part.sum())]:
+        part[i] += part[i] < counts[i]
+    for i in more:  # what rounding left over
+        part[i] += min(int(counts[i] - part[i]), size - int(part.sum()))
+    return part
 
 
-def settled_counts(drawn: DataFrame, plan: DataFrame, block: int, limit: int, settle: float) -> DataFrame:
-    """sid, words, give (words that the source gives), shard, start, n: the drawn counts, settled.
+def draw_counts(spark, sources: list, shard_slots: int, seed: int) -> DataFrame:
+    """sid, words, give, shard, start, n: how many slots each output shard draws of each source, and those of the shards before it.
 
-    plan: sid, words, target. A source that no shard drew stands in a shard chosen by its number.
+    sources: rows of sid, words, give, slots. A source's n sum to its slots, a shard's to shard_slots (the last one's to the rest).
     """
-    shards = drawn.agg(F.max("shard")).first()[0] or 0
-    missing = plan.join(drawn.select("sid").distinct(), "sid", "left_anti").select("sid", F.pmod(F.xxhash64("sid"), F.lit(shards + 1)).alias("shard"), F.lit(1).cast("bigint").alias("n"))
-    drawn = drawn.union(missing)
-    sums = drawn.groupBy("sid").agg(F.sum("n").alias("drawn"))
-    give = F.greatest(F.least(F.col("drawn") * float(block), F.col("target") * (1 + settle)), F.col("target") * (1 - settle))
-    give = F.least(F.round(give).cast("bigint"), F.col("words") * limit)
-    per_epoch = F.ceil(F.col("words") / block)
-    slots = F.floor(F.col("give") / F.col("words")) * per_epoch + F.ceil(F.col("give") % F.col("words") / block)
-    sums = plan.join(sums, "sid").withColumn("give", give).withColumn("slots", slots).where("give > 0")
-    rows = _before(drawn, "sid", "shard", "n").join(F.broadcast(sums), "sid")  # a row a source
-    part = lambda c: f"CAST({c} AS DECIMAL(19, 0)) * CAST(slots AS DECIMAL(19, 0)) DIV CAST(drawn AS DECIMAL(19, 0))"
-    rows = rows.withColumn("start", F.expr(part("_before"))).withColumn("n", F.expr(f"{part('(_before + n)')} - start"))
-    return rows.where("n > 0").select("sid", "words", "give", "shard", "start", "n")
+    sids, words, give, slots = (np.array([r[c] for r in sources], np.int64) for c in ("sid", "words", "give", "slots"))
+    total = int(slots.sum())
+    shards = -(-total // shard_slots)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            low, high = int(pdf["id"].min()), int(pdf["id"].max()) + 1
+            todo = [(0, shards, slots, np.zeros(len(slots), np.int64))]
+            while todo:  # halves that this task has shards of, the later ones on top
+                a, b, counts, start = todo.pop()
+                if a >= high or b <= low:
+                    continue
+                if b - a == 1:
+                    has = counts > 0
+                    yield pd.DataFrame({"sid": sids[has], "words": words[has], "give": give[has], "shard": a, "start": start[has], "n": counts[has]})
+                    continue
+                middle = (a + b) // 2
+                left = halved(counts, (middle - a) * shard_slots, np.random.Generator(np.random.Philox(key=[seed, a << 32 | b])))
+                todo += [(a, middle, left, start), (middle, b, counts - left, start + left)]
+
+    return spark.range(0, shards, 1, max(1, -(-shards // SHARDS_PER_TASK))).mapInPandas(draw, "sid int, words bigint, give bigint, shard bigint, start bigint, n bigint")
 
 
 def mix_sources(
@@ -147,7 +157,7 @@ def mix_sources(
     Returns a row per row of df: id_col, source, size (words of the text; null: 0), source_size, target (words that its
     source shall give), taken (words that the mix takes, repeats counted) and takes: array of (epoch, at, n, shard,
     place), the runs of n words from word number at (from 0) that an epoch takes, and the shard and its block to which
-    they go. A source's taken words are within SETTLE of its target (and half a word). A null source is a source of its own, the last. Rows
+    they go. A source's taken words are its target, rounded. A null source is a source of its own, the last. Rows
     with one id, or a null id, count each. Sources without words have target 0; an empty table gives an empty result. The
     same rows and seed give the same result, whatever their order or partitions. Other columns play no part.
     """
@@ -163,11 +173,15 @@ def mix_sources(
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["sid", "bucket"])
     placed = placed.withColumn("at", F.col("before") + F.col("base")).drop("before", "base", "bucket", "docs")
 
-    plan = sources.where("source_size > 0").select("sid", F.col("source_size").alias("words"), "target")
+    words, give = F.col("source_size"), F.least(F.round("target").cast("bigint"), F.col("source_size") * limit)
+    per_epoch = F.ceil(words / block)
+    slots = F.floor(F.col("give") / words) * per_epoch + F.ceil(F.col("give") % words / block)
+    plan = sources.where("source_size > 0").withColumn("give", give).where("give > 0").select("sid", words.alias("words"), "give", slots.alias("slots"))
+    if plan.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: mix groups of them")
     known = plan.orderBy("sid").collect()  # a row a source
-    total = -(-int(sum(r.target for r in known)) // block)
-    drawn = materialize(draw_counts(df.sparkSession, known, block, shard_slots, seed), "drawn")
-    counts = settled_counts(drawn, plan, block, limit, SETTLE)
+    total = sum(r.slots for r in known)
+    counts = materialize(draw_counts(df.sparkSession, known, shard_slots, seed), "drawn")
     in_shard = Window.partitionBy("shard")
     first = F.coalesce(F.sum("n").over(in_shard.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumns({"first": first, "all": F.sum("n").over(in_shard)})
@@ -238,13 +252,29 @@ def _matched(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, sour
     return docs.join(named, docs[id_col] == named["_id"]).select(keep).union(other.join(taken, same).select(keep))
 
 
+#: Names that the mix's own columns have beside those of documents.
+OWN = ("_id", "_source", "_size", "_taken", "_takes", "_take", "_n", "_a", "_place")
+
+
+def _aside(docs: DataFrame, f) -> DataFrame:
+    """f of docs, whose columns named as the mix's own stand under other names meanwhile."""
+    clash = [c for c in docs.columns if c.lower() in OWN]
+    away = {c: unused(docs, f"_own{i}") for i, c in enumerate(clash)}
+    return f(docs.withColumnsRenamed(away), lambda c: away.get(c, c)).withColumnsRenamed({v: k for k, v in away.items()})
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Documents as the mix takes them: a row per document and epoch, with the words taken in it, in order.
 
     A document taken whole in an epoch keeps its text as it is; of others the taken words are joined by single spaces.
     Documents of which nothing is taken go. Rows with a null or repeated id are told apart by source, words and order of
-    text. Columns of docs must not be named _id, _source, _size, _taken or _takes.
+    text. Other columns of docs stay, whatever their names.
     """
+    renamed = mixed.select(F.col(id_col).alias("_mix_id"), "source", "size", "taken", "takes")
+    return _aside(docs, lambda d, name: _applied(d, renamed.withColumnRenamed("_mix_id", name(id_col)), name(id_col), name(text_col), name(source_col))).select(*docs.columns)
+
+
+def _applied(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     both = _matched(docs, mixed, id_col, text_col, source_col)
     each = both.withColumn("_taken", F.explode(F.array_distinct(F.transform("_takes", lambda t: t["epoch"]))))
     each = each.withColumn("_takes", F.expr("filter(_takes, t -> t.epoch = _taken)"))
@@ -257,6 +287,11 @@ def mixed_blocks(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text
 
     Write it with partitionBy("shard"), or repartition it by shard and sort by place.
     """
+    renamed = mixed.select(F.col(id_col).alias("_mix_id"), "source", "size", "taken", "takes")
+    return _aside(docs, lambda d, name: _blocks(d, renamed.withColumnRenamed("_mix_id", name(id_col)), name(id_col), name(text_col), name(source_col)))
+
+
+def _blocks(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     both = _matched(docs, mixed, id_col, text_col, source_col).withColumn("_take", F.explode("_takes"))
     piece = both.select(
         F.col("_take.shard").alias("shard"), F.col("_take.place").alias("place"), F.col(source_col).alias("source"),

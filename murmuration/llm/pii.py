@@ -59,7 +59,7 @@ def _feistel(a: str, b: str, m: str, n: str, kind: str, key: str, back: bool) ->
     """struct<a, b>: the keyed permutation of (a, b) in [0, m) x [0, n)."""
 
     def step(x: str, y: str, mod: str) -> str:
-        f = f"CAST(conv(substr(sha2(concat_ws('|', {_q(key)}, {_q(kind)}, {m}, {n}, i, {y}), 256), 1, 14), 16, 10) AS BIGINT)"
+        f = f"CAST(conv(substr(sha2(concat_ws('|', {key}, {_q(kind)}, {m}, {n}, i, {y}), 256), 1, 14), 16, 10) AS BIGINT)"
         return f"pmod({x} {'-' if back else '+'} {f} % {mod}, {mod})"
 
     order = f"sequence({ROUNDS - 1}, 0, -1)" if back else f"sequence(0, {ROUNDS - 1})"
@@ -95,7 +95,7 @@ def _mod97(code: str) -> str:
 
 def _digest_like(text: str, kind: str, key: str) -> str:
     """Characters of the kinds in text, from a keyed digest of it: hex of hex in its case, else digits, letters by case."""
-    stream = f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, {text}), 512)"
+    stream = f"sha2(concat_ws('|', {key}, {_q(kind)}, {text}), 512)"
     byte = "CAST(conv(substr(t.h, t.k % 120 + 1, 4), 16, 10) AS INT)"
     pick = f"""CASE WHEN t.x THEN substr(t.h, t.k % 128 + 1, 1) WHEN t.u THEN upper(substr(t.h, t.k % 128 + 1, 1))
       WHEN c >= '0' AND c <= '9' THEN CAST({byte} % 10 AS STRING) WHEN c >= 'a' AND c <= 'z' THEN char(97 + {byte} % 26)
@@ -150,14 +150,17 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", reverse: bool
 
     Every row stays, with its other columns; a column named found_col is replaced. Null stays null (found_col is then
     empty), and a text without personal data stays as it is. Texts are searched whole. With reverse, numbers and dates
-    in a pseudonymized text become what they were (same key); mail names and secrets stay.
+    in a pseudonymized text become what they were (same key); mail names and secrets stay. Numbers of 8 to 15 digits after a
+    plus sign are permuted without a look at their country code.
     """
     pattern = _q("|".join(f"(?:{p})" for p in PATTERNS.values()))
     text = f"`{text_col}`"
     some = f"coalesce({text} rlike {_q(HINT)}, false)"
-    h, n = unused(df, "_hits"), unused(df, "_new")
+    h, n, k = unused(df, "_hits"), unused(df, "_new"), unused(df, "_key")
+    # The key comes from a table of one row, so that plans, the UI and event logs don't show it.
+    secret = df.sparkSession.createDataFrame([(key,)], "k string").scalar()
     hits = F.expr(f"IF({some}, regexp_extract_all({text}, {pattern}, 0), CAST(array() AS array<string>))")
-    out = df.withColumn(h, hits).withColumn(n, F.expr(f"transform({h}, x -> {_pseudonym(key, reverse)})"))
+    out = df.withColumn(h, hits).withColumn(k, secret).withColumn(n, F.expr(f"transform({h}, x -> {_pseudonym(f'`{k}`', reverse)})"))
     joined = F.expr(f"IF(size({h}) = 0, {text}, array_join(zip_with(split({text}, {pattern}, -1), {n}, (p, v) -> concat(p, coalesce(v.value, ''))), ''))")
     kinds = F.expr(f"array_sort(transform(filter(zip_with({h}, {n}, (w, v) -> named_struct('k', v.kind, 'c', w <> v.value)), z -> z.c), z -> z.k))")
-    return out.withColumns({text_col: joined, found_col: kinds}).drop(h, n)
+    return out.withColumns({text_col: joined, found_col: kinds}).drop(h, n, k)

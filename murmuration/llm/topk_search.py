@@ -47,7 +47,7 @@ def top_k_inner_product(
     those with the query's own id; a score is the integer inner product, ties go to the smaller id. Fewer candidates
     than k give as many rows. Vectors that are null, empty or hold null or non-finite components take no part, nor do
     rows without an id; vectors of different lengths are not compared. Repeated rows are candidates of their own;
-    of query rows with one id, one asks (which one is not defined if their vectors differ).
+    of query rows with one id, the one with the smallest vector in order of components asks.
     Scores beyond a long are held at its ends. Other columns play no part.
     """
     x = F.col("_v")
@@ -58,7 +58,7 @@ def top_k_inner_product(
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERY_BLOCK))
     dealt = lambda parts: F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int")
     upto = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asking = rows.where(F.col("_id") % every == 0).dropDuplicates(["_id"])
+    asking = rows.where(F.col("_id") % every == 0).groupBy("_id").agg(F.min("_v").alias("_v"))
     queries = asking.select(F.lit(True).alias("asks"), "_id", "_v", dealt(blocks).alias("qb"), upto(shards).alias("shard"))
     told = rows.select(F.lit(False).alias("asks"), "_id", "_v", upto(blocks).alias("qb"), dealt(shards).alias("shard"))
 
