@@ -1,15 +1,27 @@
-"""Streams: the same folds as in batch, kept up to date as files of messages arrive."""
+"""Streams: the same folds as in batch, kept up to date as files of messages arrive.
+
+Windowed folds run in append mode: a span's row comes once the watermark has passed it, and its state goes. What the built-in
+windows can't say (bursts, closes strictly after a silence) are processors with their own state and event-time timers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..params import Params
 from ..plans.storage import fresh_path
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def buckets(msg: DataFrame, span: str = "10 minutes", late: str = "1 day") -> DataFrame:
-    """chat, slot_ms, messages, senders (about): tumbling spans; what comes later than late is left out once its span is done."""
+    """chat, slot_ms, messages, first_id: tumbling spans, each told once; a row that comes later than late is left out."""
     w = F.window("ts", span)
     each = msg.withWatermark("ts", late).groupBy("chat", w.alias("w")).agg(F.count("*").alias("messages"), F.min("event_id").alias("first_id"))
     return each.select("chat", F.unix_millis("w.start").alias("slot_ms"), "messages", "first_id")
@@ -21,26 +33,156 @@ def sessions(msg: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> Da
     return each.select("chat", F.unix_millis("w.start").alias("start_ms"), "last_ms", "messages")
 
 
-def imported(msg: DataFrame) -> DataFrame:
-    """chat, source_identity, copies, recalled: copies of a message are one, and a recall in any copy, early or late, is for good."""
-    return msg.groupBy("chat", "source_identity").agg(F.count("*").alias("copies"), F.bool_or("recalled").alias("recalled"))
+def trailing(msg: DataFrame, span: str = "24 hours", step: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """chat, until_ms, messages, last_id: what a report over the last span would count, every step."""
+    each = msg.withWatermark("ts", late).groupBy("chat", F.window("ts", span, step).alias("w")).agg(F.count("*").alias("messages"), F.max("event_id").alias("last_id"))
+    return each.select("chat", F.unix_millis("w.end").alias("until_ms"), "messages", "last_id")
 
 
-def caught_up(spark: SparkSession, folded: DataFrame, name: str) -> DataFrame:
-    """Run a streaming fold over all that has arrived and return its state as a table; a restart goes on from its checkpoint."""
-    out = fresh_path(spark, name)
-    query = folded.writeStream.outputMode("complete").option("checkpointLocation", fresh_path(spark, f"{name}-state")).trigger(availableNow=True)
-    query.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.schema(folded.schema).parquet(out)
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of time (ms, then ordinal), whatever order they arrive in within the watermark's delay.
 
+    A row waits until the watermark has passed it. Spark leaves out rows that come later than that, and counts them
+    (numRowsDroppedByWatermark). State is the rows that wait and what step() keeps.
+    """
 
-def topic_runs(msg: DataFrame, ttl: str = "6 hours", late: str = "1 day") -> DataFrame:
-    """chat, topic, first_ms, last_ms, messages: runs of a topic; a run is closed by a silence longer than ttl, not by one just as long."""
-    each = msg.withWatermark("ts", late).groupBy("chat", "topic", F.session_window("ts", ttl).alias("w")).agg(F.count("*").alias("messages"), F.max("ms").alias("last_ms"))
-    return each.select("chat", "topic", F.unix_millis("w.start").alias("first_ms"), "last_ms", "messages")
+    waits: str
+    columns: list[str]
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waits)
+        self.names = [f.split()[0] for f in self.waits.split(", ")]
+        self.begin()
 
-def trailing(msg: DataFrame, span: str = "24 hours", step: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """chat, until_ms, messages, last_id: what a report over the last span would count, every step."""
-    each = msg.withWatermark("ts", late).groupBy("chat", F.window("ts", span, step).alias("w")).agg(F.count("*").alias("messages"), F.max("event_id").alias("last_id"))
-    return each.select("chat", F.unix_millis("w.end").alias("until_ms"), "messages", "last_id")
+    def begin(self) -> None: ...
+
+    def step(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        """Fold rows in order; now is the watermark. Returns rows of the result."""
+        raise NotImplementedError
+
+    def next_timer(self) -> int | None:
+        """When to look again though nothing waits, in ms."""
+        return None
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.columns)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [tuple(None if pd.isna(v) else v for v in row) for pdf in rows for row in pdf[self.names].itertuples(index=False, name=None)]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self.handle.registerTimer(int(min(r[0] for r in fresh)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready, rest = sorted((r for r in held if r[0] <= now), key=lambda r: (r[0], r[1])), [r for r in held if r[0] > now]
+        out = self.step(key, ready, now)
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        more = [r[0] for r in rest] + [t for t in [self.next_timer()] if t is not None]
+        if more:
+            self.handle.registerTimer(int(max(now + 1, min(more))))
+        if out:
+            yield self._frame(out)
+
+    def close(self) -> None: ...
+
+
+class Bursts(InOrder):
+    """Bursts by the rules of operators.segment.bursts; state is the burst at the end, burst_max messages at most."""
+
+    waits = "ms LONG, ordinal LONG, message_id STRING, sender STRING, reply_to STRING"
+    columns = ["chat", "message_id", "burst"]
+
+    def __init__(self, p: Params):
+        self.p = p
+
+    def begin(self) -> None:
+        self.current = self.handle.getListState("current", "ms LONG, message_id STRING, sender STRING")
+
+    def step(self, key, rows, now):
+        if not rows:
+            return []
+        p, out = self.p, []
+        burst = [tuple(r) for r in self.current.get()] if self.current.exists() else []
+        for ms, _, message, sender, reply in rows:
+            gap = ms - burst[-1][0] if burst else 0
+            joins = burst and len(burst) < p.burst_max and gap < p.strong_gap_ms
+            joins = joins and (gap < p.weak_gap_ms or reply in {b[1] for b in burst} or sender == burst[-1][2] and gap <= p.same_sender_ms)
+            burst = [*burst, (ms, message, sender)] if joins else [(ms, message, sender)]
+            out.append((key[0], message, burst[0][1]))
+        self.current.put(burst)
+        return out
+
+
+class TopicRuns(InOrder):
+    """Runs of a topic, closed by a silence longer than ttl (not by one just as long); the state of a closed run goes."""
+
+    waits = "ms LONG, ordinal LONG"
+    columns = ["chat", "topic", "first_ms", "last_ms", "messages"]
+
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms
+
+    def begin(self) -> None:
+        self.run = self.handle.getValueState("run", "first LONG, last LONG, n LONG")
+
+    def step(self, key, rows, now):
+        run, out = tuple(self.run.get()) if self.run.exists() else None, []
+        for ms, _ in rows:
+            if run and ms - run[1] > self.ttl:
+                out.append((*key, *run))
+                run = None
+            run = (run[0], ms, run[2] + 1) if run else (ms, ms, 1)
+        if run and now - run[1] > self.ttl:  # all that could still come is later
+            out.append((*key, *run))
+            run = None
+        if run:
+            self.run.update(run)
+        elif self.run.exists():
+            self.run.clear()
+        return out
+
+    def next_timer(self):
+        return self.run.get()[1] + self.ttl + 1 if self.run.exists() else None
+
+
+def bursts(msg: DataFrame, p: Params, late: str = "1 hour") -> DataFrame:
+    """chat, message_id, burst (id of its first message): told once all up to the message has arrived.
+
+    msg: chat, ts, ms, ordinal, message_id, sender, reply_to (id). A message that comes later than late has no burst. A chat is
+    one key: its messages are read in order.
+    """
+    kind = msg.schema["chat"].dataType.simpleString()
+    rows = msg.withWatermark("ts", late).groupBy("chat")
+    return rows.transformWithStateInPandas(Bursts(p), f"chat {kind}, message_id string, burst string", "Append", "EventTime")
+
+
+def topic_runs(msg: DataFrame, ttl_ms: int, late: str = "1 hour") -> DataFrame:
+    """chat, topic, first_ms, last_ms, messages: runs of a topic, each told when it is closed; msg: chat, topic, ts, ms, ordinal."""
+    kind, name = (msg.schema[c].dataType.simpleString() for c in ("chat", "topic"))
+    rows = msg.withWatermark("ts", late).groupBy("chat", "topic")
+    return rows.transformWithStateInPandas(TopicRuns(ttl_ms), f"chat {kind}, topic {name}, first_ms long, last_ms long, messages long", "Append", "EventTime")
+
+
+def start(folded: DataFrame, out: str, checkpoint: str):
+    """Start a fold in append mode on all that has arrived; each row goes once to the Parquet table at out, and a restart goes on from the checkpoint."""
+    spark = folded.sparkSession
+    was = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return folded.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, was)
+
+
+def caught_up(spark: SparkSession, folded: DataFrame, name: str) -> DataFrame:
+    """Run a fold over all that has arrived, and read what it has told."""
+    out = fresh_path(spark, name)
+    start(folded, out, fresh_path(spark, f"{name}-state")).awaitTermination()
+    return spark.read.schema(folded.schema).parquet(out)
