@@ -604,4 +604,4 @@ def relation_coverage(spark, sf):
     return relations.relation_coverage(_msg(spark, sf), analysed, *_middle(spark, sf))
 
 
-from . import queries_checks, queries_ingest, queries_requests, queries_streams, queries_views  # noqa: E402, F401  they register their queries
+from . import queries_checks, queries_ingest, queries_requests, queries_streams, queries_strict, queries_views  # noqa: E402, F401  they register their queries
