@@ -120,7 +120,45 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_near_dedup, op3_exact_top_k, op4_ngram_jaccard_join, op5_html_extraction, op6_source_mixing, op7_chat_formatting, op8_warc, op9_pii, op10_language_id, op11_conversation_trie, op12_importance_resampling, op13_byte_bpe, pipeline)}
 
+#: CRC-32 of UTF-8 strings for DuckDB, which has none: its table, and the fold over the bytes of x.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab FROM range(0, 256) r(n))"""
+
+
+def _crc(x: str) -> str:
+    digit = lambda i: f"(instr('0123456789ABCDEF', substr(hex({x}), {i}, 1)) - 1)"
+    byte = f"(16 * {digit('2 * j + 1')} + {digit('2 * j + 2')})::BIGINT"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, strlen({x})), lambda j: {byte})), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLE: dict[str, str] = {
+    "op11_conversation_trie": f"""
+        WITH {_CRC_TABLE},
+        t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, left(sha256(strlen(role) || ':' || role || text), 32)) AS own FROM t GROUP BY conv_id),
+        h AS (SELECT conv_id, own, {_crc('conv_id::VARCHAR')} % 9 AS h FROM o, crc),
+        r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS seq FROM h c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 5),
+        m AS (SELECT conv_id, d AS depth, sha256(to_json(seq[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(to_json(seq[1:d - 1])::VARCHAR) END AS parent,
+          CASE WHEN d > 0 THEN strlen(seq[d].text) ELSE 0 END AS size, d = len(seq) AS ends FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+        n AS (SELECT k, parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS said FROM m GROUP BY k, parent, depth),
+        c AS (SELECT parent AS k, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+        l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k)),
+        s AS (SELECT m.k, sum(CASE WHEN l.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(l.own)::BIGINT AS saved FROM l JOIN m ON m.conv_id = l.conv_id AND m.depth <= l.depth GROUP BY m.k)
+        SELECT l.conv_id, l.depth, p.conv_id AS parent_conv_id, l.n_convs, l.n_children, s.n_leaves, s.saved AS saved_tokens, sha256(coalesce(l.said, '')) AS ends_sha256
+        FROM l JOIN s USING (k) LEFT JOIN n p ON p.k = l.parent""",
+    "op12_importance_resampling": rf"""
+        WITH {_CRC_TABLE},
+        a AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS i, text FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark),
+        w AS (SELECT side, doc_id, i, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM a),
+        f AS (SELECT side, i, unnest(words) AS word FROM w),
+        k AS (SELECT word, {_crc('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), crc),
+        n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN k USING (word) GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE))) AS gain FROM n),
+        q AS (SELECT i, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN k USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY i),
+        r AS (SELECT doc_id, len(words) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+          list_reduce(list_transform(range(1, 9), lambda j: (instr('0123456789abcdef', substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), j, 1)) - 1)::BIGINT), lambda x, y: 16 * x + y) AS h FROM w LEFT JOIN q USING (i) WHERE side = 'd'),
+        z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM r),
+        o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place FROM z)
+        SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= (SELECT count(*) * 10 // 100 FROM z WHERE words >= 20) THEN place END AS rank FROM o""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
