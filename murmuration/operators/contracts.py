@@ -109,6 +109,44 @@ def owned(members: DataFrame, claims: DataFrame) -> DataFrame:
     return both.select("topic", "message_id", F.when(F.col("own").isNull(), "unknown message").when(F.col("own") != F.col("topic"), "in another topic").otherwise("ok").alias("status"))
 
 
+#: Version of the event format, and what the payload of each known event must have.
+LOG_VERSION = r"^1\.\d+$"
+PAYLOADS = {"message": ("message_id", "sent_at"), "inbox": ("chat_id", "counts"), "topic": ("topic_id", "title"), "insight": ("insight_id", "kind"), "done": ("status", "exit_code")}
+
+
+def log_problems(lines: DataFrame, exits: DataFrame | None = None, payloads: dict[str, tuple] = PAYLOADS) -> DataFrame:
+    """file, events, line, rule: the first rule that each event log breaks and where; both null for a valid log.
+
+    lines: file, line (from 0), raw. A line is a JSON object of a known major version; numbers run with the lines; one run; a
+    known event has its payload's fields; an unknown one is fine; done comes once, last. exits (file, exit_code): the exit code
+    of the process, where it is known, is the one that done tells.
+    """
+    v = F.try_parse_json("raw")
+    text = lambda path: F.try_variant_get("v", path, "string")
+    rows = lines.select("file", "line", v.alias("v"), F.json_object_keys("raw").alias("keys"))
+    rows = rows.select("file", "line", (F.col("v").isNotNull() & F.col("keys").isNotNull()).alias("fits"), text("$.schema_version").alias("version"), F.try_variant_get("v", "$.seq", "bigint").alias("seq"),
+        text("$.run_id").alias("run"), text("$.event").alias("event"), F.json_object_keys(F.to_json(F.try_variant_get("v", "$.payload", "variant"))).alias("has"), F.try_variant_get("v", "$.payload.exit_code", "bigint").alias("exit_code"))
+    known = F.lit(True)
+    for event, fields in payloads.items():
+        whole = F.coalesce(F.size(F.array_except(F.array(*map(F.lit, fields)), "has")) == 0, F.lit(False))
+        known = F.when(F.col("event") == event, whole).otherwise(known)
+    done = F.col("event") == "done"
+    whole = rows.groupBy("file").agg(F.count("*").alias("events"), F.max("line").alias("last"), F.min_by("run", "line").alias("first_run"), F.min(F.when(done, F.col("line"))).alias("end"), F.max_by("exit_code", F.when(done, F.col("line"))).alias("told"))
+    both = rows.join(whole, "file")
+    rule = (
+        F.when(~F.col("fits"), "not an object").when(F.col("line") > F.col("end"), "event after done").when(~F.coalesce(F.col("version").rlike(LOG_VERSION), F.lit(False)), "schema version")
+        .when(F.coalesce(F.col("seq") != F.col("line"), F.lit(True)), "gap in numbers").when(F.col("run").isNull() | (F.col("run") != F.col("first_run")), "another run").when(F.col("event").isNull() | ~known, "malformed event")
+    )
+    first = both.withColumn("rule", rule).where("rule IS NOT NULL").groupBy("file").agg(F.min(F.struct("line", "rule")).alias("x"))
+    out = whole.join(first, "file", "left")
+    ended = F.when(F.col("end").isNull(), "without done")
+    if exits is not None:
+        out = out.join(exits.select("file", F.col("exit_code").alias("process")), "file", "left")
+        ended = ended.when(F.col("process").isNotNull() & ~F.col("process").eqNullSafe(F.col("told")), "exit code")
+    line = F.when(F.col("x").isNotNull(), F.col("x.line")).when(ended.isNotNull(), F.col("last"))
+    return out.select("file", "events", line.alias("line"), F.coalesce("x.rule", ended).alias("rule"))
+
+
 def log_status(events: DataFrame) -> DataFrame:
     """file, events, status of event logs (file, line, seq, run_id, event, exit): ok, or the first rule that a log breaks.
 

@@ -76,6 +76,20 @@ def item_problems(lines: DataFrame, id_pattern: str = MESSAGE_ID) -> DataFrame:
     return broken.union(twice)
 
 
+def choice_problems(rows: DataFrame) -> DataFrame:
+    """key, rows, problem: keys of gold choices (key) that are empty, or come more than once."""
+    each = rows.groupBy("key").agg(F.count("*").alias("rows"))
+    empty = F.coalesce(F.col("key"), F.lit("")) == ""
+    return each.where(empty | (F.col("rows") > 1)).withColumn("problem", F.when(empty, "empty key").otherwise("repeated key"))
+
+
+def label_status(lines: DataFrame, known: tuple = ("message_id", "thread", "todo", "announcement")) -> DataFrame:
+    """line, status of gold labels (line, raw): ok, not an object, unknown field, or no message id."""
+    keys = F.json_object_keys("raw")
+    status = F.when(keys.isNull(), "not an object").when(~_only(keys, known), "unknown field").when(F.get_json_object("raw", "$.message_id").isNull(), "no message id").otherwise("ok")
+    return lines.select("line", status.alias("status"))
+
+
 def sheet(msg: DataFrame) -> DataFrame:
     """The ten columns of a sheet, as text: live messages, source cells with a prefix that keeps them text, label cells blank.
 

@@ -120,3 +120,10 @@ def one_to_one(rows: DataFrame, by: str = "chat", most: int = 512) -> DataFrame:
     done = done.select(by, "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("overlap"), F.lit("ok").alias("status"))
     rest = sides.where(F.col("most") > most).select(by, F.lit(None).cast("bigint"), "total", F.lit(None).cast("double"), F.lit("unavailable_too_many_threads"))
     return done.union(rest)
+
+
+def deadline_fallback(rows: DataFrame, sure: float = 0.9, guess: float = 0.5) -> DataFrame:
+    """insight_id, bound_date, by, confidence: a guessed date (text) counts, with less confidence, where the rules gave none and it is a date."""
+    guessed = F.col("guess").try_cast("date")
+    rule = F.col("bound_date").isNotNull()
+    return rows.select("insight_id", F.coalesce("bound_date", guessed).alias("bound_date"), F.when(rule, "rule").when(guessed.isNotNull(), "guess").alias("by"), F.when(rule, sure).when(guessed.isNotNull(), guess).alias("confidence"))

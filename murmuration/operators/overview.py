@@ -70,3 +70,15 @@ def suffix_within(msg: DataFrame, limit: int, extra: int = 256) -> DataFrame:
 def batches(msg: DataFrame, size: int = 40) -> DataFrame:
     rows = running_sums(msg.select("chat", "pos", "ms"), ["chat"], "pos", ["pos"], {"place": F.lit(1)})
     return rows.withColumn("batch", F.floor((F.col("place") - 1) / size)).groupBy("chat", "batch").agg(F.count("*").alias("messages"), F.min("ms").alias("from_ms"))
+
+
+def chat_summary(msg: DataFrame, cursors: DataFrame, insights: DataFrame) -> DataFrame:
+    """chat, unread, p0: messages after the reader's cursor (chat, ms, ordinal; none: all), open verified insights of the first priority.
+
+    insights: chat, priority, status, lifecycle.
+    """
+    seen = cursors.select("chat", F.struct("ms", "ordinal").alias("seen"))
+    new = F.coalesce(F.struct("ms", "ordinal") > F.col("seen"), F.lit(True))
+    count = msg.select("chat", "ms", "ordinal").join(seen, "chat", "left").groupBy("chat").agg(F.count_if(new).alias("unread"))
+    p0 = insights.where("priority = 'P0' AND status = 'verified' AND lifecycle = 'open'").groupBy("chat").agg(F.count("*").alias("p0"))
+    return count.join(p0, "chat", "left").select("chat", "unread", F.coalesce("p0", F.lit(0)).alias("p0"))

@@ -48,3 +48,31 @@ def score_rows(measures: DataFrame, names: dict[str, tuple[str, str]], *by: str)
 def signal_fold(signals: DataFrame, *by: str) -> DataFrame:
     """by, urgency (greatest), chitchat (least), confidence (greatest), from the batches of a topic."""
     return signals.groupBy(*by).agg(F.max("urgency").alias("urgency"), F.min("chitchat").alias("chitchat"), F.max("confidence").alias("confidence"))
+
+
+def run_stats(items: DataFrame, *by: str) -> DataFrame:
+    """by, items, done, elapsed_ms of runs; items: by, done, at_ms."""
+    return items.groupBy(*by).agg(F.count("*").alias("items"), F.count_if("done").alias("done"), (F.max("at_ms") - F.min("at_ms")).alias("elapsed_ms"))
+
+
+def receipt(parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """what, key, n: how many rows of each part have each value of its column; parts: what -> (rows, column)."""
+    out = None
+    for what, (rows, column) in parts.items():
+        one = rows.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "key", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def binned(samples: DataFrame, *by: str, bins: int = 10) -> DataFrame:
+    """by, n, bins ("bin:samples:positives", joined by blanks) of samples (by, p, y)."""
+    rows = samples.withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
+    each = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("y").alias("yes"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("bin", "n", "yes"))), lambda b: F.concat_ws(":", b["bin"], b["n"], b["yes"]))
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), F.array_join(text, " ").alias("bins"))
+
+
+def label_signals(answers: DataFrame, labels: dict[str, float]) -> DataFrame:
+    """subject, a column a label (whether some answer for it reaches its threshold), confidence; answers: subject, label, p, sure."""
+    hit = [F.bool_or((F.col("label") == name) & (F.col("p") >= least)).alias(name) for name, least in labels.items()]
+    return answers.groupBy("subject").agg(*hit, F.max("sure").alias("confidence"))

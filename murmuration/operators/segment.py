@@ -201,3 +201,9 @@ def asof_activity(starts: DataFrame, msg: DataFrame, ttl_ms: int) -> DataFrame:
     seen = both.withColumn("last", F.last("c", ignorenulls=True).over(upto)).where("later = 0")
     found = seen.where(F.col("last").isNotNull() & (F.col("t") - F.col("last.ms") <= ttl_ms))
     return found.select("chat", F.col("t").alias("at_ms"), F.col("o").alias("at_ordinal"), "topic", F.col("last.ms").alias("ms"), F.col("last.ordinal").alias("ordinal"))
+
+
+def route(msg: DataFrame, most: int = 60, ratio: float = 0.2) -> DataFrame:
+    """chat, pending, direct: chats whose backlog is small and little interleaved are analysed directly."""
+    pending = msg.groupBy("chat").agg(F.count_if((F.col("state") == "pending") & ~F.col("recalled")).alias("pending"))
+    return pending.join(interleave(msg), "chat").select("chat", "pending", ((F.col("pending") <= most) & (F.col("ratio") < ratio)).alias("direct"))

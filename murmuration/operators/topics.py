@@ -130,3 +130,16 @@ def context_rows(msg: DataFrame, keep: int = 5) -> DataFrame:
     rows = msg.where("not recalled and state <> 'pending'").withColumn("newest", newest).where(F.col("newest") <= keep)
     ref = F.concat(F.lit("c"), F.row_number().over(Window.partitionBy("chat", "topic").orderBy("ms", "ordinal")))
     return rows.select("chat", "topic", "message_id", ref.alias("ref"))
+
+
+def shown_supports(msg: DataFrame, shown: int = 3, least: int = 2) -> DataFrame:
+    """chat, a, b, edges, holds: whether the replies shown for a pair still are enough between live messages of both topics."""
+    e = merge_pairs(msg).withColumn("k", F.row_number().over(Window.partitionBy("chat", "a", "b").orderBy("message_id"))).where(F.col("k") <= shown)
+    return e.groupBy("chat", "a", "b").agg(F.count("*").alias("edges"), (F.count("*") >= least).alias("holds"))
+
+
+def merged_extent(msg: DataFrame, aliases: DataFrame) -> DataFrame:
+    """chat, topic, messages, last_ms, parts of topics after merges; aliases: chat, topic, root."""
+    moved = aliases.where("topic <> root").select("chat", "topic", "root")
+    both = msg.join(moved, ["chat", "topic"], "left").withColumn("to", F.coalesce("root", "topic"))
+    return both.groupBy("chat", F.col("to").alias("topic")).agg(F.count("*").alias("messages"), F.max("ms").alias("last_ms"), F.countDistinct(F.col("topic")).alias("parts"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import contracts, imports, relations, scores, segment, topics
+from .operators import contracts, gold, imports, relations, scores, segment, topics
 from .plans.storage import fresh_path
 from .plans.views import view
 from .registry import query
@@ -233,10 +233,7 @@ def calibration_excluded(spark, sf):
     SELECT task, model, sum(n)::BIGINT AS n, string_agg(bin || ':' || n || ':' || yes, ' ' ORDER BY bin) AS bins FROM b GROUP BY task, model""")
 def calibration_table(spark, sf):
     """Groups of task and model with their bins: number, samples, positives."""
-    rows = view(spark, sf, "v_prob").where("task IS NOT NULL AND model IS NOT NULL").withColumn("bin", F.least(F.floor(F.col("p") * 10), F.lit(9)))
-    bins = rows.groupBy("task", "model", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("yes"))
-    text = F.transform(F.array_sort(F.collect_list(F.struct("bin", "n", "yes"))), lambda b: F.concat_ws(":", b["bin"], b["n"], b["yes"]))
-    return bins.groupBy("task", "model").agg(F.sum("n").alias("n"), F.array_join(text, " ").alias("bins"))
+    return scores.binned(view(spark, sf, "v_prob").where("task IS NOT NULL AND model IS NOT NULL"), "task", "model")
 
 
 _COVER = "SELECT chat, count(CASE WHEN ordinal % 9 <> 0 OR chat % 4 = 1 THEN topic END) AS assigned, count(*) AS messages FROM v_msg GROUP BY chat"
@@ -262,19 +259,14 @@ def signal_fold(spark, sf):
 
 @query("""SELECT o_custkey AS run, count(*) AS items, count(*) FILTER (o_orderstatus = 'F') AS done, (max(epoch_us(o_orderdate)) - min(epoch_us(o_orderdate))) // 1000 AS elapsed_ms FROM orders GROUP BY o_custkey""")
 def run_stats(spark, sf):
-    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
-    return view(spark, sf, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("items"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), (F.max(at) - F.min(at)).alias("elapsed_ms"))
+    rows = view(spark, sf, "orders").select(F.col("o_custkey").alias("run"), (F.col("o_orderstatus") == "F").alias("done"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("at_ms"))
+    return scores.run_stats(rows, "run")
 
 
 @query("""SELECT 'status' AS what, o_orderstatus AS key, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY ALL UNION ALL SELECT 'method', l_returnflag, count(*) FROM lineitem GROUP BY ALL""")
 def run_receipt(spark, sf):
     orders, li = view(spark, sf, "orders"), view(spark, sf, "lineitem")
-    parts = [(orders, "status", "o_orderstatus"), (orders, "priority", "o_orderpriority"), (li, "method", "l_returnflag")]
-    out = None
-    for table, what, column in parts:
-        one = table.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "key", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return scores.receipt({"status": (orders, "o_orderstatus"), "priority": (orders, "o_orderpriority"), "method": (li, "l_returnflag")})
 
 
 # Annotation sheets: exported from messages, read back as CSV.
@@ -316,8 +308,7 @@ def sheet_import_check(spark, sf):
 @query("""WITH g AS (SELECT o_custkey AS k, o_orderkey % 50 = 0 AS blank FROM orders)
     SELECT CASE WHEN blank THEN '' ELSE 'c' || k END AS key, count(*) AS rows, CASE WHEN CASE WHEN blank THEN '' ELSE 'c' || k END = '' THEN 'empty key' ELSE 'repeated key' END AS problem FROM g GROUP BY 1 HAVING count(*) > 1 OR key = ''""")
 def choice_gold_check(spark, sf):
-    rows = view(spark, sf, "orders").selectExpr("IF(o_orderkey % 50 = 0, '', concat('c', o_custkey)) AS key").groupBy("key").agg(F.count("*").alias("rows"))
-    return rows.where("rows > 1 OR key = ''").withColumn("problem", F.when(F.col("key") == "", "empty key").otherwise("repeated key"))
+    return gold.choice_problems(view(spark, sf, "orders").selectExpr("IF(o_orderkey % 50 = 0, '', concat('c', o_custkey)) AS key"))
 
 
 @query("""SELECT doc_id AS line, CASE WHEN doc_id % 6 = 1 THEN 'unknown field' WHEN doc_id % 6 = 2 THEN 'no message id' WHEN doc_id % 6 = 3 THEN 'not an object' ELSE 'ok' END AS status FROM documents""")
@@ -326,11 +317,7 @@ def gold_scan(spark, sf):
     line = """CASE doc_id % 6 WHEN 1 THEN concat('{"message_id":"m', doc_id, '","todo":true,"mood":1}') WHEN 2 THEN '{"todo":true}' WHEN 3 THEN '[1]' ELSE concat('{"message_id":"m', doc_id, '","thread":"t","todo":false,"announcement":true}') END"""
     path = fresh_path(spark, "gold")
     view(spark, sf, "documents").selectExpr(f"concat(doc_id, chr(9), {line}) AS value").write.text(path)
-    rows = spark.read.text(path).select(F.substring_index("value", "\t", 1).cast("bigint").alias("line"), F.substring_index("value", "\t", -1).alias("raw"))
-    keys = F.json_object_keys("raw")
-    known = F.array(*map(F.lit, ("message_id", "thread", "todo", "announcement")))
-    status = F.when(keys.isNull(), "not an object").when(F.size(F.array_except(keys, known)) > 0, "unknown field").when(F.get_json_object("raw", "$.message_id").isNull(), "no message id").otherwise("ok")
-    return rows.select("line", status.alias("status"))
+    return gold.label_status(spark.read.text(path).select(F.substring_index("value", "\t", 1).cast("bigint").alias("line"), F.substring_index("value", "\t", -1).alias("raw")))
 
 
 # Topics.
@@ -346,10 +333,7 @@ def topic_closed_at(spark, sf):
     SELECT chat, a, b, count(*) AS edges, count(*) >= 2 AS holds FROM p WHERE k <= 3 GROUP BY chat, a, b""")
 def merge_support_check(spark, sf):
     """Whether the replies shown for a pair (three at most) still are two at least between live messages of both topics."""
-    from pyspark.sql import Window
-
-    e = topics.merge_pairs(_msg(spark, sf)).withColumn("k", F.row_number().over(Window.partitionBy("chat", "a", "b").orderBy("message_id"))).where("k <= 3")
-    return e.groupBy("chat", "a", "b").agg(F.count("*").alias("edges"), (F.count("*") >= 2).alias("holds"))
+    return topics.shown_supports(_msg(spark, sf))
 
 
 @query("""WITH g AS (SELECT chat, topic, CASE WHEN right(topic, 1) = '2' THEN left(topic, len(topic) - 1) || '1' ELSE topic END AS root FROM (SELECT DISTINCT chat, topic FROM v_msg)),
@@ -360,9 +344,7 @@ def merge_apply(spark, sf):
     msg = _msg(spark, sf)
     known = msg.select("chat", "topic").distinct()
     to = known.selectExpr("chat", "topic", "IF(right(topic, 1) = '2', concat(left(topic, length(topic) - 1), '1'), topic) AS root")
-    alias = to.join(known.withColumnRenamed("topic", "root"), ["chat", "root"]).where("topic <> root").select("chat", "topic", "root")
-    both = msg.join(alias, ["chat", "topic"], "left").withColumn("to", F.coalesce("root", "topic"))
-    return both.groupBy("chat", F.col("to").alias("topic")).agg(F.count("*").alias("messages"), F.max("ms").alias("last_ms"), F.countDistinct(F.col("topic")).alias("parts"))
+    return topics.merged_extent(msg, to.join(known.withColumnRenamed("topic", "root"), ["chat", "root"]).select("chat", "topic", "root"))
 
 
 _CHAT_EDGES = """e AS (SELECT s.chat, (SELECT count(*) FROM v_msg x WHERE x.chat = s.chat AND x.pos > t.pos AND x.pos < s.pos
@@ -376,5 +358,4 @@ _CHAT_EDGES = """e AS (SELECT s.chat, (SELECT count(*) FROM v_msg x WHERE x.chat
 def route_flag(spark, sf):
     """Chats whose backlog is small and little interleaved are analysed directly."""
     msg = _msg(spark, sf)
-    pending = msg.groupBy("chat").agg(F.count_if((F.col("state") == "pending") & ~F.col("recalled")).alias("pending"))
-    return pending.join(segment.interleave(msg), "chat").select("chat", "pending", ((F.col("pending") <= 60) & (F.col("ratio") < 0.2)).alias("direct"))
+    return segment.route(msg)

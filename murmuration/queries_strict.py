@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .operators import gold, identity, reconcile, topics, verify
+from .operators import contracts, gold, identity, reconcile, sinks, topics, verify
 from .plans.storage import fresh_path
 from .plans.views import view
 from .queries import _PAIRS, _ROWS, _rows
@@ -192,3 +192,45 @@ def rendered_spans(spark, sf):
     spans = verify.rendered_spans(evidence, seen).join(seen, "message_id")
     covered = F.substring(F.col("text"), (F.col("at") + 1).cast("int"), (F.col("until") - F.col("at")).cast("int"))
     return spans.select("insight_id", "idx", "message_id", F.regexp_replace(covered, r"(?U)\s", "").alias("covered"))
+
+
+@query("""WITH k AS (SELECT user_id, count(*) AS n, user_id % 8 AS c FROM events GROUP BY user_id),
+    r AS (SELECT user_id AS file, n AS events, CASE WHEN c = 1 AND n > 1 THEN 'not an object' WHEN c = 2 AND n > 1 THEN 'schema version' WHEN c = 3 AND n > 1 THEN 'gap in numbers' WHEN c = 4 AND n > 1 THEN 'another run'
+      WHEN c = 5 AND n > 1 THEN 'malformed event' WHEN c = 6 THEN 'without done' WHEN c = 7 THEN 'exit code' END AS rule FROM k)
+    SELECT file, events, CASE WHEN rule IN ('without done', 'exit code') THEN events - 1 WHEN rule IS NOT NULL THEN 1 END AS line, rule FROM r""")
+def event_log_strict(spark, sf):
+    """Logs of a run a user, each broken in its own way: version, numbers, run, payloads, end, exit code. Unknown events are fine."""
+    rows = view(spark, sf, "events").selectExpr("user_id AS file", "event_type", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line", "count(*) OVER (PARTITION BY user_id) AS n")
+    made = """CASE WHEN file % 8 = 1 AND line = 1 THEN '{' ELSE concat('{"schema_version":"', IF(file % 8 = 2 AND line = 1, '2.0', '1.3'), '","run_id":"', IF(file % 8 = 4 AND line = 1, 'x', 'r'), '","seq":', line + IF(file % 8 = 3 AND line > 0, 1, 0),
+      ',"event":"', CASE WHEN file % 8 = 5 AND line = 1 THEN 'message' WHEN line = n - 1 AND file % 8 <> 6 THEN 'done' ELSE event_type END, '","payload":', IF(line = n - 1 AND NOT (file % 8 = 5 AND line = 1), '{"status":"complete","exit_code":6}', '{}'), '}') END"""
+    lines = rows.selectExpr("file", "CAST(line AS BIGINT) AS line", f"{made} AS raw")
+    exits = rows.select("file").distinct().where("file % 8 IN (0, 7)").selectExpr("file", "IF(file % 8 = 0, 6L, 0L) AS exit_code")
+    return contracts.log_problems(lines, exits)
+
+
+@query("""WITH s AS (SELECT chat, 'mentions' AS section, message_id, ms, ordinal FROM v_msg WHERE NOT recalled AND mention = 'all' UNION ALL SELECT chat, 'unread_topics', topic, max(ms), 0 FROM v_msg WHERE state = 'pending' GROUP BY chat, topic
+      UNION ALL SELECT chat, 'hot_topics', topic, count(*), 0 FROM v_msg WHERE NOT recalled GROUP BY chat, topic), c AS (SELECT chat, section, count(*) AS n FROM s GROUP BY ALL)
+    SELECT s.chat::VARCHAR AS chat, section, row_number() OVER (PARTITION BY s.chat, section ORDER BY CASE section WHEN 'hot_topics' THEN -ms ELSE ms END, ordinal, message_id) AS place, message_id AS item, ms AS n, c.n AS header FROM s JOIN c USING (chat, section)""")
+def overview_export(spark, sf):
+    """Sections of differently shaped rows, written a folder a section and read back, with the sizes that a header tells."""
+    msg = _msg(spark, sf)
+    mentions = msg.where("NOT recalled AND mention = 'all'").select("chat", F.col("message_id").alias("item"), F.col("ms").alias("n"), "ordinal", "text")
+    unread = msg.where("state = 'pending'").groupBy("chat", F.col("topic").alias("item")).agg(F.max("ms").alias("n"), F.collect_set("sender").alias("senders"))
+    hot = msg.where("NOT recalled").groupBy("chat", F.col("topic").alias("item")).agg(F.count("*").alias("n"))
+    tagged = sinks.tagged_sections({"mentions": (mentions, ["n", "ordinal"]), "unread_topics": (unread, ["n", "item"]), "hot_topics": (hot, [F.desc("n"), "item"])})
+    path = fresh_path(spark, "sections")
+    sinks.write_sections(tagged, path)
+    rows = sinks.read_sections(spark, path)
+    return rows.select("chat", "section", "place", F.variant_get("row", "$.item", "string").alias("item"), F.variant_get("row", "$.n", "bigint").alias("n"), F.element_at("header", F.col("section")).alias("header"))
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'unlabelled_subject' WHEN task IS NULL OR model IS NULL THEN 'no task' END AS excluded FROM v_prob), u AS (SELECT * FROM a WHERE excluded IS NULL),
+    b AS (SELECT model, task, least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, sum(y)::BIGINT AS positives, round(sum(p) / count(*), 6)::DOUBLE AS mean, abs(sum(p) - sum(y)) AS gap, sum((p - y) * (p - y)) AS sq FROM u GROUP BY ALL),
+    g AS (SELECT model, task, sum(n)::BIGINT AS count, round(sum(gap) / sum(n), 6)::DOUBLE AS ece, round(sum(sq) / sum(n), 6)::DOUBLE AS brier FROM b GROUP BY ALL)
+    SELECT model, task, count, ece, brier, bin, n, positives, mean, (SELECT count(*) FROM a) AS total, (SELECT count(*) FROM u) AS included FROM b JOIN g USING (model, task)""")
+def calibration_export(spark, sf):
+    """The nested report, written as JSON and read back."""
+    rows = view(spark, sf, "v_prob").withColumn("excluded", F.when(F.col("doc_id") % 7 == 0, "unlabelled_subject").when(F.col("task").isNull() | F.col("model").isNull(), "no task"))
+    path = fresh_path(spark, "report")
+    sinks.write_report(sinks.calibration_report(rows), path)
+    return sinks.read_report(spark, path)

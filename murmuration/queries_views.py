@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import insights, rank, topics, verify
+from .operators import insights, overview, rank, scores, topics, verify
 from .plans.views import view
 from .queries import _ASOF, _FAIL, _PRIO, _ROWS, NOW_S, P, _rows, _scored
 from .registry import query
@@ -29,11 +29,7 @@ _SEEN = "sn AS (SELECT chat, ms, ordinal FROM v_msg WHERE pos = 30 AND chat % 4
 def chat_summary(spark, sf):
     """Per chat: messages after the reader's cursor, open verified insights of the first priority."""
     msg = _msg(spark, sf)
-    seen = _reviewed(spark, sf).select("chat", F.struct("ms", "ordinal").alias("seen"))
-    new = F.coalesce(F.struct("ms", "ordinal") > F.col("seen"), F.lit(True))
-    count = msg.select("chat", "ms", "ordinal").join(seen, "chat", "left").groupBy("chat").agg(F.count_if(new).alias("unread"))
-    p0 = _scored(spark, sf).where("priority = 'P0' AND status = 'verified' AND lifecycle = 'open'").groupBy((F.col("topic_id") % 20).alias("chat")).agg(F.count("*").alias("p0"))
-    return count.join(p0, "chat", "left").select("chat", "unread", F.coalesce("p0", F.lit(0)).alias("p0"))
+    return overview.chat_summary(msg, _reviewed(spark, sf), _scored(spark, sf).withColumn("chat", F.col("topic_id") % 20))
 
 
 _UNREAD = f"""{_SEEN}, un AS (SELECT insight_id, bool_or(sn.chat IS NULL OR (m.ms, m.ordinal) > (sn.ms, sn.ordinal)) AS unread FROM v_evidence e JOIN v_msg m ON m.message_id = e.message_id LEFT JOIN sn ON sn.chat = m.chat GROUP BY insight_id)"""
@@ -134,11 +130,8 @@ def deadline_anchor(spark, sf):
     CASE WHEN bound_date IS NOT NULL THEN 0.9 WHEN o_orderkey % 9 <> 0 THEN 0.5 END::DOUBLE AS confidence FROM v_insight""")
 def deadline_fallback(spark, sf):
     """A guessed date counts, with half the confidence, where the rules gave none and the guess is a date."""
-    guess = F.when(F.col("o_orderkey") % 9 != 0, F.date_add(F.lit("2001-01-01").cast("date"), (F.col("o_orderkey") % 300).cast("int")).cast("string")).otherwise("soon").try_cast("date")
-    rows = view(spark, sf, "v_insight").withColumn("guess", guess)
-    rule = F.col("bound_date").isNotNull()
-    guessed = F.col("guess").isNotNull()
-    return rows.select("insight_id", F.coalesce("bound_date", "guess").alias("bound_date"), F.when(rule, "rule").when(guessed, "guess").alias("by"), F.when(rule, 0.9).when(guessed, 0.5).alias("confidence"))
+    guess = F.when(F.col("o_orderkey") % 9 != 0, F.date_add(F.lit("2001-01-01").cast("date"), (F.col("o_orderkey") % 300).cast("int")).cast("string")).otherwise("soon")
+    return insights.deadline_fallback(view(spark, sf, "v_insight").withColumn("guess", guess))
 
 
 # Requests.
@@ -170,8 +163,8 @@ def uncached_requests(spark, sf):
 @query("""SELECT l_orderkey AS subject, count(*) FILTER (l_returnflag = 'R' AND l_discount >= 0.05) > 0 AS todo, count(*) FILTER (l_returnflag = 'A' AND l_discount >= 0.05) > 0 AS announcement, max(l_tax) AS confidence FROM lineitem GROUP BY l_orderkey""")
 def signals(spark, sf):
     """Answers per subject and label, pivoted: a label holds if its probability reaches the threshold."""
-    hit = lambda flag: F.bool_or((F.col("l_returnflag") == flag) & (F.col("l_discount") >= 0.05))
-    return view(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("subject")).agg(hit("R").alias("todo"), hit("A").alias("announcement"), F.max("l_tax").alias("confidence"))
+    label = F.when(F.col("l_returnflag") == "R", "todo").when(F.col("l_returnflag") == "A", "announcement").otherwise("none")
+    return scores.label_signals(view(spark, sf, "lineitem").select(F.col("l_orderkey").alias("subject"), label.alias("label"), F.col("l_discount").alias("p"), F.col("l_tax").alias("sure")), {"todo": 0.05, "announcement": 0.05})
 
 
 @query("""WITH r AS (SELECT topic_id, insight_id, status, row_number() OVER (PARTITION BY topic_id ORDER BY CASE WHEN o_orderkey % 40 = 0 THEN 0 ELSE 1 END, status, insight_id) AS place FROM v_insight),
