@@ -4,7 +4,8 @@ Equal vectors collapse first. Pivots of a label split its vectors into cells, ev
 A vector v is copied to the cell of pivot p only if it may lie within the radius r of a vector at home there. The
 triangle inequality gives d(v, p) - d(v, home) <= 2 r for that; on the sphere the distance of v from the plane between
 the two pivots bounds it more tightly, and that bound is used. Cells are then joined independently, in tiles of bounded
-size, so a cell that holds a third of all vectors is many tasks. A tile gives sums per vector and the edges of a
+size, so a cell that holds a third of all vectors is many tasks; in a tile the distances from all pivots of the label leave
+out what can't be near. A tile gives sums per vector and the edges of a
 spanning forest, never its pairs.
 
 Each label has pivots of its own, two at least if it has more than PIVOT_ROWS vectors; how many pay is estimated from a
@@ -28,6 +29,7 @@ PIVOT_LABELS = 256
 PIVOT_ROWS = 32
 MAX_PIVOTS = 64
 TILE = 2048
+BAND = 128
 
 
 def _choose_pivots(sample: np.ndarray, rows: int, radius: float) -> np.ndarray:
@@ -62,6 +64,25 @@ def _cells(v: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray
     return home, near
 
 
+def _blocks_to_compare(a: np.ndarray, b: np.ndarray, pivots: np.ndarray | None, radius: float):
+    """Blocks (rows of a, rows of b) that hold all pairs within the radius.
+
+    Rows of a go in order of distance from the pivot that spreads b most, BAND at a time. By the triangle inequality, for every
+    pivot, a partner's distance from it is within the radius of the band's; other rows of b are left out.
+    """
+    if pivots is None:
+        yield np.arange(len(a)), np.arange(len(b))
+        return
+    far_a, far_b = (np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0)) for x in (a, b))
+    order = np.argsort(far_a[:, far_b.std(0).argmax()], kind="stable")
+    for lo in range(0, len(a), BAND):
+        rows = order[lo : lo + BAND]
+        low, high = far_a[rows].min(0) - radius - 1e-7, far_a[rows].max(0) + radius + 1e-7
+        others = np.flatnonzero(((far_b >= low) & (far_b <= high)).all(1))
+        if len(others):
+            yield rows, others
+
+
 def _unit(vectors) -> np.ndarray:
     v = np.array(vectors.tolist() if hasattr(vectors, "tolist") else vectors, dtype=np.float64)
     v = v / np.abs(v).max(1, keepdims=True)
@@ -142,15 +163,20 @@ def near_duplicate_embeddings(
             return none
         va, vb = _unit(a["_v"]), _unit(b["_v"])
         ra, rb, copies = a["rep"].to_numpy(), b["rep"].to_numpy(), b["copies"].to_numpy()
-        cos = va @ vb.T
-        linked = cos >= threshold
-        for i, j in zip(*(np.abs(cos - threshold) < 1e-12).nonzero()):
-            linked[i, j] = _exact_cosine(np.array(a["_v"].iloc[i]), np.array(b["_v"].iloc[j])) >= threshold
-        linked &= ra[:, None] != rb[None]
-        i, j = linked.nonzero()
+        i, j = [], []
+        for rows_, others in _blocks_to_compare(va, vb, pivots.get((pdf["_label"].iloc[0], int(pdf["dim"].iloc[0]))), radius):
+            cos = va[rows_] @ vb[others].T
+            linked = cos >= threshold
+            for x, y in zip(*(np.abs(cos - threshold) < 1e-12).nonzero()):
+                linked[x, y] = _exact_cosine(np.array(a["_v"].iloc[rows_[x]]), np.array(b["_v"].iloc[others[y]])) >= threshold
+            linked &= ra[rows_][:, None] != rb[others][None]
+            x, y = linked.nonzero()
+            i.append(rows_[x])
+            j.append(others[y])
+        i, j = (np.concatenate(x) if x else np.array([], np.int64) for x in (i, j))
         if not len(i):
             return none
-        n = linked @ copies
+        n = np.bincount(i, weights=copies[j], minlength=len(ra)).astype(np.int64)  # counts below 2 ** 53
         ids, where = np.unique(np.concatenate([ra, rb]), return_inverse=True)
         root = numpy_components(len(ids), where[: len(ra)][i], where[len(ra) :][j])
         forest = np.flatnonzero(root != np.arange(len(ids)))

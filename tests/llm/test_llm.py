@@ -240,6 +240,73 @@ def test_html_copies(spark, request, spread):
     assert [got[122 + i] for i in range(3)] == ["\n".join(["Menu A", told.format(4), "Foot"])] * 3
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_html_brute_force(spark, request, spread):
+    """Whole pages of a generator that knows its blocks, against plain loops: marks, nesting, runs, near copies, hosts over partitions."""
+    from murmuration.llm.html_extract import NEARLY_ALL, extract_text
+
+    if spread:
+        request.getfixturevalue("many_partitions")
+    rnd = random.Random(12)
+    forms = {
+        "t": ["<nav><ul><li>{}</li></ul></nav>", '<div class="sidebar box"><div><p>{}</p></div></div>', "<footer><div>{}</div></footer>", '<div role="navigation">{}</div>', '<section id="comments"><div><b>{}</b></div></section>'],
+        "n": ["<div>{}</div>", "<p>{}", "<section><div><span>{}</span></div></section>", "<table><tr><td>{}</td></tr></table>", '<div class="share-price">{}</div>'],
+        "a": ["<article><p>{}</p></article>", "<main><div>{}</div></main>"],
+    }
+    pages, told = [], {}
+    for host in ("a", "b", "c", "d"):
+        frame = [f"{host} template line {i} of this site" for i in range(6)]
+        for k in range(rnd.randint(8, 14)):
+            style = rnd.choice("nnnnat") if host != "d" else "n"
+            text = [f"{host} {k} line {i} " + "tells a story " * rnd.randint(1, 6) for i in range(rnd.randint(1, 5))]
+            body = [("n", f) for f in frame[:2] if rnd.random() < 0.9] + [("t", f) for f in frame[2:4] if rnd.random() < 0.8]
+            body += [("a" if style == "a" else "t" if style == "t" else "n", x) for x in text] + [("n" if style != "t" else "t", f) for f in frame[4:] if rnd.random() < 0.9]
+            if style == "t":
+                body = [("t", x) for _, x in body]
+            for copy in range(rnd.choice([1, 1, 1, 3])):
+                mine = body + ([("n", f"seen {copy}")] if copy and style == "n" and rnd.random() < 0.5 else [])
+                page = len(pages)
+                html = "<html><head><title>no</title></head><body>" + "\n ".join(rnd.choice(forms[m]).format(x.replace("story", "st&#111;ry")) for m, x in mine) + "<script>no()</script></body></html>"
+                pages.append((page, f"http://{host}.example/{k:02d}" + (f"?{copy}" if copy else ""), html))
+                told[page] = (host, f"/{k:02d}", pages[-1][1], [(m, " ".join(x.split())) for m, x in mine])
+
+    def alike(p, q):
+        a, b = ([(x, 0 if m == "t" else len(x)) for m, x in told[i][3]] for i in (p, q))
+        most = max(sum(n for _, n in a), sum(n for _, n in b))
+        if [x for x, _ in a] == [x for x, _ in b] or not most:
+            return [x for x, _ in a] == [x for x, _ in b]
+        have, common = collections.Counter(x for x, n in a if n), 0
+        for x, n in b:
+            if n and have[x]:
+                have[x] -= 1
+                common += n
+        return common >= NEARLY_ALL * most
+
+    open_hosts = {h for h, _, _, body in told.values() if "a" not in {m for m, _ in body} and "n" in {m for m, _ in body}}
+    want = {}
+    for host in "abcd":
+        order = sorted((p for p in told if told[p][0] == host), key=lambda p: (told[p][1], told[p][2], p))
+        runs = []
+        for p in order:
+            if runs and alike(runs[-1][-1], p):
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        for k, run in enumerate(runs):
+            near = [q for q in ([runs[k - 1][-1]] if k else []) + ([runs[k + 1][0]] if k + 1 < len(runs) else [])]
+            for p in run:
+                body = told[p][3]
+                marks = {m for m, _ in body}
+                if "a" in marks or "n" not in marks:
+                    want[p] = "\n".join(x for m, x in body if m == "a")
+                else:  # lines come once a page and in one order, so what two pages share is their longest common subsequence
+                    shared = {x for q in near if not alike(p, q) for _, x in told[q][3]}
+                    want[p] = "\n".join(x for m, x in body if m == "n" and x not in shared)
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    assert open_hosts == {"a", "b", "c", "d"} and got == want
+    assert sum(len(w) < len(" ".join(x for m, x in told[p][3] if m == "n")) for p, w in want.items()) > 20  # differencing decides
+
+
 def test_shared_lines_of_long_pages():
     from murmuration.llm.html_extract import shared_lines
 
