@@ -196,23 +196,40 @@ def _best_first(edges: DataFrame, blocked: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("part").applyInPandas(contract, f"node {kind}, root {kind}")
 
 
-def match_greedy(candidates: DataFrame) -> DataFrame:
+def match_greedy(candidates: DataFrame, at_once: int = 100_000) -> DataFrame:
     """One-to-one matches of (run, pred, gold, overlap, rank), best first: overlap, then rank, then pred, then gold.
 
     Under one strict order greedy choice equals taking, round by round, all pairs that are the best of both their sides. A
-    round shrinks every run; a chain of ever better neighbours takes a round a match.
+    run with at_once pairs at most is finished in one task, in order; larger ones shrink by rounds until they are that small.
     """
     left, out = written(candidates.select("run", "pred", "gold", "overlap", "rank"), "left"), None
     order = [F.desc("overlap"), F.col("rank"), F.col("pred"), F.col("gold")]
+    kinds = {c: left.schema[c].dataType.simpleString() for c in ("run", "pred", "gold", "overlap")}
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        preds, golds, keep = set(), set(), []
+        pdf = pdf.sort_values(["overlap", "rank", "pred", "gold"], ascending=[False, True, True, True])
+        for i, p, g in zip(pdf.index, pdf["pred"], pdf["gold"]):
+            if p not in preds and g not in golds:
+                preds.add(p)
+                golds.add(g)
+                keep.append(i)
+        return pdf.loc[keep, ["run", "pred", "gold", "overlap"]]
+
     while True:
-        best = left.withColumns({
+        sizes = left.groupBy("run").agg(F.count("*").alias("_n"))
+        small, large = (left.join(sizes.where(c), "run", "left_semi") for c in (F.col("_n") <= at_once, F.col("_n") > at_once))
+        done = written(small.groupBy("run").applyInPandas(finish, ", ".join(f"{c} {k}" for c, k in kinds.items())), "done")
+        out = done if out is None else out.union(done)
+        large, old = written(large, "large"), left
+        forget(old)
+        if not large.take(1):
+            forget(large)
+            return out
+        best = large.withColumns({
             "p": F.row_number().over(Window.partitionBy("run", "pred").orderBy(*order)), "g": F.row_number().over(Window.partitionBy("run", "gold").orderBy(*order)),
         }).where("p = 1 and g = 1").select("run", "pred", "gold", "overlap")
         best = written(best, "best")
-        out = best if out is None else out.union(best)
-        rest = left.join(best.select("run", "pred"), ["run", "pred"], "left_anti").join(best.select("run", "gold"), ["run", "gold"], "left_anti")
-        left, old = written(rest, "left"), left
-        forget(old)
-        if not left.take(1):
-            forget(left)
-            return out
+        out = out.union(best)
+        left = written(large.join(best.select("run", "pred"), ["run", "pred"], "left_anti").join(best.select("run", "gold"), ["run", "gold"], "left_anti"), "left")
+        forget(large)

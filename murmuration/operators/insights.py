@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,35 +70,46 @@ def order_breaks(rows: DataFrame, order: list[Column], place: str, *by: str) ->
     return rows.withColumn("_key", key).withColumn("_before", F.lag("_key").over(Window.partitionBy(*by).orderBy(place))).where("_before > _key").drop("_key", "_before")
 
 
-def best_assignment(weight: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of greatest total weight (rows <= columns), by shortest augmenting paths."""
-    cost = weight.max(initial=0) - weight.astype(float)
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j = i, 0
-        least, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
-        while True:
-            used[j] = True
-            row = match[j]
-            free = np.flatnonzero(~used[1:]) + 1
-            reduced = cost[row - 1, free - 1] - u[row] - v[free]
-            closer = reduced < least[free]
-            least[free[closer]], way[free[closer]] = reduced[closer], j
-            k = free[least[free].argmin()]
-            step = least[k]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j = k
-            if not match[j]:
-                break
-        while j:
-            match[j] = match[way[j]]
-            j = way[j]
-    out = np.zeros(n, int)
-    out[match[1:][match[1:] > 0] - 1] = np.flatnonzero(match[1:])
-    return out
+def best_assignment(cells: list[tuple]) -> dict:
+    """Partner of each left in a one-to-one matching of greatest total weight; cells: (left, right, weight > 0), others weigh 0.
+
+    One more pair at a time: of all ways to exchange partners along cells that end at a free right, the one that gains most,
+    until none gains. Gains of such ways never rise, so what no single way improves is best. A way is found by passing gains
+    along cells until none improves.
+    """
+    near: dict = {}
+    for left, right, weight in cells:
+        near.setdefault(left, []).append((right, weight))
+    mate: dict = {}  # right -> (left, weight)
+    while True:
+        gain: dict = {}  # of reaching a right, its own partner set free
+        came: dict = {}
+        free = set(near) - {left for left, _ in mate.values()}
+        queue = [(left, 0) for left in free]
+        while queue:
+            after = {}
+            for left, so_far in queue:
+                for right, weight in near[left]:
+                    if mate.get(right, (None,))[0] != left and so_far + weight > gain.get(right, 0):
+                        gain[right], came[right] = so_far + weight, (left, weight)
+                        if right in mate:
+                            partner, lost = mate[right]
+                            after[partner] = max(after.get(partner, -math.inf), gain[right] - lost)
+            queue = list(after.items())
+        ends = {r: g for r, g in gain.items() if r not in mate}
+        # A way may also end at a left that is given up, where the exchange still gains.
+        ends |= {r: g - mate[r][1] for r, g in gain.items() if r in mate and g > mate[r][1]}
+        if not ends:
+            return {left: right for right, (left, _) in mate.items()}
+        right = max(ends, key=lambda r: ends[r])
+        held = {left: r for r, (left, _) in mate.items()}
+        while right is not None:
+            left, weight = came[right]
+            right_of_left = held.get(left)
+            mate[right] = (left, weight)
+            if right_of_left is not None:
+                del mate[right_of_left]
+            right = right_of_left
 
 
 def one_to_one(rows: DataFrame, by: str = "chat", most: int = 512) -> DataFrame:
@@ -110,9 +122,8 @@ def one_to_one(rows: DataFrame, by: str = "chat", most: int = 512) -> DataFrame:
     small = cells.join(sides.where(F.col("most") <= most), by)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="p", columns="g", values="n", fill_value=0).to_numpy()
-        table = table if table.shape[0] <= table.shape[1] else table.T
-        matched = int(table[np.arange(len(table)), best_assignment(table)].sum())
+        weight = {(p, g): int(n) for p, g, n in zip(pdf["p"], pdf["g"], pdf["n"])}
+        matched = sum(weight[pair] for pair in best_assignment([(*k, n) for k, n in weight.items()]).items())
         return pd.DataFrame({by: pdf[by][:1], "matched": [matched], "total": pdf["total"][:1]})
 
     kind = rows.schema[by].dataType.simpleString()

@@ -48,6 +48,18 @@ def deadline_open(now_s: int) -> Column:
     return F.when(F.col("bound_sec").isNotNull(), timed).otherwise(F.col("bound_date") >= F.lit(now_s).cast("timestamp").cast("date"))
 
 
+def deadline_open_at(now_s: Column | int, offset_min: Column) -> Column:
+    """Whether a deadline is not over by the clock of its anchor: date and time of day are those of the offset (minutes east of UTC).
+
+    With a time of day it holds to that second; without one, while it is still that day or earlier there. Without a date: false.
+    """
+    now = F.lit(now_s) if isinstance(now_s, int) else now_s
+    shift = offset_min.cast("bigint") * 60
+    bound = F.unix_date("bound_date") * 86_400 + F.col("bound_sec") - shift
+    today = F.floor((now + shift) / 86_400)
+    return F.coalesce(F.when(F.col("bound_sec").isNotNull(), bound >= now).otherwise(F.unix_date("bound_date") >= today), F.lit(False))
+
+
 def deadline_status(now_s: int) -> Column:
     at = F.unix_seconds(F.col("bound_date").cast("timestamp")) + F.col("bound_sec")
     timed = F.when(F.col("relation") == "before", at <= now_s).otherwise(at < now_s)

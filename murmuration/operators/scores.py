@@ -76,3 +76,42 @@ def label_signals(answers: DataFrame, labels: dict[str, float]) -> DataFrame:
     """subject, a column a label (whether some answer for it reaches its threshold), confidence; answers: subject, label, p, sure."""
     hit = [F.bool_or((F.col("label") == name) & (F.col("p") >= least)).alias(name) for name, least in labels.items()]
     return answers.groupBy("subject").agg(*hit, F.max("sure").alias("confidence"))
+
+
+def run_stats_kept(runs: DataFrame, saved: DataFrame, messages: DataFrame, topics: DataFrame, insights: DataFrame, checkpoints: DataFrame, usage: DataFrame) -> DataFrame:
+    """run, exact, messages, topics_created, topics_updated, insights_created, elapsed_ms, calls, cost of runs.
+
+    A run whose counters were saved (run, messages, topics_created, topics_updated, insights_created, elapsed_ms) has these; any
+    other has what the surviving rows tell: messages by the run that analysed them, topics and insights by the run that created
+    them, completed verify checkpoints as updated topics, and the time from start to end or last sign of life, never below 0.
+    Usage always comes from its rows. runs: run, started_ms, ended_ms; messages, topics, insights: run; checkpoints: run, stage,
+    status; usage: run, calls, cost.
+    """
+    count = lambda rows, name: rows.groupBy("run").agg(F.count("*").alias(name))
+    out = runs.select("run", F.greatest(F.col("ended_ms") - F.col("started_ms"), F.lit(0)).alias("_elapsed"))
+    parts = {"messages": messages, "topics_created": topics, "topics_updated": checkpoints.where("stage = 'verify' AND status = 'complete'"), "insights_created": insights}
+    for name, rows in parts.items():
+        out = out.join(count(rows, f"_{name}"), "run", "left")
+    out = out.join(saved.withColumn("_saved", F.lit(True)), "run", "left")
+    out = out.join(usage.groupBy("run").agg(F.sum("calls").alias("calls"), F.sum("cost").alias("cost")), "run", "left")
+    exact = F.coalesce("_saved", F.lit(False))
+    told = [F.when(exact, F.col(n)).otherwise(F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in parts]
+    return out.select("run", exact.alias("exact"), *told, F.when(exact, F.col("elapsed_ms")).otherwise(F.col("_elapsed")).alias("elapsed_ms"), F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
+
+def scoped_counts(tables: dict[str, tuple[DataFrame, list[tuple[DataFrame, str]] | None]], chat: str = "chat") -> DataFrame:
+    """chat (null: all), name, n: rows of each table, and by chat where its rows belong to one.
+
+    tables: name -> (rows, parents); rows that have no chat of their own reach it through parents, joined one after the other by
+    their key; parents None: the table belongs to no chat. Parents are unique by key, so a row counts once.
+    """
+    out = None
+    for name, (rows, parents) in tables.items():
+        whole = rows.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("chat"), F.lit(name).alias("name"), "n")
+        out = whole if out is None else out.unionByName(whole)
+        if parents is None:
+            continue
+        for parent, key in parents:
+            rows = rows.join(parent.select(key, *[c for c in parent.columns if c != key and c not in rows.columns]), key)
+        out = out.unionByName(rows.groupBy(F.col(chat).cast("string").alias("chat")).agg(F.count("*").alias("n")).select("chat", F.lit(name).alias("name"), "n"))
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .operators import contracts, gold, identity, reconcile, sinks, topics, verify
+from .operators import contracts, gold, identity, rank, reconcile, scores, sinks, topics, verify
 from .plans.storage import fresh_path
 from .plans.views import view
 from .queries import _PAIRS, _ROWS, _rows
@@ -234,3 +234,37 @@ def calibration_export(spark, sf):
     path = fresh_path(spark, "report")
     sinks.write_report(sinks.calibration_report(rows), path)
     return sinks.read_report(spark, path)
+
+
+@query("""SELECT insight_id, off AS offset_min, CASE WHEN bound_sec IS NOT NULL THEN epoch(bound_date)::BIGINT + bound_sec - off * 60 >= 946684800 ELSE bound_date >= DATE '2000-01-01' + ((off * 60 < 0)::INT * -1) END AS open
+    FROM (SELECT *, (o_orderkey % 5 - 2) * 300 AS off FROM v_insight) WHERE bound_date IS NOT NULL""")
+def deadline_open_offsets(spark, sf):
+    """Deadlines by the clocks of their anchors, from ten hours west to ten hours east."""
+    rows = view(spark, sf, "v_insight").where("bound_date IS NOT NULL").withColumn("offset_min", (F.col("o_orderkey") % 5 - 2) * 300)
+    return rows.select("insight_id", "offset_min", rank.deadline_open_at(946_684_800, F.col("offset_min")).alias("open"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS run, min(epoch_us(o_orderdate) // 1000) AS started_ms, max(epoch_us(o_orderdate) // 1000) - 1000 AS ended_ms FROM orders GROUP BY 1),
+    l AS (SELECT o_custkey AS run, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS tops, count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'N') AS ver, count(*) FILTER (l_linenumber = 1) AS ins, sum(l_linenumber) AS calls FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT r.run, r.run % 3 = 0 AS exact, CASE WHEN r.run % 3 = 0 THEN 7 ELSE coalesce(lines, 0) END AS messages, CASE WHEN r.run % 3 = 0 THEN 1 ELSE coalesce(tops, 0) END AS topics_created, CASE WHEN r.run % 3 = 0 THEN 2 ELSE coalesce(ver, 0) END AS topics_updated,
+      CASE WHEN r.run % 3 = 0 THEN 3 ELSE coalesce(ins, 0) END AS insights_created, CASE WHEN r.run % 3 = 0 THEN 99 ELSE greatest(ended_ms - started_ms, 0) END AS elapsed_ms, coalesce(calls, 0)::BIGINT AS calls FROM r LEFT JOIN l USING (run)""")
+def run_stats_kept(spark, sf):
+    """Every third run has saved counters; the others are told from surviving rows."""
+    orders = view(spark, sf, "orders").withColumn("at", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
+    runs = orders.groupBy(F.col("o_custkey").alias("run")).agg(F.min("at").alias("started_ms"), (F.max("at") - 1000).alias("ended_ms"))
+    saved = runs.where("run % 3 = 0").selectExpr("run", "7L AS messages", "1L AS topics_created", "2L AS topics_updated", "3L AS insights_created", "99L AS elapsed_ms")
+    lines = orders.join(view(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "run")
+    checks = lines.selectExpr("run", "IF(l_linestatus = 'O', 'verify', 'extract') AS stage", "IF(l_returnflag = 'N', 'complete', 'failed') AS status")
+    usage = lines.selectExpr("run", "CAST(l_linenumber AS BIGINT) AS calls", "l_extendedprice AS cost")
+    return scores.run_stats_kept(runs, saved, lines.select("run"), lines.where("l_returnflag = 'R'").select("run"), lines.where("l_linenumber = 1").select("run"), checks, usage).drop("cost")
+
+
+@query("""WITH m AS (SELECT chat::VARCHAR AS chat, message_id, topic FROM v_msg), e AS (SELECT m.chat FROM v_evidence v JOIN m USING (message_id)), r AS (SELECT chat, 'messages' AS name FROM m UNION ALL SELECT chat, 'evidence' FROM e
+      UNION ALL SELECT m.chat, 'lines' FROM v_evidence v JOIN m USING (message_id) JOIN orders ON 'i' || o_orderkey = v.insight_id)
+    SELECT chat, name, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT NULL, 'messages', count(*) FROM v_msg UNION ALL SELECT NULL, 'evidence', count(*) FROM v_evidence UNION ALL SELECT NULL, 'lines', count(*) FROM v_evidence UNION ALL SELECT NULL, 'parts', count(*) FROM part""")
+def scoped_counts(spark, sf):
+    """Rows of tables in all and by chat: messages have one, evidence through its message, lines through their order too, parts none."""
+    msg, evidence = _msg(spark, sf), view(spark, sf, "v_evidence")
+    by_order = view(spark, sf, "orders").select(F.concat(F.lit("i"), "o_orderkey").alias("insight_id"))
+    parent = msg.select("message_id", "chat")
+    return scores.scoped_counts({"messages": (msg, []), "evidence": (evidence, [(parent, "message_id")]), "lines": (evidence, [(parent, "message_id"), (by_order, "insight_id")]), "parts": (view(spark, sf, "part"), None)})
