@@ -133,18 +133,16 @@ def reply_edges_in_window(msg: DataFrame) -> DataFrame:
     and per sender give the counts between two places without touching what lies between.
     """
     shown = F.when(F.col("recalled"), 0).otherwise(1)
-    by_sender = Window.partitionBy("chat", "sender").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = running_sums(msg.select("chat", "pos", "sender", "recalled", "reply_pos"), ["chat"], "pos", ["pos"], {"seen": shown})
-    rows = rows.withColumn("own", F.sum(shown).over(by_sender))
+    rows = running_sums(rows, ["chat", "sender"], "pos", ["pos"], {"own": shown})
     visible = rows.where("not recalled")
     target = visible.select("chat", F.col("pos").alias("target"), F.col("sender").alias("to"), F.col("seen").alias("t_seen"), F.col("own").alias("t_own"))
     edges = visible.where("reply_pos < pos").withColumnRenamed("reply_pos", "target").join(target, ["chat", "target"])
-    # How many of a sender's messages lie up to a place that is another's: the last of them at or before it.
+    # How many of a sender's messages lie up to a place that is another's: those of the sender's spans before, and of the span up to it.
     asked = edges.select("chat", F.col("sender").alias("who"), F.col("target").alias("at")).union(edges.select("chat", F.col("to").alias("who"), (F.col("pos") - 1).alias("at"))).distinct()
-    known = visible.select("chat", F.col("sender").alias("who"), F.col("pos").alias("at"), "own", F.lit(False).alias("ask"))
-    both = known.unionByName(asked.withColumns({"own": F.lit(None).cast("bigint"), "ask": F.lit(True)}))
-    upto = Window.partitionBy("chat", "who").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    counts = both.withColumn("n", F.coalesce(F.last("own", ignorenulls=True).over(upto), F.lit(0))).where("ask").select("chat", "who", "at", "n")
+    known = visible.select("chat", F.col("sender").alias("who"), F.col("pos").alias("at"), F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("ask"))
+    both = known.unionByName(asked.withColumns({"n": F.lit(0).cast("bigint"), "ask": F.lit(True)}))
+    counts = running_sums(both, ["chat", "who"], "at", ["at", "ask"], {"n": F.col("n")}).where("ask").select("chat", "who", "at", "n")
     a = counts.select("chat", F.col("who").alias("sender"), F.col("at").alias("target"), F.col("n").alias("n_source"))
     b = counts.select("chat", F.col("who").alias("to"), (F.col("at") + 1).alias("pos"), F.col("n").alias("n_target"))
     edges = edges.join(a, ["chat", "sender", "target"]).join(b, ["chat", "to", "pos"])
@@ -196,9 +194,12 @@ def asof_activity(starts: DataFrame, msg: DataFrame, ttl_ms: int) -> DataFrame:
     none = F.lit(None).cast("bigint")
     both = m.select("chat", "topic", F.col("ms").alias("t"), F.col("ordinal").alias("o"), F.lit(1).alias("later"), F.struct("ms", "ordinal").alias("c"))
     both = both.union(asked.select("chat", "topic", F.col("at_ms"), F.col("at_ordinal"), F.lit(0), F.when(F.lit(False), F.struct(none.alias("ms"), none.alias("ordinal")))))
-    # A message at a start's own place is not before it, so the question comes first there.
-    upto = Window.partitionBy("chat", "topic").orderBy("t", "o", "later").rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("last", F.last("c", ignorenulls=True).over(upto)).where("later = 0")
+    # Spans of the ttl: what is within it of a start is in the start's span or the one before, of which the last is enough. A
+    # message at a start's own place is not before it, so the question comes first there.
+    both = both.withColumn("b", bucket(F.col("t")))
+    ends = both.groupBy("chat", "topic", "b").agg(F.max("c").alias("end")).where("end IS NOT NULL").withColumn("b", F.col("b") + 1)
+    upto = Window.partitionBy("chat", "topic", "b").orderBy("t", "o", "later").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("near", F.last("c", ignorenulls=True).over(upto)).where("later = 0").join(ends, ["chat", "topic", "b"], "left").withColumn("last", F.coalesce("near", "end"))
     found = seen.where(F.col("last").isNotNull() & (F.col("t") - F.col("last.ms") <= ttl_ms))
     return found.select("chat", F.col("t").alias("at_ms"), F.col("o").alias("at_ordinal"), "topic", F.col("last.ms").alias("ms"), F.col("last.ordinal").alias("ordinal"))
 

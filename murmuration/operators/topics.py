@@ -97,13 +97,16 @@ def merge_pairs(msg: DataFrame, *more: str) -> DataFrame:
     return e.select("chat", F.least("topic", "to_topic").alias("a"), F.greatest("topic", "to_topic").alias("b"), "message_id", *more)
 
 
-def merge_candidates(msg: DataFrame, least: int = 2) -> DataFrame:
-    """chat, a, b, support, and up to three of the replies, for pairs with enough support."""
-    e = merge_pairs(msg)
-    place = F.row_number().over(Window.partitionBy("chat", "a", "b").orderBy("message_id"))
-    e = e.withColumn("place", place)
-    each = e.groupBy("chat", "a", "b").agg(F.count("*").alias("support"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.col("message_id")))), ",").alias("shown"))
-    return each.where(F.col("support") >= least)
+def merge_candidates(msg: DataFrame, least: int = 2, since_ms: int | None = None) -> DataFrame:
+    """chat, a, b, support, and up to three of the replies, for pairs with enough support.
+
+    With since_ms, only pairs with a reply from then on, and such replies are shown first.
+    """
+    e = merge_pairs(msg, "ms").withColumn("old", F.lit(False) if since_ms is None else F.col("ms") < since_ms)
+    e = e.withColumn("place", F.row_number().over(Window.partitionBy("chat", "a", "b").orderBy("old", "message_id")))
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "message_id")))), lambda x: x["message_id"])
+    each = e.groupBy("chat", "a", "b").agg(F.count("*").alias("support"), F.array_join(shown, ",").alias("shown"), F.bool_or(~F.col("old")).alias("in_scope"))
+    return each.where((F.col("support") >= least) & F.col("in_scope")).drop("in_scope")
 
 
 def merge_supports(msg: DataFrame, since_ms: int | None = None) -> DataFrame:

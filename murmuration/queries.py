@@ -193,6 +193,13 @@ def merge_candidates(spark, sf):
     return topics.merge_candidates(_msg(spark, sf))
 
 
+@query(f"""WITH {_PAIRS}, q AS (SELECT p.*, ms < 1705500000000 AS old FROM p JOIN v_msg USING (chat, message_id)), k AS (SELECT *, row_number() OVER (PARTITION BY chat, a, b ORDER BY old, message_id) AS k FROM q)
+    SELECT chat, a, b, count(*) AS support, string_agg(message_id, ',' ORDER BY k) FILTER (k <= 3) AS shown FROM k GROUP BY chat, a, b HAVING count(*) >= 2 AND bool_or(NOT old)""")
+def merge_candidates_scoped(spark, sf):
+    """Pairs with a reply in the second half of January 2024."""
+    return topics.merge_candidates(_msg(spark, sf), since_ms=1_705_500_000_000)
+
+
 @query("SELECT DISTINCT chat, topic FROM v_msg EXCEPT SELECT chat, topic FROM v_msg WHERE state IN ('pending', 'failed')")
 def settled_topics(spark, sf):
     return topics.settled_topics(_msg(spark, sf))
