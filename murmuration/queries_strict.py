@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .operators import contracts, gold, identity, rank, reconcile, scores, sinks, topics, verify
+from .operators import contracts, gold, identity, rank, reconcile, scores, sinks, synthesis, topics, verify
 from .plans.storage import fresh_path
 from .plans.views import view
 from .queries import _PAIRS, _ROWS, _rows
@@ -268,3 +268,40 @@ def scoped_counts(spark, sf):
     by_order = view(spark, sf, "orders").select(F.concat(F.lit("i"), "o_orderkey").alias("insight_id"))
     parent = msg.select("message_id", "chat")
     return scores.scoped_counts({"messages": (msg, []), "evidence": (evidence, [(parent, "message_id")]), "lines": (evidence, [(parent, "message_id"), (by_order, "insight_id")]), "parts": (view(spark, sf, "part"), None)})
+
+
+_MADE = """ids AS (SELECT *, 'i_' || left(sha256(concat_ws('|', chat::VARCHAR, topic, 'run1', 'mention:' || message_id)), 16) AS mid, 'i_' || left(sha256(concat_ws('|', chat::VARCHAR, topic, 'run1', 'summary')), 16) AS sid FROM v_msg),
+    long AS (SELECT message_id, seen, len(regexp_replace(left(seen, 60), '\\s', '', 'g')) AS said FROM sn)"""
+
+
+@query(f"""WITH {_SEEN}, {_MADE} SELECT mid AS insight_id, chat, topic, 'mention_me' AS kind, '有人在群聊中提及你' AS title, left(seen, 200) AS summary, CASE WHEN ordinal % 101 >= 50 THEN 'P0' ELSE 'P1' END AS priority, 'me' AS assignee, 1.0::DOUBLE AS confidence,
+    'open' AS lifecycle, 'run1' AS created_in_run, CASE WHEN recalled OR said < 3 THEN 'rejected' ELSE 'verified' END AS status, message_id || ':' || left(seen, 60) AS evidence
+    FROM ids JOIN long USING (message_id) WHERE mention IS NOT NULL AND ordinal % 7 <> 0""")
+def mention_insights_whole(spark, sf):
+    """Mentions that no evidence covers (every seventh is covered), as whole insights."""
+    msg = _msg(spark, sf)
+    new = msg.select("chat", "topic", "message_id", F.col("mention").isNotNull().alias("mentions_me"), (F.col("ordinal") % 101 / 100).alias("p_action"))
+    made = synthesis.mention_insights(new, _seen(spark, sf), msg.where("ordinal % 7 = 0"), "run1")
+    return made.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["message_id"], e["quote"])), "|"))
+
+
+@query(f"""WITH {_SEEN}, {_MADE}, o AS (SELECT chat, topic, min(ordinal) AS n, any_value(sid) AS sid FROM ids GROUP BY chat, topic), k AS (SELECT i.*, row_number() OVER (PARTITION BY chat, topic ORDER BY ms, message_id) AS k FROM ids i WHERE ordinal % 3 > 0),
+    e AS (SELECT chat, topic, string_agg(message_id || ':' || left(seen, 60), '|' ORDER BY k) AS evidence, count(*) AS n_all, count(*) FILTER (NOT recalled AND said >= 3) AS fine FROM k JOIN long USING (message_id) WHERE k <= 2 GROUP BY chat, topic)
+    SELECT CASE WHEN n % 5 = 0 THEN 'old' || n ELSE sid END AS insight_id, chat, topic, 'topic_summary' AS kind, 'about ' || topic AS title, 'all of ' || topic AS summary, CASE WHEN n % 10 >= 5 THEN 'P3' ELSE 'P2' END AS priority, 'unknown' AS assignee, NULL::DOUBLE AS confidence,
+      'open' AS lifecycle, CASE WHEN n % 5 = 0 THEN 'run0' ELSE 'run1' END AS created_in_run, CASE WHEN coalesce(n_all, 0) > 0 AND fine = n_all THEN 'verified' WHEN fine > 0 THEN 'unverified' ELSE 'rejected' END AS status, coalesce(evidence, '') AS evidence
+    FROM o LEFT JOIN e USING (chat, topic) WHERE n % 4 > 0""")
+def summary_insights_whole(spark, sf):
+    """Summaries of topics with their first new messages; a topic that has one keeps its id, a blank one makes none."""
+    msg = _msg(spark, sf)
+    each = msg.groupBy("chat", "topic").agg(F.min("ordinal").alias("n"))
+    outputs = each.select("chat", "topic", F.concat(F.lit("about "), "topic").alias("title"), F.when(F.col("n") % 4 > 0, F.concat(F.lit("all of "), "topic")).otherwise(" ").alias("summary"), (F.col("n") % 10 / 10).alias("p_chitchat"))
+    previous = each.where("n % 5 = 0").select("chat", "topic", F.concat(F.lit("old"), "n").alias("insight_id"), F.lit("run0").alias("created_in_run"))
+    made = synthesis.summary_insights(outputs, msg.where("ordinal % 3 > 0").select("chat", "topic", "message_id", "ms"), _seen(spark, sf), previous, "run1")
+    return made.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["message_id"], e["quote"])), "|"))
+
+
+@query("SELECT DISTINCT s.insight_id, CAST(s.topic_id AS VARCHAR) AS topic, CAST(s.topic_id + 1 AS VARCHAR) AS other FROM v_insight s WHERE o_orderkey % 13 = 0")
+def upsert_conflicts(spark, sf):
+    """Proposals that would move a stored insight to another topic."""
+    stored = view(spark, sf, "v_insight").select("insight_id", F.col("topic_id").cast("string").alias("topic"), F.when(F.col("o_orderkey") % 13 == 0, F.col("topic_id") + 1).otherwise(F.col("topic_id")).cast("string").alias("new"))
+    return synthesis.topic_conflicts(stored.select("insight_id", "topic"), stored.select("insight_id", F.col("new").alias("topic")))
