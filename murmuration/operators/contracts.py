@@ -67,6 +67,72 @@ def repeated_answers(answers: DataFrame, key: list[str], payload: str) -> DataFr
     return each.where("copies > 1").select(*key, "copies", F.when(F.col("kinds") == 1, "duplicate").otherwise("conflict").alias("status"))
 
 
+def normalized(probabilities: Column) -> Column:
+    """A map of options to weights as a distribution; null if one is no probability or all are 0."""
+    values = F.map_values(probabilities)
+    fine = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= 1))
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return F.when(fine & (total > 0), F.transform_values(probabilities, lambda k, v: v / total))
+
+
+def read_answers(answers: DataFrame) -> DataFrame:
+    """answers (key, qtype, options, weights) with probabilities, choice, score, confidence and status as a model's raw answer is read.
+
+    Weights are normalised first. A choice is the most probable option, of equal ones the smallest; a score (options are levels
+    from 0) is the mean level. status: ok, options (keys differ from the options), or probability (no distribution).
+    """
+    p = normalized(F.col("weights"))
+    rows = answers.withColumn("probabilities", p)
+    entries = F.transform(F.map_entries("probabilities"), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("key")))
+    mean = F.aggregate(F.map_entries("probabilities"), F.lit(0.0), lambda a, e: a + e["key"].try_cast("double") * e["value"])
+    status = F.when(F.array_sort(F.map_keys("weights")) != F.array_sort("options"), "options").when(F.col("probabilities").isNull(), "probability").otherwise("ok")
+    rows = rows.withColumn("status", status)
+    ok = F.col("status") == "ok"
+    return rows.select(
+        *answers.columns, F.when(ok, F.col("probabilities")).alias("probabilities"), F.when(ok & (F.col("qtype") == "choice"), F.array_min(entries)["key"]).alias("choice"),
+        F.when(ok & (F.col("qtype") == "score"), mean).alias("score"), F.when(ok, confidence(F.col("probabilities"))).alias("confidence"), "status")
+
+
+def replayed_answers(answers: DataFrame, key: tuple = ("model", "request_key", "question_id")) -> DataFrame:
+    """key, copies, status of answers that come more than once: duplicate, replay or conflict.
+
+    answers: key, subject_kind, answer, confidence, qtype, candidates, subject. Equal in everything: a duplicate. Questions of the
+    controller may be asked again about another state: copies that differ in their subject only are replays. Else a conflict.
+    """
+    same = F.struct("answer", "confidence", "qtype", "candidates")
+    each = answers.groupBy(*key).agg(
+        F.count("*").alias("copies"), F.size(F.collect_set(F.to_json(F.struct(same.alias("a"), "subject_kind", "subject")))).alias("whole"), F.size(F.collect_set(F.to_json(same))).alias("part"), F.bool_and(F.col("subject_kind") == "controller").alias("controller"))
+    status = F.when(F.col("whole") == 1, "duplicate").when(F.col("controller") & (F.col("part") == 1), "replay").otherwise("conflict")
+    return each.where("copies > 1").select(*key, "copies", status.alias("status"))
+
+
+def proposal_problems(items: DataFrame, existing: DataFrame, evidence: DataFrame, known: DataFrame, *by: str) -> DataFrame:
+    """by, item, rule for each rule that proposed items break against what the request showed.
+
+    items: by, item, op (new or update), existing_ref, kind, deadline_raw, and the columns of proposal_rules() but for update_of
+    and update_kind, which come from existing (by, ref, kind). evidence: by, item, ref; known: by, ref. An update names one open
+    item of its kind, which no other update of the same request names; a new item names none; evidence names shown messages.
+    """
+    old = existing.select(*by, F.col("ref").alias("existing_ref"), F.col("kind").alias("update_kind"))
+    rows = items.join(old, [*by, "existing_ref"], "left").withColumn("update_of", F.col("existing_ref"))
+    times = items.where("op = 'update' AND existing_ref IS NOT NULL").groupBy(*by, "existing_ref").agg(F.count("*").alias("_times"))
+    rows = rows.join(times, [*by, "existing_ref"], "left")
+    shown = evidence.join(known.select(*by, "ref").withColumn("_shown", F.lit(True)), [*by, "ref"], "left").groupBy(*by, "item").agg(F.bool_and(F.coalesce("_shown", F.lit(False))).alias("_all_shown"))
+    rows = rows.join(shown, [*by, "item"], "left")
+    update = F.col("op") == "update"
+    rules = {
+        **{k: v for k, v in proposal_rules().items() if k != "updates another kind"},
+        "op": F.col("op").isin("new", "update"),
+        "update of no open item": ~update | F.col("update_kind").isNotNull(),
+        "updates another kind": ~update | F.col("update_kind").isNull() | (F.col("update_kind") == F.col("kind")),
+        "item is updated twice": ~update | (F.coalesce("_times", F.lit(1)) == 1),
+        "new item names another": (F.col("op") != "new") | F.col("existing_ref").isNull(),
+        "empty deadline": F.col("deadline_raw").isNull() | (F.trim("deadline_raw") != ""),
+        "unknown evidence": F.coalesce("_all_shown", F.lit(True)),
+    }
+    return broken_rules(rows, rules, *by, "item")
+
+
 def relation_shape(kind: Column, target: Column, completeness: Column) -> Column:
     """Whether a relation has the ends and the completeness that its kind asks for."""
     return (

@@ -305,3 +305,38 @@ def upsert_conflicts(spark, sf):
     """Proposals that would move a stored insight to another topic."""
     stored = view(spark, sf, "v_insight").select("insight_id", F.col("topic_id").cast("string").alias("topic"), F.when(F.col("o_orderkey") % 13 == 0, F.col("topic_id") + 1).otherwise(F.col("topic_id")).cast("string").alias("new"))
     return synthesis.topic_conflicts(stored.select("insight_id", "topic"), stored.select("insight_id", F.col("new").alias("topic")))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE n_chars % 101 / 100.0 END::DOUBLE AS a, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id % 50 / 100.0 END::DOUBLE AS b, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 9 = 0 THEN -1 ELSE (doc_id % 7 + 1) / 10.0 END::DOUBLE AS c FROM documents),
+    s AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'options' WHEN c < 0 OR a + b + c = 0 THEN 'probability' ELSE 'ok' END AS status, (a + b + c)::DOUBLE AS t, greatest(a, b, c) AS m FROM d)
+    SELECT doc_id AS key, CASE WHEN status = 'ok' AND doc_id % 2 = 0 THEN CASE WHEN a = m THEN '0' WHEN b = m THEN '1' ELSE '2' END END AS choice, CASE WHEN status = 'ok' AND doc_id % 2 = 1 THEN floor(((b / t) + 2 * (c / t)) * 100000 + 0.5) END AS score,
+      CASE WHEN status = 'ok' THEN floor(greatest((3 * (m / t) - 1) / 2, 0) * 100000 + 0.5) END AS confidence, status FROM s""")
+def read_answers(spark, sf):
+    """Raw answers with weights that don't sum to one, some of them none, some on other options."""
+    rows = view(spark, sf, "documents").selectExpr("doc_id AS key", "IF(doc_id % 2 = 0, 'choice', 'score') AS qtype", "IF(doc_id % 13 = 0, array('0', '1'), array('0', '1', '2')) AS options",
+        "transform_values(map('0', n_chars % 101 / 100, '1', doc_id % 50 / 100, '2', IF(doc_id % 9 = 0, -1, (doc_id % 7 + 1) / 10)), (k, v) -> CAST(IF(doc_id % 11 = 0, 0, v) AS DOUBLE)) AS weights")
+    parts = lambda c: F.floor(F.col(c) * 100_000 + 0.5).cast("double").alias(c)  # noqa: E731  hundred-thousandths
+    return contracts.read_answers(rows).select("key", "choice", parts("score"), parts("confidence"), "status")
+
+
+@query("""SELECT l_orderkey AS request_key, count(*) AS copies, CASE WHEN l_orderkey % 4 = 0 THEN 'duplicate' WHEN l_orderkey % 4 = 1 THEN 'replay' ELSE 'conflict' END AS status FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""")
+def replayed_answers(spark, sf):
+    """Answers to a request a line: equal ones, the controller's about other states, others about other subjects, and other answers."""
+    li = view(spark, sf, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = li.selectExpr("'m' AS model", "l_orderkey AS request_key", "'q' AS question_id", "IF(l_orderkey % 4 IN (1, 3), 'controller', 'message') AS subject_kind", "IF(l_orderkey % 4 = 3, concat('a', k), 'yes') AS answer", "0.5D AS confidence", "'choice' AS qtype", "'T0,T1' AS candidates", "IF(l_orderkey % 4 IN (1, 2), concat('s', k), 's') AS subject")
+    return contracts.replayed_answers(rows).select("request_key", "copies", "status")
+
+
+@query("""WITH i AS (SELECT o_custkey AS req, o_orderkey AS item, o_orderkey % 12 AS k FROM orders), u AS (SELECT req, k, count(*) AS n FROM i WHERE k IN (3, 5) GROUP BY req, k)
+    SELECT req, item, rule FROM i JOIN (VALUES (1, 'kind'), (1, 'updates another kind'), (2, 'title length'), (3, 'update of no open item'), (4, 'updates another kind'), (6, 'new item names another'), (7, 'empty deadline'), (8, 'unknown evidence'), (9, 'op')) r(k, rule) USING (k)
+    UNION ALL SELECT req, item, 'item is updated twice' FROM i JOIN u USING (req, k) WHERE n > 1""")
+def proposal_problems(spark, sf):
+    """Proposals a customer against two open items and the messages that were shown."""
+    rows = view(spark, sf, "orders").selectExpr("o_custkey AS req", "o_orderkey AS item", "o_orderkey % 12 AS k")
+    items = rows.selectExpr("req", "item", "CASE WHEN k IN (1, 3, 4, 5) THEN 'update' WHEN k = 9 THEN 'drop' ELSE 'new' END AS op", "CASE k WHEN 1 THEN concat('b', item) WHEN 3 THEN 'gone' WHEN 4 THEN concat('a', item) WHEN 5 THEN 'same' WHEN 6 THEN concat('a', item) END AS existing_ref",
+        "IF(k = 1, 'praise', 'todo') AS kind", "'me' AS assignee", "IF(k = 2, repeat('x', 41), 'do it') AS title", "'' AS summary", "IF(k = 7, ' ', NULL) AS deadline_raw")
+    each = rows.select("req", F.explode(F.array(F.concat(F.lit("a"), "item"), F.concat(F.lit("b"), "item"))).alias("ref"))
+    existing = each.withColumn("kind", F.when(F.col("ref").startswith("a"), "decision").otherwise("todo")).union(rows.select("req", F.lit("same"), F.lit("todo")).distinct())
+    evidence = rows.selectExpr("req", "item", "IF(k = 8, 'n99', 'n1') AS ref").union(rows.selectExpr("req", "item", "'n2'"))
+    known = rows.select("req").distinct().select("req", F.explode(F.array(F.lit("n1"), F.lit("n2"))).alias("ref"))
+    return contracts.proposal_problems(items, existing, evidence, known, "req")
