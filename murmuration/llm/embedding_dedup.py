@@ -101,7 +101,8 @@ def near_duplicate_embeddings(
     Returns a row per row of df: id_col, n_links (other vectors linked directly; equal vectors count each),
     component_id (smallest id that links reach, itself included) and kept (it is its own component). A vector that is
     null, empty, zero or holds null or non-finite components, or whose label is null, links with nothing. Vectors of
-    different lengths never link. Rows with one id count as vectors of their own. Other columns play no part.
+    different lengths never link. Rows with one id count as vectors of their own. A vector that only rows with a null id have
+    links with its copies alone. An empty table gives an empty result. Other columns play no part.
     """
     radius = math.sqrt(2 - 2 * threshold)
     x = F.col("_v")
@@ -145,7 +146,7 @@ def near_duplicate_embeddings(
 
     label = reps.schema["_label"].dataType.simpleString()
     key_type = reps.schema["rep"].dataType.simpleString()
-    placed = reps.mapInPandas(cells, f"_label {label}, dim int, cell int, home boolean, rep {key_type}, copies bigint, _v array<double>")
+    placed = reps.where("rep IS NOT NULL").mapInPandas(cells, f"_label {label}, dim int, cell int, home boolean, rep {key_type}, copies bigint, _v array<double>")
     key = ["_label", "dim", "cell"]
     shape = placed.groupBy(key).agg(
         F.greatest(F.lit(1), F.ceil(F.sum(F.col("home").cast("int")) / TILE)).cast("int").alias("h"), F.ceil(F.count("*") / TILE).cast("int").alias("m")

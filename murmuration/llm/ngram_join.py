@@ -316,7 +316,9 @@ def near_duplicate_documents(
     Returns a row per row of df: id_col, n_shingles, component_id (smallest id that links reach, itself included).
     Words are runs of characters other than space and U+0009..U+000D, with A-Z lowered. A text of fewer than n words is
     one shingle; one that is null or has no words has none and links with nothing. Texts are taken whole. Ids must be
-    distinct (rows that repeat an id are one document in links, each with its row). Other columns play no part.
+    distinct (rows that repeat an id are one document in links, each with its row). A row with a null id that is an exact copy
+    of another goes by it; a near copy with a null id links with nothing. An empty table gives an empty result. Other columns
+    play no part.
     """
     docs = bounded_batches(df.select(id_col, text_col))
     id_type = docs.schema[0].dataType.simpleString()

@@ -746,3 +746,18 @@ def test_pipeline(spark, sf):
         out = stage(spark, out, sf)
     want = sorted((r.doc_id, sp.encode(r.text)) for r in out.collect())
     assert sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, sf).collect()) == want and want
+
+
+def test_null_ids_and_empty_tables_of_joins(spark):
+    from murmuration.llm.embedding_dedup import near_duplicate_embeddings
+    from murmuration.llm.ngram_join import near_duplicate_documents
+
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, base), (None, base), (2, base.replace("w30 ", "x ")), (3, "other words of no kin at all"), (None, "alone with no id in this table here")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicate_documents(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (None, 1), (None, None)], key=str)
+    assert near_duplicate_documents(docs.limit(0)).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (None, [0.0, 1.0], 0), (None, [1.0, 0.02], 0), (None, [1.0, 0.02], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_embeddings(vectors).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (None, 2, 1), (2, 2, 1), (None, 0, None), (None, 1, None), (None, 1, None)], key=str)
+    assert near_duplicate_embeddings(vectors.limit(0)).count() == 0
