@@ -128,3 +128,24 @@ def message_identity(spark, sf):
     chr(10) || '  > A: ' || CASE WHEN event_id % 24 = 6 THEN '' ELSE 'one' END || chr(10) || '  > B: [合并转发:聊天记录]' || chr(10) || '    > C: [合并转发:deep]' END END AS rendered FROM n WHERE sender IS NOT NULL""")
 def render_view(spark, sf):
     return _norm(spark, sf).select("message_id", exports.render(F.col("text"), F.col("system"), F.col("recalled"), F.col("forward")).alias("rendered"))
+
+
+def _damaged(spark, sf):
+    """Raw messages, of which some text elements have lost their text."""
+    m = F.col("m")
+    lost = F.transform(m["content"]["elements"], lambda e: F.when((e["type"] == "text") & (m["id"].try_cast("bigint") % 29 == 0), e.withField("data", F.lit("{}"))).otherwise(e))
+    return _raw(spark, sf).withColumn("m", m.withField("content", m["content"].withField("elements", lost)))
+
+
+@query(f"""WITH {_X}, p AS (SELECT chat_id, CASE WHEN k = 7 THEN 'warning' ELSE 'error' END AS level, CASE WHEN k = 7 THEN 'no elements, raw text is used' ELSE 'text element without text' END AS problem
+      FROM x WHERE k = 7 OR k IN (0, 1, 3, 5) AND event_id % 29 = 0 AND event_id % 11 <> 0)
+    SELECT chat_id, level, problem, count(*) AS n FROM p GROUP BY ALL""")
+def export_problems(spark, sf):
+    return exports.content_problems(_damaged(spark, sf)).groupBy("chat_id", "level", "problem").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_X}, b AS (SELECT DISTINCT chat_id, ms // 864000000 AS part FROM x WHERE k IN (0, 1, 3, 5) AND event_id % 29 = 0 AND event_id % 11 <> 0)
+    SELECT x.chat_id, count(*) AS messages FROM x LEFT JOIN b ON b.chat_id = x.chat_id AND b.part = x.ms // 864000000 WHERE b.chat_id IS NULL GROUP BY x.chat_id""")
+def export_strict(spark, sf):
+    """Messages of files without an error."""
+    return exports.strict(_damaged(spark, sf)).groupBy("chat_id").agg(F.count("*").alias("messages"))

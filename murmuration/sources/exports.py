@@ -81,6 +81,25 @@ def flatten_text(content: Column) -> Column:
     return F.when(F.coalesce(F.size(elements), F.lit(0)) < 1, raw).otherwise(F.array_join(F.transform(elements, shown), ""))
 
 
+def content_problems(raw: DataFrame) -> DataFrame:
+    """file, chat_id, index, element (place in the message, null for the whole), level, problem, for raw messages as messages() gives them.
+
+    error: a text element has no text; such a file is refused as a whole by readers that are strict, see strict(). warning: a
+    message has no elements, so its raw text stands in.
+    """
+    content = F.col("m")["content"]
+    elements = F.coalesce(content["elements"], F.array().cast(ELEMENTS))
+    bare = F.transform(elements, lambda e, i: F.when((e["type"] == "text") & F.get_json_object(e["data"], "$.text").isNull(), F.struct(i.alias("element"), F.lit("error").alias("level"), F.lit("text element without text").alias("problem"))))
+    loose = F.when((F.size(elements) == 0) & (F.coalesce(content["text"], F.lit("")) != ""), F.struct(F.lit(None).cast("int").alias("element"), F.lit("warning").alias("level"), F.lit("no elements, raw text is used").alias("problem")))
+    return raw.select("file", "chat_id", "index", F.explode(F.array_compact(F.concat(bare, F.array(loose)))).alias("x")).select("file", "chat_id", "index", "x.*")
+
+
+def strict(raw: DataFrame) -> DataFrame:
+    """Raw messages of the files in which no message has an error."""
+    bad = content_problems(raw).where("level = 'error'").select("file").distinct()
+    return raw.join(bad, "file", "left_anti")
+
+
 def mentions(elements: Column) -> Column:
     """array<struct<kind, uid, uin, display>>: everybody, or a user by uid, or by uin where the uid is digits only."""
     digits = lambda c: c.rlike("^[0-9]+$")
