@@ -146,3 +146,15 @@ def merged_extent(msg: DataFrame, aliases: DataFrame) -> DataFrame:
     moved = aliases.where("topic <> root").select("chat", "topic", "root")
     both = msg.join(moved, ["chat", "topic"], "left").withColumn("to", F.coalesce("root", "topic"))
     return both.groupBy("chat", F.col("to").alias("topic")).agg(F.count("*").alias("messages"), F.max("ms").alias("last_ms"), F.countDistinct(F.col("topic")).alias("parts"))
+
+
+def context_with_sources(msg: DataFrame, sources: DataFrame, keep: int = 5) -> DataFrame:
+    """context_rows, and with them the visible messages that evidence of the topic's insights comes from, unless they are there already.
+
+    sources: chat, topic, message_id. References of sources are s1, s2, ... in order of time.
+    """
+    newest = context_rows(msg, keep)
+    wanted = sources.select("chat", "topic", "message_id").distinct().join(newest, ["chat", "topic", "message_id"], "left_anti")
+    rows = wanted.join(msg.where("not recalled").select("chat", "message_id", "ms", "ordinal"), ["chat", "message_id"])
+    ref = F.concat(F.lit("s"), F.row_number().over(Window.partitionBy("chat", "topic").orderBy("ms", "ordinal")))
+    return newest.unionByName(rows.select("chat", "topic", "message_id", ref.alias("ref")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .operators import contracts, gold, identity, rank, reconcile, scores, sinks, synthesis, topics, verify
+from .operators import contracts, gold, identity, overview, rank, reconcile, scores, sinks, synthesis, topics, verify
 from .plans.storage import fresh_path
 from .plans.views import view
 from .queries import _PAIRS, _ROWS, _rows
@@ -340,3 +340,19 @@ def proposal_problems(spark, sf):
     evidence = rows.selectExpr("req", "item", "IF(k = 8, 'n99', 'n1') AS ref").union(rows.selectExpr("req", "item", "'n2'"))
     known = rows.select("req").distinct().select("req", F.explode(F.array(F.lit("n1"), F.lit("n2"))).alias("ref"))
     return contracts.proposal_problems(items, existing, evidence, known, "req")
+
+
+@query(f"""WITH {_SEEN}, s AS (SELECT chat, message_id, sum(len(seen) + 256) OVER (PARTITION BY chat ORDER BY ms DESC, v.ordinal DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM v_msg v JOIN sn USING (message_id)) SELECT * FROM s WHERE used <= 96000""")
+def suffix_rendered(spark, sf):
+    """The newest messages that fit into a report, by what a reader sees of them: forwards count, recalled messages show nothing."""
+    return overview.suffix_within(_msg(spark, sf).drop("text", "recalled").join(_seen(spark, sf), "message_id"), 96_000)
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY chat, topic ORDER BY ms DESC, ordinal DESC) AS k FROM v_msg WHERE NOT recalled AND state <> 'pending'),
+    c AS (SELECT chat, topic, message_id, 'c' || row_number() OVER (PARTITION BY chat, topic ORDER BY ms, ordinal) AS ref FROM n WHERE k <= 5),
+    w AS (SELECT DISTINCT m.chat, m.topic, m.message_id, m.ms, m.ordinal FROM v_evidence e JOIN v_msg m USING (message_id) WHERE NOT m.recalled AND m.message_id NOT IN (SELECT message_id FROM c))
+    SELECT * FROM c UNION ALL SELECT chat, topic, message_id, 's' || row_number() OVER (PARTITION BY chat, topic ORDER BY ms, ordinal) FROM w""")
+def context_with_sources(spark, sf):
+    msg = _msg(spark, sf)
+    sources = view(spark, sf, "v_evidence").select("message_id").distinct().join(msg.select("message_id", "chat", "topic"), "message_id")
+    return topics.context_with_sources(msg, sources)
