@@ -1,14 +1,13 @@
 """Online assignment: bursts in order, each to the topic that it continues, or to a new one.
 
-A choice rests on all before it. A chat is cut into chunks of places all the same: each chunk is folded on a guess of what
-it inherits, and says what it has read of it and how it changes it. A pass over these short reports carries the topics from
-chunk to chunk and finds the chunks whose guess was wrong in something that they have read; these are folded again, until
-none is left. What is inherited is told by its order, not by its name, so a chunk stays right when an earlier one only renames.
+A choice rests on all before it, and one that differs changes those after it, so the choices of a chat are made in order, by
+one task. All else is done before, in parallel: messages become a row a burst, and each place knows the last burst that
+replies to it. A chat's bursts are read as a sorted stream. What the fold keeps is the topics that can still take a burst and
+the places that later bursts still ask for, so its memory doesn't grow with the chat.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,24 +15,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..plans.storage import forget, written
 
 CHUNK = 500
-NOTHING = "[]"
 
 
 class Topic:
-    """What a fold knows of a topic: its last message, until when it took bursts, until when it is kept, who wrote, places that may be replied to."""
+    """What a fold knows of a topic: its last message, until when it took bursts, until when it is kept, who wrote, places that are still asked for."""
 
-    __slots__ = ("last", "until", "kept", "senders", "places", "name")
+    __slots__ = ("last", "until", "kept", "senders", "places")
 
-    def __init__(self, last: int, until: int | None, kept: int, senders: set, places: set, name: int | None):
-        self.last, self.until, self.kept, self.senders, self.places, self.name = last, until, kept, senders, places, name
+    def __init__(self, until: int | None = None, kept: int = 0):
+        self.last, self.until, self.kept, self.senders, self.places = 0, until, kept, set(), set()
 
     def takes(self, start: int, end: int, ttl: int) -> bool:
         return start - self.last <= ttl and (self.until is None or end < self.until)
 
 
+class Chat:
+    """The state of a chat's fold: topics by the place of their first message, and the topic of each place that is still asked for."""
+
+    def __init__(self):
+        self.live: dict[int, Topic] = {}
+        self.at: dict[int, int] = {}
+        self.ends: dict[int, list[int]] = {}  # by burst: places that no later burst asks for
+
+    def expire(self, start: int, ttl: int) -> None:
+        for k in [k for k, t in self.live.items() if start - t.last > ttl and start > t.kept]:
+            for x in self.live.pop(k).places:
+                del self.at[x]
+
+    def add(self, k: int, pos: int, ms: int, sender: str, asked: int | None) -> None:
+        topic = self.live[k]
+        topic.last = ms
+        topic.senders.add(sender)
+        if asked is not None:
+            topic.places.add(pos)
+            self.at[pos] = k
+            self.ends.setdefault(asked, []).append(pos)
+
+    def past(self, burst: int) -> None:
+        for x in self.ends.pop(burst, ()):
+            if x in self.at:
+                self.live[self.at.pop(x)].places.discard(x)
+
+
 def assign_online(
     msg: DataFrame, bursts: DataFrame, p: Params, least: float = 0.0, assigned: DataFrame | None = None, topics: DataFrame | None = None, answers: DataFrame | None = None, chunk: int = CHUNK
 ) -> DataFrame:
@@ -52,14 +77,15 @@ def assign_online(
     confidence, review (rank, or null). A confidence under tau_low begins a topic; from tau_high on the choice holds (answer);
     between them the review decides (review). A rank beyond the candidates begins a topic. A burst with candidates and without
     an answer stays without a topic (unanswered).
+
+    chunk: how many bursts the fold takes out of a batch at a time; it changes no result.
     """
     kind = msg.schema["chat"].dataType.simpleString()
     place = bursts.select("chat", "pos", "burst")
     rows = msg.where("NOT recalled").select("chat", "pos", "ms", "sender", F.coalesce("reply_pos", F.lit(0)).alias("reply"), F.coalesce(F.when(F.col("mention") != "all", F.col("mention")), F.lit("")).alias("mention")).join(place, ["chat", "pos"])
-    of = F.floor((F.col("burst") - 1) / chunk).alias("chunk")
-    replied = rows.where("reply > 0").select("chat", F.col("reply").alias("pos"), of).join(place, ["chat", "pos"])
-    replied = replied.where(F.col("chunk") > F.floor((F.col("burst") - 1) / chunk)).select("chat", "pos", F.lit(True).alias("wanted")).distinct()
-    rows = rows.join(replied, ["chat", "pos"], "left")
+    # asked: the last burst that replies to a place of an earlier one.
+    replied = rows.where("reply > 0 AND reply < pos").groupBy("chat", F.col("reply").alias("pos")).agg(F.max("burst").alias("asked"))
+    rows = rows.join(replied, ["chat", "pos"], "left").withColumn("asked", F.when(F.col("asked") > F.col("burst"), F.col("asked")))
     nothing = F.lit(None).cast("bigint")
     if assigned is None:
         rows = rows.withColumns({"fixed": nothing, "until": nothing, "kept": nothing})
@@ -70,128 +96,77 @@ def assign_online(
             until = F.when(F.col("state") == "closed", F.coalesce("closed_ms", F.lit(-(1 << 62)))).when(F.coalesce("state", F.lit("active")) != "active", -(1 << 62))
         begun = begun.select("chat", "topic", "fixed", "kept", (until if topics is not None else nothing).alias("until"))
         rows = rows.join(assigned.select("chat", "pos", "topic").join(begun, ["chat", "topic"]).drop("topic"), ["chat", "pos"], "left")
-    member = F.struct("pos", "ms", "sender", "reply", "mention", F.coalesce("wanted", F.lit(False)).alias("wanted"), "fixed", "until", "kept")
-    each = rows.groupBy("chat", of, "burst").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    member = F.struct("pos", "ms", "sender", "reply", "mention", "asked", "fixed", "until", "kept")
+    each = rows.groupBy("chat", "burst").agg(F.array_sort(F.collect_list(member)).alias("m"))
     lost = msg.where("recalled").select("chat", "pos").join(place, ["chat", "pos"]).groupBy("chat", "burst").agg(F.collect_list("pos").alias("lost"))
     each = each.join(lost, ["chat", "burst"], "left")
     if answers is None:
         each = each.withColumns({"choice": nothing, "confidence": F.lit(None).cast("double"), "review": nothing})
     else:
         each = each.join(answers.select("chat", "burst", F.col("choice").cast("bigint").alias("choice"), F.col("confidence").cast("double").alias("confidence"), F.col("review").cast("bigint").alias("review")), ["chat", "burst"], "left")
-    fields = [F.col(f"m.{c}") for c in ("pos", "ms", "sender", "reply", "mention", "wanted", "fixed", "until", "kept")]
-    each = written(each.select("chat", "chunk", "burst", *fields, "lost", "choice", "confidence", "review"), "bursts")
+    fields = [F.col(f"m.{c}") for c in ("pos", "ms", "sender", "reply", "mention")]
+    # Most places are asked for by nobody and assigned to nothing: a null says so of a whole burst.
+    fields += [F.when(F.size(F.array_compact(f"m.{c}")) > 0, F.col(f"m.{c}")).alias(c) for c in ("asked", "fixed", "until", "kept")]
+    each = each.select("chat", "burst", *fields, "lost", "choice", "confidence", "review")
     answered = answers is not None
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("burst", ignore_index=True)
-        used = pdf["used"].iloc[0]
-        held = json.loads(used)
-        live = {i - len(held): Topic(*t[:3], set(t[3]), set(t[4]), t[5]) for i, t in enumerate(held)}
-        named = {t.name: k for k, t in live.items() if t.name is not None}
-        at = {x: k for k, t in live.items() for x in t.places}
-        inherited = {k: (set(t.senders), set(t.places)) for k, t in live.items()}
-        out = []
-        for r in pdf.itertuples(index=False):
-            start, end = int(r.ms[0]), int(max(r.ms))
-            for k in [k for k, t in live.items() if start - t.last > p.topic_ttl_ms and start > t.kept]:
-                for x in live.pop(k).places:
-                    at.pop(x, None)
-            if any(pd.notna(x) for x in r.fixed):
-                for i in range(len(r.pos)):
-                    if pd.notna(r.fixed[i]):
-                        f = int(r.fixed[i])
-                        k = named.setdefault(f, f)
-                        if k not in live:
-                            live[k] = Topic(0, int(r.until[i]) if pd.notna(r.until[i]) else None, int(r.kept[i]), set(), set(), f)
-                        _add(live[k], k, at, r, i)
-                continue
-            k, method = _choose(r, live, at, start, end, p, least, answered)
-            out.append((int(r.burst), k, method))
-            if k is None:
-                continue
-            if k not in live:
-                live[k] = Topic(0, None, 0, set(), set(), None)
-            for i in range(len(r.pos)):
-                _add(live[k], k, at, r, i)
-        none = (set(), set())
-        report = []
-        for k, t in sorted(live.items()):
-            had = inherited.get(k, none)
-            keep = [x for x in t.places - had[1] if x in wanted_of(pdf)]
-            report.append((k, t.last, t.until, t.kept, sorted(t.senders - had[0]), keep, t.name))
-        return pd.DataFrame({"chat": pdf["chat"][:1], "chunk": pdf["chunk"][:1], "used": [used], "report": [json.dumps(report)], "told": [[{"burst": b, "topic": k, "method": m} for b, k, m in out]]})
-
-    def wanted_of(pdf: pd.DataFrame) -> set:
-        if "w" not in pdf.attrs:
-            pdf.attrs["w"] = {int(x) for pos, want in zip(pdf["pos"], pdf["wanted"]) for x, w in zip(pos, want) if w}
-        return pdf.attrs["w"]
-
-    folded = f"chat {kind}, chunk long, used string, report string, told array<struct<burst:long,topic:long,method:string>>"
-    run = lambda todo: todo.groupBy("chat", "chunk").applyInPandas(fold, folded)
-
-    # What a chunk asks of its past: when it starts, whom it mentions, which earlier places it replies to.
-    lists = each.select("chat", "chunk", F.element_at("ms", 1).alias("start"), F.array_except(F.array_distinct("mention"), F.array(F.lit(""))).alias("who"), F.filter("reply", lambda x: x > 0).alias("what"))
-    asks = written(lists.groupBy("chat", "chunk").agg(F.min("start").alias("start"), F.array_distinct(F.flatten(F.collect_list("who"))).alias("who"), F.array_distinct(F.flatten(F.collect_list("what"))).alias("what")), "asks")
-
-    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Topics from chunk to chunk by the reports: what each chunk inherits, as far as it asks, and the topics' names."""
-        chat, state = None, []
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.chat != chat:
-                    chat, state = r.chat, []
-                state = [t for t in state if r.start - t[1] <= p.topic_ttl_ms or r.start <= t[3]]
-                who, what = set(r.who), {int(x) for x in r.what}
-                asked = [(t[1], t[2], t[3], sorted(t[4] & who), sorted(t[5] & what), t[6]) for t in state]
-                out.append((r.chat, r.chunk, json.dumps(asked), [t[0] for t in state]))
-                # A report on another guess may name topics that aren't there; the chunk is then folded again.
-                had, past = json.loads(r.used), state
-                state = []
-                for k, last, until, kept, senders, places, name in json.loads(r.report):
-                    old = past[k + len(had)] if k < 0 and len(had) == len(past) else None
-                    state.append((old[0] if old else k, last, until, kept, (old[4] if old else set()) | set(senders), (old[5] if old else set()) | set(places), name))
-                state.sort(key=lambda t: t[0])
-            yield pd.DataFrame(out, columns=["chat", "chunk", "right", "names"])
-
-    done = written(run(each.withColumn("used", F.lit(NOTHING))), "folded")
-    while True:
-        ordered = done.select("chat", "chunk", "used", "report").join(asks, ["chat", "chunk"]).repartition("chat").sortWithinPartitions("chat", "chunk")
-        carried = written(ordered.mapInPandas(carry, f"chat {kind}, chunk long, right string, names array<long>"), "carried")
-        wrong = done.select("chat", "chunk", "used").join(carried.select("chat", "chunk", "right"), ["chat", "chunk"]).where("used <> right").select("chat", "chunk", F.col("right").alias("used"))
-        wrong = written(wrong, "wrong")
-        if not wrong.take(1):
-            break
-        again = run(each.join(wrong, ["chat", "chunk"]))
-        old, done = (done, carried, wrong), written(done.join(wrong.select("chat", "chunk"), ["chat", "chunk"], "left_anti").unionByName(again), "folded")
-        forget(*old)
-    told = done.join(carried.select("chat", "chunk", "names"), ["chat", "chunk"]).select("chat", "names", F.explode("told").alias("t"))
-    topic = F.when(F.col("t.topic") < 0, F.get("names", (F.col("t.topic") + F.size("names")).cast("int"))).otherwise(F.col("t.topic"))
-    return told.select("chat", "t.burst", topic.alias("topic"), "t.method")
-
-
-def _add(topic: Topic, key: int, at: dict, r, i: int) -> None:
-    topic.last = int(r.ms[i])
-    topic.senders.add(r.sender[i])
-    topic.places.add(int(r.pos[i]))
-    at[int(r.pos[i])] = key
-
-
-def _choose(r, live: dict, at: dict, start: int, end: int, p: Params, least: float, answered: bool) -> tuple[int | None, str]:
-    own = {int(x) for x in r.pos} | {int(x) for x in (r.lost if r.lost is not None else ())}
-    outside = [int(x) for x in r.reply if x and int(x) not in own]
+    def numbers(values, n: int) -> list:
+        return [None] * n if values is None else [None if pd.isna(x) else int(x) for x in values]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chat, state = None, Chat()
+        for pdf in batches:
+            for lo in range(0, len(pdf), chunk):
+                out = []
+                for r in pdf.iloc[lo : lo + chunk].itertuples(index=False):
+                    if r.chat != chat:
+                        chat, state = r.chat, Chat()
+                    pos, ms = r.pos.tolist(), r.ms.tolist()
+                    asked, fixed = numbers(r.asked, len(pos)), numbers(r.fixed, len(pos))
+                    start, end = ms[0], max(ms)
+                    state.expire(start, p.topic_ttl_ms)
+                    if r.fixed is not None:
+                        until, kept = numbers(r.until, len(pos)), numbers(r.kept, len(pos))
+                        for i, k in enumerate(fixed):
+                            if k is not None:
+                                if k not in state.live:
+                                    state.live[k] = Topic(until[i], kept[i])
+                                state.add(k, pos[i], ms[i], r.sender[i], asked[i])
+                    else:
+                        k, method = _choose(r, pos, state.live, state.at, start, end, p, least, answered)
+                        out.append((chat, r.burst, k, method))
+                        if k is not None:
+                            if k not in state.live:
+                                state.live[k] = Topic()
+                            for i, x in enumerate(pos):
+                                state.add(k, x, ms[i], r.sender[i], asked[i])
+                    state.past(r.burst)
+                told = pd.DataFrame(out, columns=["chat", "burst", "topic", "method"])
+                yield told.astype({"topic": "Int64"})
+
+    ordered = each.repartition("chat").sortWithinPartitions("chat", "burst")
+    return ordered.mapInPandas(fold, f"chat {kind}, burst long, topic long, method string")
+
+
+def _choose(r, pos: list[int], live: dict, at: dict, start: int, end: int, p: Params, least: float, answered: bool) -> tuple[int | None, str]:
+    own = set(pos) | {int(x) for x in (r.lost if r.lost is not None else ())}
+    replies = r.reply.tolist()
+    outside = [x for x in replies if x and x not in own]
     targets = {at.get(x) for x in outside}
     if len(targets) == 1 and (only := targets.pop()) is not None and live[only].takes(start, end, p.topic_ttl_ms):
         return only, "rule_reply"
     open_ = [k for k, t in live.items() if t.takes(start, end, p.topic_ttl_ms)]
-    new = int(r.pos[0])
+    new = pos[0]
     if not open_:
         return new, "new_topic"
     edges = dict.fromkeys(open_, 0)
-    for reply, mention in zip(r.reply, r.mention):
-        replied = at.get(int(reply)) if reply and int(reply) not in own else None
-        for k in open_:
-            edges[k] += k == replied or bool(mention) and mention in live[k].senders
+    for reply, mention in zip(replies, r.mention):
+        replied = at.get(reply) if reply and reply not in own else None
+        if mention:
+            for k in open_:
+                edges[k] += k == replied or mention in live[k].senders
+        elif replied in edges:
+            edges[replied] += 1
     score = {k: round(p.beta * min(edges[k], 3) / 3.0 - p.gamma * (start - live[k].last) / p.topic_ttl_ms, 9) for k in open_}
     rank = lambda k: (-score[k], -live[k].last, k)
     if not answered:

@@ -136,3 +136,27 @@ def test_late_bursts_and_states(spark, seed, asked):
         got = {(r.chat, r.burst): (r.topic, r.method) for r in assign_online(df.drop("burst"), df.select("chat", "pos", "burst"), P, 0.0, have, known, said, chunk).collect()}
         assert got == want
     assert {m for _, m in want.values()} >= ({"unanswered", "answer", "review", "new_topic"} if asked else {"candidate", "rule_reply", "new_topic"})
+
+
+def test_a_chat_is_folded_once(spark):
+    """Chunks that all rest on the one before took a round of jobs each."""
+    rows = [(1, pos, pos, pos * 5, f"u{pos}", False, pos - 9, None) for pos in range(1, 200)]
+    df = spark.createDataFrame(rows, "chat long, pos long, burst long, ms long, sender string, recalled boolean, reply_pos long, mention string")
+    spark.sparkContext.setJobGroup("folded-once", "assign_online")
+    try:
+        got = {r.burst: r.topic for r in assign_online(df.drop("burst"), df.select("chat", "pos", "burst"), P, 1.0, chunk=3).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("folded-once"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {pos: (pos - 1) % 9 + 1 for pos in range(1, 200)} and jobs < 40
+
+
+def test_places_nobody_asks_for_are_forgotten():
+    from murmuration.operators.assign import Chat, Topic
+
+    chat = Chat()
+    chat.live[1] = Topic()
+    for pos in range(1, 1000):
+        chat.add(1, pos, pos, "u", pos + 2 if pos % 3 == 0 else None)
+        chat.past(pos)
+    assert set(chat.at) == {999} == chat.live[1].places and len(chat.ends) == 1
