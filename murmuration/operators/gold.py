@@ -120,7 +120,9 @@ def sheet_problems(rows: DataFrame, source: DataFrame, id_pattern: str = MESSAGE
     items = both.select("message_id", F.explode("items").alias("item"))
     of_items = broken_rules(items, {f"item: {name}": ok for name, ok in item_rules(F.col("item"), id_pattern).items()}, "message_id").distinct()
     named = items.select("message_id", _text(F.col("item"), "$.item_id").alias("id"), F.from_json(F.to_json(F.variant_get("item", "$.anchors", "variant")), "array<string>").alias("anchors"))
-    twice = named.where("id IS NOT NULL").groupBy("id").agg(F.collect_set("message_id").alias("m"), F.count("*").alias("n")).where("n > 1").select(F.explode("m").alias("message_id"), F.lit("item id is repeated").alias("rule"))
+    # An id may stand in any number of rows, so they are counted, not collected.
+    repeated = named.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    twice = named.select("message_id", "id").join(repeated, "id", "left_semi").select("message_id", F.lit("item id is repeated").alias("rule")).distinct()
     own = named.where(~F.coalesce(F.array_contains("anchors", F.col("message_id")), F.lit(False))).select("message_id", F.lit("row is no anchor of its item").alias("rule")).distinct()
     ids = rows.select(F.col("message_id").alias("anchor")).distinct()
     lost = named.select("message_id", F.explode("anchors").alias("anchor")).join(ids, "anchor", "left_anti").select("message_id", F.lit("anchor is not in the sheet").alias("rule")).distinct()
