@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -196,11 +197,13 @@ def _best_first(edges: DataFrame, blocked: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("part").applyInPandas(contract, f"node {kind}, root {kind}")
 
 
-def match_greedy(candidates: DataFrame, at_once: int = 100_000) -> DataFrame:
+def match_greedy(candidates: DataFrame, at_once: int = 100_000, rounds: int = 1) -> DataFrame:
     """One-to-one matches of (run, pred, gold, overlap, rank), best first: overlap, then rank, then pred, then gold.
 
     Under one strict order greedy choice equals taking, round by round, all pairs that are the best of both their sides. A
-    run with at_once pairs at most is finished in one task, in order; larger ones shrink by rounds until they are that small.
+    run with at_once pairs at most is finished in one task, in order. Larger ones shrink by rounds; as a long chain of pairs
+    takes a round a pair, what is left after the given rounds is read as a stream in that order, one task a run, which keeps
+    the matched items only.
     """
     left, out = written(candidates.select("run", "pred", "gold", "overlap", "rank"), "left"), None
     order = [F.desc("overlap"), F.col("rank"), F.col("pred"), F.col("gold")]
@@ -216,7 +219,20 @@ def match_greedy(candidates: DataFrame, at_once: int = 100_000) -> DataFrame:
                 keep.append(i)
         return pdf.loc[keep, ["run", "pred", "gold", "overlap"]]
 
-    while True:
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, preds, golds = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for i, (r, p, g) in enumerate(zip(pdf["run"], pdf["pred"], pdf["gold"])):
+                if r != run:
+                    run, preds, golds = r, set(), set()
+                if p not in preds and g not in golds:
+                    preds.add(p)
+                    golds.add(g)
+                    keep.append(i)
+            yield pdf.iloc[keep]
+
+    for left_rounds in range(rounds, -1, -1):
         sizes = left.groupBy("run").agg(F.count("*").alias("_n"))
         small, large = (left.join(sizes.where(c), "run", "left_semi") for c in (F.col("_n") <= at_once, F.col("_n") > at_once))
         done = written(small.groupBy("run").applyInPandas(finish, ", ".join(f"{c} {k}" for c, k in kinds.items())), "done")
@@ -226,6 +242,9 @@ def match_greedy(candidates: DataFrame, at_once: int = 100_000) -> DataFrame:
         if not large.take(1):
             forget(large)
             return out
+        if not left_rounds:
+            rest = large.repartition("run").sortWithinPartitions("run", *order).select("run", "pred", "gold", "overlap")
+            return out.union(rest.mapInPandas(stream, ", ".join(f"{c} {k}" for c, k in kinds.items())))
         best = large.withColumns({
             "p": F.row_number().over(Window.partitionBy("run", "pred").orderBy(*order)), "g": F.row_number().over(Window.partitionBy("run", "gold").orderBy(*order)),
         }).where("p = 1 and g = 1").select("run", "pred", "gold", "overlap")

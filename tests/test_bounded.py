@@ -1,6 +1,20 @@
 """Steps whose rounds or groups must not grow with the table."""
 
 from murmuration.operators import gold
+from murmuration.operators.graph import match_greedy
+
+
+def test_greedy_chain_ends_after_few_rounds(spark):
+    """Each pair waits for the one before it: a round a pair."""
+    rows = [("r", i // 2, (i + 1) // 2, 100 - i, 0) for i in range(60)] + [("s", 1, 2, 5, 0), ("s", 1, 3, 4, 0)]
+    df = spark.createDataFrame(rows, "run string, pred long, gold long, overlap long, rank long")
+    spark.sparkContext.setJobGroup("greedy-chain", "match_greedy")
+    try:
+        got = {tuple(r) for r in match_greedy(df, at_once=0).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("greedy-chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {("r", i // 2, i // 2, 100 - i) for i in range(0, 60, 2)} | {("s", 1, 2, 5)} and jobs < 60
 
 
 def test_repeated_item_ids_are_not_collected(spark):
