@@ -6,13 +6,13 @@ after its run, so that copies do not delete each other. The lines of both (block
 share are template and are deleted.
 
 Differencing alone can't tell a menu or advert that differs on every page from text, nor a passage that two articles
-quote from a menu. So markup has its say first: blocks in menus, headers, footers, asides, forms, adverts, notices and
-comments are marked as boilerplate and go; where a page marks its article (article or main element), blocks in it are
-kept, shared or not, and those outside go. All other lines are decided by differencing.
+quote from a menu. So every page of a host is compared, and markup then checks what differencing says: blocks in menus,
+headers, footers, asides, forms, adverts, notices and comments are marked as boilerplate and go, found or not; where a
+page marks its article (article or main element), blocks in it are kept, shared or not, and those outside go.
 
 The order is made by range partitioning, so a host with a third of all pages is many tasks. A page at the edge of a
 partition waits until the edge pages of all partitions are known, and is compared then. Only hashes of lines are
-shuffled, and the text of lines that markup does not decide.
+put in order; pages are read once more for their texts, which meet what was found by id, url and a digest of the hashes.
 """
 
 from __future__ import annotations
@@ -231,16 +231,21 @@ class _Page(NamedTuple):
     sizes: np.ndarray
 
 
+def _told(page: _Page) -> bytes:
+    return page.keys.tobytes() + page.sizes.tobytes()
+
+
 def _hashed(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _kept(page: _Page, lines: list[str], near: list[_Page | None]) -> str:
-    """The lines (of those without a mark) that no page in near shares; near copies have no say."""
-    keys = page.keys.tolist()
-    shared = set().union(*(shared_lines(keys, other.keys.tolist()) for other in near if other is not None and not _same_run(page, other)))
-    own = [i for i, size in enumerate(page.sizes) if size]
-    return "\n".join(t for i, t in zip(own, lines) if i not in shared)
+def _shared(page: _Page, near: list[_Page | None]) -> np.ndarray:
+    """Whether each line of a page is one that a page in near shares; near copies have no say."""
+    keys, out = page.keys.tolist(), np.zeros(len(page.keys), bool)
+    for other in near:
+        if other is not None and not _same_run(page, other):
+            out[list(shared_lines(keys, other.keys.tolist()))] = True
+    return out
 
 
 def _edge_context(edges: list) -> dict[int, tuple[_Page | None, _Page | None]]:
@@ -294,40 +299,39 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null pages are empty. A page whose host no other page has (or none but copies and near copies of it), or with a null
     url, has nothing to be compared with and keeps all lines that markup does not mark. Pages with equal urls are compared in order of id; repeated rows are
-    pages of their own. Very long pages are taken whole; an empty table gives an empty result. The result does not depend on partitions. Other columns play no part.
+    pages of their own. Very long pages are taken whole; an empty table gives an empty result. The result does not depend on partitions. df is read twice. Other columns play no part.
     """
     id_type, url_type = (df.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame], texts: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                texts, lines, keys, sizes = [], [], [], []
+                digest, sure, lines, at, keys, sizes = [], [], [], [], [], []
                 for html in part["html"]:
                     found = blocks(html)
-                    marks = {m for m, _ in found}
-                    if ARTICLE in marks or NEUTRAL not in marks:
-                        texts.append("\n".join(t for m, t in found if m == ARTICLE))
-                        lines.append(None)
-                    else:
-                        texts.append(None)
-                        lines.append([t for m, t in found if m == NEUTRAL])
-                    keys.append([_hashed(t) for _, t in found])
-                    sizes.append([0 if m == TEMPLATE else len(t) for m, t in found])
-                yield pd.DataFrame({"id": part["id"], "url": part["url"], "text": texts, "lines": lines, "keys": keys, "sizes": sizes})
-
-    parsed = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(
-        parse, f"id {id_type}, url {url_type}, text string, lines array<string>, keys array<bigint>, sizes array<bigint>"
-    )
+                    page = _Page(np.array([_hashed(t) for _, t in found], np.int64), np.array([0 if m == TEMPLATE else len(t) for m, t in found], np.int64))
+                    digest.append(hashlib.blake2b(_told(page), digest_size=16).digest())
+                    if not texts:
+                        keys.append(page.keys)
+                        sizes.append(page.sizes)
+                        continue
+                    sure.append(any(m == ARTICLE for m, _ in found))
+                    own = [(i, t) for i, (m, t) in enumerate(found) if m == (ARTICLE if sure[-1] else NEUTRAL)]
+                    lines.append([t for _, t in own])
+                    at.append([i for i, _ in own])
+                more = {"sure": sure, "lines": lines, "at": at} if texts else {"keys": keys, "sizes": sizes}
+                yield pd.DataFrame({"id": part["id"], "url": part["url"], "digest": digest, **more})
+
+    read = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    common = f"id {id_type}, url {url_type}, digest binary"
+    hashes = read.mapInPandas(lambda batches: parse(batches, False), f"{common}, keys array<bigint>, sizes array<bigint>")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)", 1)
-    pages = materialize(parsed.withColumns({"host": F.coalesce(host, F.lit("")), "path": path}), "pages")
-    # Hosts all of whose pages markup decides need no order.
-    open_hosts = pages.where("host <> '' AND text IS NULL").select("host").distinct()
-    ordered = pages.where("host <> ''").join(open_hosts, "host", "left_semi").select("host", "path", "url", "id", "lines", "keys", "sizes")
-    ordered = ordered.repartitionByRange("host", "path", "url", "id").sortWithinPartitions("host", "path", "url", "id")
+    pages = materialize(hashes.withColumns({"host": F.coalesce(host, F.lit("")), "path": path}), "pages")
+    ordered = pages.where("host <> ''").repartitionByRange("host", "path", "url", "id").sortWithinPartitions("host", "path", "url", "id")
 
-    out_type = "role string, part int, one boolean, host string, id {}, url {}, text string, lines array<string>, keys array<bigint>, sizes array<bigint>, before struct<keys: array<bigint>, sizes: array<bigint>>, after struct<keys: array<bigint>, sizes: array<bigint>>, no_before boolean, no_after boolean".format(id_type, url_type)
+    out_type = "role string, part int, one boolean, host string, id {}, url {}, digest binary, shared array<boolean>, keys array<bigint>, sizes array<bigint>, before struct<keys: array<bigint>, sizes: array<bigint>>, after struct<keys: array<bigint>, sizes: array<bigint>>, no_before boolean, no_after boolean".format(id_type, url_type)
     names = [c.split()[0] for c in out_type.split(", ") if not c.startswith("sizes: ")]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,28 +339,26 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         part = TaskContext.get().partitionId()
         first = host = last = back = None  # last page; back: last page of the run before it
         known = False  # whether the run before is known: not so for the first run
-        run: dict[bytes, list] = {}  # pages of the run that wait for the next one, equal ones together
-        texts: dict[str, str] = {}
+        run: dict[bytes, tuple] = {}  # pages of the run that wait for the next one, equal ones together
         runs = 0
 
-        def row(role: str, **more) -> dict:
+        def told(role: str, **more) -> dict:
             return dict.fromkeys(names) | {"role": role, "part": part} | more
 
         def edge(role: str, at: str, page: _Page, one: bool = False) -> dict:
-            return row(role, host=at, keys=page.keys, sizes=page.sizes, one=one)
+            return told(role, host=at, keys=page.keys, sizes=page.sizes, one=one)
 
         def flush(after: _Page | None, sure: bool) -> Iterator[dict]:
-            for page, lines, who in run.values():
+            for page, digest, who in run.values():
                 whole = known and sure
-                text = _kept(page, lines, [back, after]) if whole else None
+                shared = _shared(page, [back, after]) if whole else None
                 for id_, url in who:
                     if whole:
-                        yield row("done", id=id_, url=url, text=text)
+                        yield told("done", id=id_, url=url, digest=digest, shared=shared)
                     else:
                         near = {"before": back and back._asdict(), "after": after and after._asdict(), "no_before": not known, "no_after": not sure}
-                        yield row("open", id=id_, url=url, lines=lines, keys=page.keys, sizes=page.sizes, **near)
+                        yield told("open", id=id_, url=url, digest=digest, keys=page.keys, sizes=page.sizes, **near)
             run.clear()
-            texts.clear()
 
         def rows() -> Iterator[dict]:
             nonlocal first, host, last, back, known, runs
@@ -375,11 +377,7 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                             second = page
                         back, known, runs = last, True, runs + 1
                     host, last = r.host, page
-                    if r.lines is not None:
-                        key = page.keys.tobytes() + page.sizes.tobytes()
-                        if key not in run:
-                            run[key] = [page, [texts.setdefault(t, t) for t in r.lines], []]
-                        run[key][2].append((r.id, r.url))
+                    run.setdefault(_told(page), (page, r.digest, []))[2].append((r.id, r.url))
             if last is not None:
                 yield from flush(None, False)
                 yield edge("F", *first, runs == 1)
@@ -401,16 +399,19 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             return None if struct is None else _Page(*(np.asarray(struct[k], np.int64) for k in ("keys", "sizes")))
 
         for pdf in batches:
-            texts = []
+            shared = []
             for r in pdf.itertuples(index=False):
                 before, after = context[r.part]
                 near = [before if r.no_before else page(r.before), after if r.no_after else page(r.after)]
-                texts.append(_kept(_Page(np.asarray(r.keys, np.int64), np.asarray(r.sizes, np.int64)), list(r.lines), near))
-            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": pd.Series(texts, dtype=object)})
-
-    # Pages that markup decides, and those without a host, need no neighbour.
-    alone = pages.where("text IS NOT NULL OR host = ''").select("id", "url", F.coalesce("text", F.array_join("lines", "\n")).alias("text"))
-    done = compared.where("role = 'done'").select("id", "url", "text")
-    open_ = compared.where("role = 'open'").mapInPandas(finish, f"id {id_type}, url {url_type}, text string")
-    out = alone.union(done).union(open_)
+                shared.append(_shared(_Page(np.asarray(r.keys, np.int64), np.asarray(r.sizes, np.int64)), near))
+            yield pd.DataFrame({**{k: pdf[k] for k in ("id", "url", "digest")}, "shared": pd.Series(shared, dtype=object)})
+
+    # Rows of one id, url and digest have the same lines and neighbours, so one of them tells for all. Pages without a host have no neighbours.
+    open_ = compared.where("role = 'open'").mapInPandas(finish, f"{common}, shared array<boolean>")
+    found = compared.where("role = 'done'").select("id", "url", "digest", "shared").union(open_).dropDuplicates(["id", "url", "digest"])
+    whole = read.mapInPandas(lambda batches: parse(batches, True), f"{common}, sure boolean, lines array<string>, at array<int>")
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in ("id", "url", "digest")], "shared")
+    both = whole.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("digest") == F.col("_digest")), "left")
+    keep = F.filter("lines", lambda _, i: F.col("sure") | F.col("shared").isNull() | ~F.get("shared", F.get("at", i)))
+    out = both.withColumn("text", F.array_join(keep, "\n"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))

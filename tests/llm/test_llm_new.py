@@ -215,3 +215,17 @@ def test_byte_bpe_codec(tokenizer):
         assert ids.tolist() == rules.merge(word) == rules._merge_long([rules.base[b] for b in word])
     broken = np.array([rules.base[0xF0], rules.base[0x41]], "<u4").tobytes()
     assert codec.decode(broken) == tokenizer.decode([rules.base[0xF0], rules.base[0x41]], skip_special_tokens=False)
+
+
+def test_differencing_sees_every_page(spark, monkeypatch):
+    """Pages that mark their article are compared too: a line that neighbours share is found, and stays where markup says so."""
+    from murmuration.llm import html_extract
+
+    seen, write = {}, html_extract.materialize
+    monkeypatch.setattr(html_extract, "materialize", lambda df, name: seen.setdefault(name, write(df, name)))
+    page = lambda k: f"<body><p>menu of the site</p><article><p>shared words</p><p>{'own words ' * 9}{k}</p></article></body>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(7)] + [(7, None, page(7))]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {k: f"shared words\n{'own words ' * 9}{k}" for k in range(8)}
+    told = seen["compared"].where("role IN ('done', 'open')")
+    assert told.count() == 7 and {tuple(r.shared) for r in told.where("role = 'done'").collect()} <= {(True, True, False)}
