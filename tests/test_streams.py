@@ -161,3 +161,19 @@ def test_import_stream_restarts(spark, tmp_path):
     table.start_import(stream(), held, f"{tmp_path}/state").awaitTermination()
     assert sorted((r.chat, r.text, r.recalled) for r in held.read("messages").collect()) == [("a", "", True), ("b", "you", False)]
     assert held.manifest()["batch"] == 2
+
+
+def test_arriving_rows_are_made_once(spark, sf):
+    from pyspark.sql import functions as F
+
+    from murmuration.plans.views import view
+    from murmuration.queries_streams import FILES, _arriving
+
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: made.add(1) or x, "long")
+    msg = view(spark, sf, "v_event").select("chat", "ms", "event_id", (F.col("event_type") == "error").alias("recalled"))
+    stream = _arriving(spark, sf, msg.withColumn("event_id", seen("event_id")), "event_id")
+    query = stream.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert made.value == msg.count() and [p["numInputRows"] > 0 for p in query.recentProgress] == [True] * (FILES + 1)
+    assert spark.table("arrived").where("chat >= 0").select("event_id").distinct().count() == msg.count()
