@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a task that joins items by message: the number of tasks grows with the tables, so the memory of one does not.
+TASK_ROWS = 250_000
+
+
 def match_candidates(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """pred, gold, overlap: items of one kind that share messages, by how many; pred, gold: (item, kind, message_id)."""
-    a, b = pred.select(F.col("item").alias("pred"), "kind", "message_id").distinct(), gold.select(F.col("item").alias("gold"), "kind", "message_id").distinct()
-    return a.join(b, ["kind", "message_id"]).groupBy("pred", "gold").agg(F.count("*").alias("overlap"))
+    tasks = max(1, -(-(pred.count() + gold.count()) // TASK_ROWS))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        # Dealt by message first: distinct() and the join both run on that one shuffle.
+        return rows.select(F.col("item").alias(name), "kind", "message_id").repartition(tasks, "kind", "message_id").distinct()
+
+    return side(pred, "pred").join(side(gold, "gold"), ["kind", "message_id"]).groupBy("pred", "gold").agg(F.count("*").alias("overlap"))
 
 
 def calibration_samples(answers: DataFrame, labels: DataFrame) -> DataFrame:

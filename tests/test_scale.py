@@ -205,3 +205,16 @@ def test_relation_shapes(spark):
     ]
     rel = spark.createDataFrame(rows, "rel_id string, chat string, kind string, source_id string, quote string, target_id string, target_quote string, completeness string")
     assert {r.rel_id: r.valid for r in relation_valid(rel, msg).collect()} == {r[0]: r[0].startswith("ok") for r in rows}
+
+
+def test_candidates_take_more_tasks_on_more_rows(spark, monkeypatch):
+    from murmuration.operators import scores
+
+    rnd = random.Random(6)
+    sides = [[(rnd.randint(0, 9), rnd.choice("ab"), rnd.randint(0, 30)) for _ in range(700)] + [(1, None, 3), (1, "a", None)] for _ in range(2)]
+    want = collections.Counter((p, g) for p, k, m in set(sides[0]) for g, kind, n in set(sides[1]) if None not in (k, m) and (k, m) == (kind, n))
+    monkeypatch.setattr(scores, "TASK_ROWS", 50, raising=False)
+    out = scores.match_candidates(*(spark.createDataFrame(s, "item long, kind string, message_id long") for s in sides))
+    assert {(r.pred, r.gold): r.overlap for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [kind") == 2 and plan.count("], 29") == 2
