@@ -340,7 +340,7 @@ def near_duplicate_documents(
     postings = postings.select(
         F.when(often, F.col("token").bitwiseXOR(mixed)).otherwise(F.col("token")).alias("list"), "g",
         (F.col("n") * (1 << 32) + F.col("pos") * 2 + often.cast("bigint")).alias("at"),
-    )
+    ).repartition("list")  # here, as Spark would else shuffle what is unpacked for the window below
 
     def fits(n1, p1, n2, p2):
         """Whether sets of sizes n1, n2 can reach the similarity if their first common shingle is at these positions."""

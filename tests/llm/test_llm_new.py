@@ -229,3 +229,15 @@ def test_differencing_sees_every_page(spark, monkeypatch):
     assert {r.page_id: r.text for r in got.collect()} == {k: f"shared words\n{'own words ' * 9}{k}" for k in range(8)}
     told = seen["compared"].where("role IN ('done', 'open')")
     assert told.count() == 7 and {tuple(r.shared) for r in told.where("role = 'done'").collect()} <= {(True, True, False)}
+
+
+def test_postings_are_shuffled_packed(spark, monkeypatch):
+    from murmuration.llm import ngram_join
+
+    plans, write = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    text = "a b c d e f g h i j k l m n o p q r s t"
+    docs = spark.createDataFrame([(1, text), (2, text + " u"), (3, "x y z " * 9)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicate_documents(docs, 4, 85, 100).collect()} == {1: 1, 2: 1, 3: 3}
+    above, below = plans["postings"].split("Exchange hashpartitioning(list", 1)
+    assert " AS at#" in below and all(f" AS {c}#" in above and f" AS {c}#" not in below for c in ("n", "h", "_w0"))
